@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import clusters, encoding, similar_vectors, splitting
+from siltstone.llm import clusters, encoding, languages, mixing, similar_vectors, splitting
 from siltstone.runtime import table
 
 
@@ -72,8 +72,42 @@ def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, base, "documents"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, base: str) -> mixing.Mix:
+    return mixing.mix_sources(table(spark, base, "documents"), table(spark, base, "source_targets"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.share_report(_mix(spark, base)).where("short").select("source")
+
+
+def p7_mix(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base).rows
+
+
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.share_report(_mix(spark, base))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents")
+    model = languages.train(docs, "doc_id", "text", "lang")
+    if model is None:
+        return docs.select("doc_id", F.lit("").alias("seg_lang")).where("false")
+    found = languages.text_languages(docs, model, "doc_id", "text", ["lang"])
+    return languages.wrong_labels(found, "lang").select("doc_id", "seg_lang")
+
+
+def p8_segments(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents")
+    model = languages.train(docs, "doc_id", "text", "lang")
+    if model is None:
+        return docs.select("doc_id", F.lit("").alias("seg_lang")).where("false")
+    return languages.text_segments(docs, model, "doc_id", "text").withColumn("confidence", F.round("confidence", 4))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_groups, p5_found, p5_pieces, p5_chunk_counts, p6_ids)}
+    found = (p1_found, p1_neighbours, p4_found, p4_groups, p5_found, p5_pieces, p5_chunk_counts, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_segments)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
