@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANK = "named_struct('n', n, 'kind', kind)"
+from siltstone.runtime import cut_lineage
 
 
 def _kind(v: Column) -> Column:
@@ -105,46 +105,71 @@ def drift(lines: DataFrame) -> DataFrame:
 TARGETS = {"decision": "string", "match_ratio": "double", "mapping": "map<string,string>", "new_fields": "array<string>"}
 
 
-def canonical_names(changes: DataFrame, fields: DataFrame) -> DataFrame:
-    """(feed, report_file, field, canonical): each target column's name in every file, followed through the renames of its feed.
+def canonical_names(changes: DataFrame, targets: list[str], most_rounds: int = 32) -> DataFrame:
+    """(feed, field, canonical): the names under which each feed holds the target columns, followed through its renames.
 
-    A feed's renames form chains over its sequence of files. The chain is walked per feed in
-    order of the files, over the few rename rows and files of the feed (not its lines).
+    Names spread along distinct (feed, old, new) pairs in rounds; a name that two targets
+    reach in the same round goes to the first of them by name.
     """
-    order = fields.groupBy("feed", "report_file").agg(F.max("reported_at").alias("reported_at"))
-    renames = changes.where("drift_kind = 'renamed'").groupBy("feed", "report_file").agg(F.map_from_entries(F.collect_list(F.struct("new_field", "old_field"))).alias("m"))
-    steps = order.join(renames, ["feed", "report_file"], "left").groupBy("feed").agg(F.sort_array(F.collect_list(F.struct("reported_at", "report_file", "m"))).alias("steps"))
-    start = F.expr("cast(map() as map<string,string>)")
-
-    def walk(acc: Column, step: Column) -> Column:
-        # names: current field -> canonical; every file keeps the names that hold from it on
-        fresh = F.when(step["m"].isNull(), acc["names"]).otherwise(F.map_concat(F.map_filter(acc["names"], lambda k, _: ~F.map_contains_key(step["m"], k)), F.transform_values(step["m"], lambda _, o: F.coalesce(acc["names"][o], o))))
-        return F.struct(fresh.alias("names"), F.concat(acc["out"], F.array(F.struct(step["report_file"].alias("report_file"), fresh.alias("names")))).alias("out"))
-
-    walked = steps.select("feed", F.explode(F.aggregate("steps", F.struct(start.alias("names"), F.expr("cast(array() as array<struct<report_file:string,names:map<string,string>>>)").alias("out")), walk, lambda a: a["out"])).alias("f"))
-    return walked.select("feed", "f.report_file", F.explode("f.names").alias("field", "canonical"))
+    pairs = changes.where("drift_kind = 'renamed'").select("feed", "old_field", "new_field").distinct()
+    both = cut_lineage(pairs.unionByName(pairs.select("feed", F.col("new_field").alias("old_field"), F.col("old_field").alias("new_field"))))
+    known = cut_lineage(both.select("feed").distinct().select("feed", F.explode(F.array(*[F.lit(t) for t in targets])).alias("field")).withColumn("canonical", F.col("field")))
+    fresh = known
+    for _ in range(most_rounds):
+        step = fresh.join(both.withColumnRenamed("old_field", "field"), ["feed", "field"]).groupBy("feed", F.col("new_field").alias("field")).agg(F.min("canonical").alias("canonical"))
+        fresh = cut_lineage(step.join(known, ["feed", "field"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        known = cut_lineage(known.unionByName(fresh))
+    return known
 
 
 def consistent_table(lines: DataFrame, targets: dict[str, str] | None = None) -> DataFrame:
     """One row for each readable line: typed target columns and ``failed_casts``, the fields whose value did not fit.
 
-    Renamed fields are read under the name they had first in their feed. Arrays and objects
-    kept as text in some files are cast where the text allows it.
+    Fields that a feed renamed are read under the target's name (``canonical_names``); where the
+    feed itself shows no rename, under the name that the renames of all feeds together give. Lists kept
+    as text in some files are split at commas, ratios kept as text are cast.
     """
     targets = targets or TARGETS
     once = distinct_lines(lines)
     fields = path_values(once)
-    names = canonical_names(drift(lines), fields)
-    rows = fields.join(names, ["feed", "report_file", "field"], "left").withColumn("column", F.coalesce("canonical", "field"))
-    wanted = rows.groupBy("feed", "report_file", "line_no").agg(F.max("load").alias("file_id"), *[F.max_by("value", F.when(F.col("column") == c, F.col("field"))).alias(f"r_{c}") for c in targets])
+    changes = cut_lineage(drift(lines))
+    names = canonical_names(changes, list(targets)).withColumnRenamed("canonical", "own")
+    common = canonical_names(changes.withColumn("feed", F.lit("")), list(targets)).select("field", F.col("canonical").alias("common"))
+    rows = fields.join(names, ["feed", "field"], "left").join(common, "field", "left").withColumn("column", F.coalesce("own", "common", "field"))
+    rows = rows.withColumn("claim", F.struct((F.col("field") == F.col("column")).cast("int").alias("same"), F.col("own").isNotNull().cast("int").alias("seen"), "field"))
+    wanted = rows.groupBy("feed", "report_file", "line_no").agg(F.max("load").alias("file_id"), *[F.max_by("value", F.when(F.col("column") == c, F.col("claim"))).alias(f"r_{c}") for c in targets])
     out, failed = [F.col("feed"), F.col("report_file"), F.col("line_no"), F.col("file_id")], []
     for name, kind in targets.items():
         raw = F.col(f"r_{name}")
-        parsed = F.try_variant_get(F.try_parse_json(raw), "$", kind)
-        if kind.startswith("array"):
-            text = F.try_variant_get(F.try_parse_json(raw), "$", "string")
-            listed = F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(text, ",\\s*"))
-            parsed = F.coalesce(parsed, F.when(raw.startswith('"'), listed))
+        parsed = typed_field(raw, kind)
         out.append(parsed.alias(name))
         failed.append(F.when(raw.isNotNull() & (raw != "null") & parsed.isNull(), F.lit(name)))
     return wanted.select(*out, F.array_compact(F.array(*failed)).alias("failed_casts"))
+
+
+def typed_field(raw: Column, kind: str) -> Column:
+    """Raw JSON text as a value of the kind, null where it does not fit.
+
+    Text: strings, numbers, and the ``name`` of an object. Ratio: numbers, percent texts and whole
+    numbers above 1 as hundredths. Map: objects, objects within a string, lists of
+    ``key=value``. List: lists, and strings cut at commas.
+    """
+    doc = F.try_parse_json(raw)
+    text = F.try_variant_get(doc, "$", "string")
+    if kind == "double":
+        number = F.try_variant_get(doc, "$", "double")
+        percent = F.regexp_extract(text, "^\\s*([0-9.]+)\\s*%\\s*$", 1)
+        number = F.coalesce(F.when(percent != "", percent.try_cast("double") / 100), number, text.try_cast("double"))
+        return F.when((number > 1) & (percent == ""), number / 100).otherwise(number)
+    if kind.startswith("map"):
+        inner = F.try_variant_get(F.try_parse_json(F.when(raw.startswith('"'), text)), "$", kind)
+        listed = F.try_variant_get(doc, "$", "array<string>")
+        pairs = F.map_from_entries(F.transform(F.filter(listed, lambda x: x.contains("=")), lambda x: F.struct(F.substring_index(x, "=", 1), x.substr(F.locate("=", x) + 1, F.length(x)))))
+        proper = F.size(listed) == F.size(F.array_distinct(F.transform(F.filter(listed, lambda x: x.contains("=")), lambda x: F.substring_index(x, "=", 1))))
+        return F.coalesce(F.try_variant_get(doc, "$", kind), inner, F.when(proper, pairs))
+    if kind.startswith("array"):
+        listed = F.when(F.trim(text) == "", F.expr(f"cast(array() as {kind})")).otherwise(F.split(text, ",\\s*").cast(kind))
+        return F.coalesce(F.try_variant_get(doc, "$", kind), F.when(raw.startswith('"'), listed))
+    return F.coalesce(F.try_variant_get(doc, "$.name", "string"), text).cast(kind)
