@@ -29,7 +29,7 @@ from siltstone.llm.blocks import kmeans
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "ja")
 ROWS_PER_LANGUAGE, CENTROIDS, LEAST_SHARE = 250, 3, 0.15
 BITS = 15
-SPACE = 32
+SPACE, FEATURE_SLICE = 32, 100_000
 _tables: dict = {}
 
 
@@ -142,13 +142,19 @@ def cosines(s: Segments, model: Model) -> np.ndarray:
     if not len(s.owner):
         return out
     heads = np.flatnonzero(np.r_[True, s.owner[1:] != s.owner[:-1]])
-    norm = np.sqrt(np.add.reduceat((s.times * model.idf[s.feature]) ** 2, heads))
-    dots = np.add.reduceat(model.weights[s.feature] * s.times[:, None], heads, axis=0) / np.maximum(norm, 1e-9)[:, None]
+    norm = np.maximum(np.sqrt(np.add.reduceat((s.times * model.idf[s.feature]) ** 2, heads)), 1e-9)
     best = np.zeros((len(heads), len(LANGUAGES)), np.float32)
-    for i in range(len(LANGUAGES)):
-        own = np.flatnonzero(model.language == i)
-        if len(own):
-            best[:, i] = dots[:, own].max(1)
+    # Slices of whole segments bound the gathered weights, whatever the block's size.
+    cuts = np.unique(np.r_[0, np.searchsorted(heads, np.arange(FEATURE_SLICE, len(s.owner), FEATURE_SLICE)), len(heads)])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        low, high = heads[a], heads[b] if b < len(heads) else len(s.owner)
+        gathered = model.weights[s.feature[low:high]]
+        gathered *= s.times[low:high, None]
+        dots = np.add.reduceat(gathered, heads[a:b] - low, axis=0) / norm[a:b, None]
+        for i in range(len(LANGUAGES)):
+            own = np.flatnonzero(model.language == i)
+            if len(own):
+                best[a:b, i] = dots[:, own].max(1)
     out[s.owner[heads]] = best
     return out
 
@@ -159,10 +165,18 @@ def _centroid_model(idf: np.ndarray, centroids: list[np.ndarray], language: list
     return Model(idf, np.ascontiguousarray((c * idf).T.astype(np.float32)), np.array(language), least)
 
 
+def _joined(parts: list[Segments]) -> Segments:
+    """Blocks with one segment for each text as one block."""
+    offsets = np.cumsum([0, *[len(p.doc) for p in parts]])
+    owner = np.concatenate([p.owner + o for p, o in zip(parts, offsets)] or [np.empty(0, np.int64)])
+    rest = [np.concatenate([getattr(p, k) for p in parts] or [np.empty(0, np.int64)]) for k in ("start", "end", "letters", "feature", "times")]
+    return Segments(np.arange(offsets[-1]), rest[0], rest[1], rest[2], owner, rest[3], rest[4])
+
+
 def fit(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     """Centroids of the labelled texts, cleaned of wrong labels."""
     size, labels_ = 1 << BITS, np.array(labels)
-    s = segment(texts, whole=True)
+    s = _joined([segment(part, whole=True) for _, part in _blocks(texts)])
     df = np.bincount(s.feature, minlength=size)
     idf = (np.log((1 + len(texts)) / (1 + df)) + 1).astype(np.float32)
     value = s.times * idf[s.feature]
@@ -195,8 +209,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Model:
             centroids.append(c)
             names.append(i)
     model = _centroid_model(idf, centroids, names, 0.0)
-    parts = segment([texts[i] for i in np.flatnonzero(keep)])
-    near = cosines(parts, model).max(1)[parts.letters >= 40]
+    near = []
+    for _, part in _blocks([texts[i] for i in np.flatnonzero(keep)]):
+        parts = segment(part)
+        near.append(cosines(parts, model).max(1)[parts.letters >= 40])
+    near = np.concatenate(near) if near else np.empty(0)
     model.least = float(np.quantile(near, 0.002) * 0.8) if len(near) else 0.1
     return model
 
