@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from siltstone.runtime import cut_lineage
 
 
+KEY_FIELD = "file_id"
+
+
 def _kind(v: Column) -> Column:
     """boolean, integer, decimal, string, array, object or null of a VARIANT."""
     t = F.schema_of_variant(v)
@@ -41,7 +44,7 @@ def path_values(lines: DataFrame, json_col: str = "raw_json", keep: tuple[str, .
     """
     docs = lines.select(*keep, F.try_parse_json(json_col).alias("doc")).where(F.schema_of_variant("doc").startswith("OBJECT"))
     fields = docs.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("doc").outer()))
-    load = F.try_variant_get("doc", "$.file_id", "string")
+    load = F.try_variant_get("doc", f"$.{KEY_FIELD}", "string")
     return fields.select(*keep, load.alias("load"), F.col("key").alias("field"), F.to_json("value").alias("value"), _kind(F.col("value")).alias("kind"))
 
 
@@ -60,44 +63,62 @@ def file_order(fields: DataFrame) -> DataFrame:
 
 def field_statistics(fields: DataFrame) -> DataFrame:
     """(feed, report_file, field, kind, filled, lines): type of most non-null values of each field of each file (ties: first by name)."""
-    counts = fields.groupBy("feed", "report_file", "field", "kind").agg(F.count("*").alias("n"))
+    counts = fields.groupBy("feed", "report_file", "field", "kind").agg(F.count("*").alias("n"), F.max("reported_at").alias("reported_at"))
     most = F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("n", F.translate("kind", "abdijos", "sojidba"))))
-    return counts.groupBy("feed", "report_file", "field").agg(most.alias("kind"), F.sum(F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(0)).alias("filled"), F.sum("n").alias("lines"))
+    return counts.groupBy("feed", "report_file", "field").agg(F.max("reported_at").alias("reported_at"), most.alias("kind"), F.sum(F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(0)).alias("filled"), F.sum("n").alias("lines"))
+
+
+def field_changes(stats: DataFrame) -> DataFrame:
+    """(feed, report_file, previous, field, old_kind, new_kind, gone, fresh): fields of a file and its predecessor side by side."""
+    order = file_order(stats).where(F.col("previous").isNotNull())
+    key = ["feed", "report_file", "field"]
+    now = stats.join(order, ["feed", "report_file"]).select(*key, "previous", F.lit(0).alias("old"), "kind")
+    then = order.join(stats.select("feed", F.col("report_file").alias("previous"), "field", "kind"), ["feed", "previous"]).select(*key, "previous", F.lit(1).alias("old"), "kind")
+    both = now.unionByName(then).groupBy(*key, "previous")
+    side = lambda n: F.max(F.when(F.col("old") == n, F.col("kind")))
+    return both.agg(side(1).alias("old_kind"), side(0).alias("new_kind"), (F.min("old") == 1).alias("gone"), (F.max("old") == 0).alias("fresh"))
+
+
+def value_digests(fields: DataFrame, changes: DataFrame) -> DataFrame:
+    """(feed, report_file, old, field, d1, d2, filled, loads): one digest of the values of a vanished or new field over all loads that both files hold.
+
+    Two fields hold the same values for all loads when their digests agree, so no pairs of
+    fields are compared value by value. A field that a load lacks counts as a value of its own.
+    """
+    sides = changes.groupBy("feed", "report_file", "previous").agg(F.collect_list(F.when(F.col("gone"), F.col("field"))).alias("gone"), F.collect_list(F.when(F.col("fresh"), F.col("field"))).alias("fresh")).where((F.size("gone") > 0) & (F.size("fresh") > 0))
+    wanted = cut_lineage(sides.select("feed", F.col("report_file").alias("change"), F.explode(F.array(F.struct(F.col("report_file"), F.lit(0).alias("old"), F.col("fresh").alias("names")), F.struct(F.col("previous").alias("report_file"), F.lit(1).alias("old"), F.col("gone").alias("names")))).alias("s")).select("feed", "change", "s.*"))
+    # ``file_id`` marks that a file holds a load; it is a field of the line itself.
+    rows = fields.where(F.col("load").isNotNull()).join(wanted, ["feed", "report_file"])
+    rows = rows.where(F.array_contains("names", F.col("field")) | (F.col("field") == KEY_FIELD))
+    once = rows.groupBy("feed", "change", "load", "old", "field").agg(F.max("value").alias("value"))
+    shared = once.groupBy("feed", "change", "load").agg(F.max("old").alias("hi"), F.min("old").alias("lo"), F.map_from_entries(F.collect_list(F.struct(F.struct("old", "field"), "value"))).alias("held")).where("hi = 1 and lo = 0")
+    names = wanted.select("feed", "change", "old", F.explode("names").alias("field"))
+    values = shared.join(names, ["feed", "change"]).select("feed", F.col("change").alias("report_file"), "old", "field", "load", F.try_element_at("held", F.struct("old", "field")).alias("v"))
+    number = lambda h: F.sum(h.cast("decimal(20,0)"))
+    digest = [number(F.xxhash64("load", F.coalesce("v", F.lit("\u0000")))).alias("d1"), number(F.xxhash64("v", "load", F.lit(7))).alias("d2"), F.count_if(F.coalesce(F.col("v"), F.lit("null")) != "null").alias("filled"), F.count("*").alias("loads")]
+    return values.groupBy("feed", "report_file", "old", "field").agg(*digest).where(F.col("filled") > 0)
 
 
 def drift(lines: DataFrame) -> DataFrame:
-    """(feed, report_file, drift_kind, old_field, new_field): every change of a file against its predecessor."""
+    """(feed, report_file, drift_kind, old_field, new_field): every change of a file against its predecessor.
+
+    Fields that vanish and appear with the same values for all loads in both files (at least
+    one value that is not null) are renames; several such pair up in the order of their names.
+    """
     fields = path_values(distinct_lines(lines))
-    order = file_order(fields)
-    stats = field_statistics(fields)
-    key = ["feed", "report_file", "field"]
-    now = stats.join(order, ["feed", "report_file"]).where(F.col("previous").isNotNull())
-    then = order.where(F.col("previous").isNotNull()).join(stats.withColumnRenamed("report_file", "previous"), ["feed", "previous"])
-    both = now.select(*key, F.col("kind").alias("new_kind"), F.lit(True).alias("here")).join(then.select(*key, F.col("kind").alias("old_kind"), F.lit(True).alias("there")), key, "full")
-    retyped = both.where((F.col("new_kind") != F.col("old_kind"))).select("feed", "report_file", F.lit("retyped").alias("drift_kind"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
-    gone = both.where(F.col("here").isNull()).select(*key)
-    fresh = both.where(F.col("there").isNull()).select(*key)
-
-    # Values of vanished and new fields by load; a pair is a rename when all loads in both files agree.
-    values = fields.where(F.col("load").isNotNull()).groupBy(*key, "load").agg(F.max("value").alias("value"))
-    loads = values.select("feed", "report_file", "load").distinct()
-    shared = order.where(F.col("previous").isNotNull()).join(loads, ["feed", "report_file"]).join(loads.withColumnRenamed("report_file", "previous"), ["feed", "previous", "load"])
-    totals = shared.groupBy("feed", "report_file").agg(F.count("*").alias("loads"))
-    old = gone.withColumnRenamed("field", "old_field").join(shared, ["feed", "report_file"]).join(values.select("feed", F.col("report_file").alias("previous"), F.col("field").alias("old_field"), "load", F.col("value").alias("v")), ["feed", "previous", "old_field", "load"], "left")
-    new = fresh.withColumnRenamed("field", "new_field").join(shared.drop("previous"), ["feed", "report_file"]).join(values.select("feed", "report_file", F.col("field").alias("new_field"), "load", F.col("value").alias("v")), ["feed", "report_file", "new_field", "load"], "left")
-    # One digest of all (load, value) of a field stands for the comparison of every pair of fields.
-    pair = F.xxhash64("load", F.coalesce("v", F.lit("\u0000"))).cast("decimal(20,0)")
-    filled = F.count_if(F.coalesce(F.col("v"), F.lit("null")) != "null").alias("filled")
-    digest = [F.sum(pair).alias("d1"), F.sum(F.xxhash64("v", "load", F.lit(7)).cast("decimal(20,0)")).alias("d2"), filled, F.count("*").alias("loads")]
-    a = old.groupBy("feed", "report_file", "old_field").agg(*digest).where(F.col("filled") > 0)
-    b = new.groupBy("feed", "report_file", "new_field").agg(*digest).where(F.col("filled") > 0)
-    same = a.join(b, ["feed", "report_file", "d1", "d2", "loads"]).join(totals, ["feed", "report_file", "loads"])
-    # Fields with equal values on all loads pair up in the order of their names.
-    twins = ["feed", "report_file", "d1", "d2"]
-    ranked = same.withColumn("i", F.dense_rank().over(Window.partitionBy(*twins).orderBy("old_field"))).withColumn("j", F.dense_rank().over(Window.partitionBy(*twins).orderBy("new_field")))
-    renamed = ranked.where("i = j").select("feed", "report_file", F.lit("renamed").alias("drift_kind"), "old_field", "new_field")
-    removed = gone.withColumnRenamed("field", "old_field").join(renamed, ["feed", "report_file", "old_field"], "left_anti").select("feed", "report_file", F.lit("removed").alias("drift_kind"), "old_field", F.lit("").alias("new_field"))
-    added = fresh.withColumnRenamed("field", "new_field").join(renamed, ["feed", "report_file", "new_field"], "left_anti").select("feed", "report_file", F.lit("added").alias("drift_kind"), F.lit("").alias("old_field"), "new_field")
+    stats = cut_lineage(field_statistics(fields))
+    changes = cut_lineage(field_changes(stats))
+    digests = cut_lineage(value_digests(fields, changes))
+    twins = ["feed", "report_file", "d1", "d2", "loads"]
+    place = F.row_number().over(Window.partitionBy(*twins, "old").orderBy("field"))
+    ranked = digests.withColumn("i", place)
+    old = ranked.where("old = 1").select(*twins, "i", F.col("field").alias("old_field"))
+    new = ranked.where("old = 0").select(*twins, "i", F.col("field").alias("new_field"))
+    renamed = cut_lineage(old.join(new, [*twins, "i"]).select("feed", "report_file", F.lit("renamed").alias("drift_kind"), "old_field", "new_field"))
+    key = ["feed", "report_file"]
+    retyped = changes.where("new_kind <> old_kind").select(*key, F.lit("retyped").alias("drift_kind"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
+    removed = changes.where("gone").select(*key, F.col("field").alias("old_field")).join(renamed, [*key, "old_field"], "left_anti").select(*key, F.lit("removed").alias("drift_kind"), "old_field", F.lit("").alias("new_field"))
+    added = changes.where("fresh").select(*key, F.col("field").alias("new_field")).join(renamed, [*key, "new_field"], "left_anti").select(*key, F.lit("added").alias("drift_kind"), F.lit("").alias("old_field"), "new_field")
     return renamed.unionByName(removed).unionByName(added).unionByName(retyped)
 
 
