@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The synonym groups, tested in this order.
 SYNONYMS = {
@@ -112,7 +113,7 @@ def dynamic_threshold(attributes: Column | str) -> Column:
     return F.when(_c(attributes) < 10, 0.6).otherwise(0.8)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two names (1.0 when equal, 0.0 when either is empty); order of the arguments matters."""
     return pd.Series([plain_ratio(x, y) for x, y in zip(a, b)])

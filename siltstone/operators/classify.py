@@ -15,13 +15,20 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Key patterns and cut-offs of the rules.
 RELATIONAL_KEYS = ["id", "key", "pk", "fk", "foreign"]
 LARGE_TEXT_KEYS = ["content", "description", "html", "text", "body", "message"]
 LARGE_TEXT, LONG_TEXT, LONG_DOCUMENT, MOSTLY = 500, 5000, 3000, 0.8
 
-FACTS = "parsed boolean, flat boolean, depth int, array_objects boolean, same_keys boolean, relational boolean, dynamic boolean, consistent boolean, primitive boolean, large_text boolean"
+
+
+def _shape(names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.IntegerType() if n == "depth" else T.BooleanType()) for n in names.split()])
+
+
+FACTS = _shape("parsed flat depth array_objects same_keys relational dynamic consistent primitive large_text")
 
 
 def _c(x: Column | str) -> Column:
@@ -164,7 +171,7 @@ def json_facts(text: pd.Series) -> pd.DataFrame:
             rows.append(value_facts(json.loads(t)))
         except (ValueError, TypeError, RecursionError):
             rows.append((False,) + (None,) * 9)
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in FACTS.split(", ")])
+    return pd.DataFrame(rows, columns=FACTS.names)
 
 
 @F.pandas_udf(FACTS)
@@ -177,10 +184,10 @@ def yaml_facts(text: pd.Series) -> pd.DataFrame:
             rows.append(value_facts(yaml.safe_load(t)))
         except Exception:  # any broken document
             rows.append((False,) + (None,) * 9)
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in FACTS.split(", ")])
+    return pd.DataFrame(rows, columns=FACTS.names)
 
 
-XML_FACTS = "parsed boolean, depth int, repeated boolean, same_attributes boolean"
+XML_FACTS = _shape("parsed depth repeated same_attributes")
 
 
 @F.pandas_udf(XML_FACTS)
@@ -199,7 +206,7 @@ def xml_facts(text: pd.Series) -> pd.DataFrame:
             todo += [(x, depth + 1) for x in e]
         children = list(root)
         rows.append((True, most, len(children) > 1 and len({c.tag for c in children}) == 1, len(children) > 1 and len({frozenset(c.attrib) for c in children}) == 1))
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in XML_FACTS.split(", ")])
+    return pd.DataFrame(rows, columns=XML_FACTS.names)
 
 
 def xml_points(facts: Column) -> Points:

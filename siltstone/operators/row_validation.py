@@ -18,11 +18,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BOM = "﻿"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def quoted_fields(raw: pd.Series, delim: pd.Series) -> pd.Series:
     """The fields of records that hold quotes; null where the quoting is broken."""
     rules: dict[str, re.Pattern] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "texts_files")
+MODULES = ("texts_files", "structures", "quality")
 
 
 def queries() -> dict:

@@ -19,6 +19,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions import files
 
@@ -88,7 +89,7 @@ def pdf_text(raw: bytes) -> str:
     return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(raw)).pages)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def full_text(content: pd.Series, extension: pd.Series) -> pd.Series:
     """The text of a file: text families as they are, documents by their parser, '' for what can't be read."""
 
