@@ -3,7 +3,7 @@
 Plan, for N rows:
 
 1. ``unit_vectors`` normalises the usable vectors (Arrow batches) and drops the rest.
-2. ``vector_groups`` keeps each id once (its latest row) and folds exact copies into
+2. ``vector_groups`` keeps each id once (its latest row) and folds copies of any norm into
    one group, so that a vector held by a third of all rows is searched once. A group
    carries its smallest ids only (``k`` + 2 of them), found with a pre-shuffle group limit.
 3. ``train`` fits coarse centroids and residual codebooks on a bounded sample.
@@ -42,19 +42,27 @@ class Index:
 
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str | None, dim: int) -> DataFrame:
-    """(id, version, vec): usable vectors at unit length as float32 bytes."""
+    """(id, version, vec, vhash): usable vectors at unit length as float32 bytes.
+
+    ``vhash`` is a hash of the unit vector at 16 bits a number, so that copies of another
+    norm meet; vectors of one hash have a cosine above 1 - 1e-7.
+    """
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
             at, x = usable_matrix(batch.column(1), dim)
             if len(at):
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), binary_column(x)], names=["id", "version", "vec"])
+                coarse = (np.rint(x * 32767) + 0.0).astype(np.int16).view(np.uint8).reshape(len(x), -1)
+                digest = np.array([xxhash.xxh3_64_intdigest(row) for row in map(bytes, coarse)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), binary_column(x), pa.array(digest)], names=["id", "version", "vec", "vhash"])
 
     version = F.col(version_col).cast("timestamp") if version_col else F.lit(None).cast("timestamp")
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("e"), version.alias("version"))
     rows = rows.where(F.col("id").isNotNull() & (F.size("e") == dim)).select("id", "e", "version")
-    return rows.mapInArrow(run, "id bigint, version timestamp, vec binary").withColumn("vhash", F.xxhash64("vec"))
+    return rows.mapInArrow(run, "id bigint, version timestamp, vec binary, vhash bigint")
 
 
 def current_ids(units: DataFrame) -> DataFrame:
@@ -193,6 +201,7 @@ def best_of(qi: np.ndarray, xi: np.ndarray, queries: np.ndarray, stored: np.ndar
     sim = np.empty(len(qi), np.float32)
     for i in range(0, len(qi), 65_536):
         sim[i : i + 65_536] = np.einsum("ij,ij->i", queries[qi[i : i + 65_536]], stored[xi[i : i + 65_536]])
+    sim = np.round(sim, 6)
     order = np.lexsort((ids[xi], -sim, qi))
     qi, xi, sim = qi[order], xi[order], sim[order]
     counts = np.bincount(qi, minlength=len(queries))
