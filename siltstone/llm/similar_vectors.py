@@ -195,19 +195,27 @@ def scan_list(queries: np.ndarray, stored: np.ndarray, centroid: np.ndarray, cod
 
 
 def best_of(qi: np.ndarray, xi: np.ndarray, queries: np.ndarray, stored: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best stored vectors of each query after exact comparison; a query is not its own answer."""
+    """The k best stored vectors of each query after exact comparison; a query is not its own answer.
+
+    Query, distance in millionths and rank of the id make one 63-bit number for each pair, so
+    one sort orders all pairs with ties by id (up to 2^21 queries, 2^21 rows a list).
+    """
     away = own[qi] != ids[xi]
     qi, xi = qi[away], xi[away]
     sim = np.empty(len(qi), np.float32)
-    for i in range(0, len(qi), 65_536):
-        sim[i : i + 65_536] = np.einsum("ij,ij->i", queries[qi[i : i + 65_536]], stored[xi[i : i + 65_536]])
-    sim = np.round(sim, 6)
-    order = np.lexsort((ids[xi], -sim, qi))
-    qi, xi, sim = qi[order], xi[order], sim[order]
+    for i in range(0, len(qi), 16_384):
+        sim[i : i + 16_384] = np.einsum("ij,ij->i", queries[qi[i : i + 16_384]], stored[xi[i : i + 16_384]])
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
+    apart = np.clip(np.rint((1.0 - sim.astype(np.float64)) * 1_000_000), 0, (1 << 21) - 1).astype(np.int64)
+    key = (qi.astype(np.int64) << 42) | (apart << 21) | rank[xi]
+    key.sort()
+    qi = key >> 42
     counts = np.bincount(qi, minlength=len(queries))
     at = np.arange(len(qi)) - np.repeat(np.cumsum(counts) - counts, counts)
-    keep = at < k
-    return qi[keep], xi[keep], sim[keep]
+    key = key[at < k]
+    return key >> 42, by_id[key & ((1 << 21) - 1)], 1.0 - ((key >> 21) & ((1 << 21) - 1)) / 1_000_000
 
 
 def search(routed: DataFrame, index: Index, k: int, want: int) -> DataFrame:
@@ -241,7 +249,7 @@ def search(routed: DataFrame, index: Index, k: int, want: int) -> DataFrame:
             reps = np.repeat(np.arange(len(xi)), held)
             within = np.arange(len(reps)) - np.repeat(np.cumsum(held) - held, held)
             q_all.append(qi[reps] + s)
-            d_all.append(-sim[reps].astype(np.float64))
+            d_all.append(-sim[reps])
             n_all.append(flat[offsets[xi[reps]] + within])
         q, d, n = np.concatenate(q_all), np.concatenate(d_all), np.concatenate(n_all)
         counts = np.bincount(q, minlength=len(queries))
@@ -254,7 +262,7 @@ def search(routed: DataFrame, index: Index, k: int, want: int) -> DataFrame:
     return routed.groupBy("cell").applyInArrow(run, schema)
 
 
-def knn_graph(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, k: int = 5, list_rows: int = 4096, nprobe: int = 4, parts: int = 16, want: int = 40) -> DataFrame:
+def knn_graph(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, k: int = 5, list_rows: int = 4096, nprobe: int = 4, parts: int = 16, want: int = 160) -> DataFrame:
     """(id, near): the k most similar other ids of every usable id, as an ascending array of (d = minus cosine, id).
 
     ``nprobe`` lists of about ``list_rows`` vectors are searched for each query; both are the
