@@ -117,7 +117,7 @@ def chunk_ends(text: str, target: int, most: int) -> tuple[list[int], list[bool]
     return ends, opens
 
 
-def encode_corpus(df: DataFrame, id_col: str, text_col: str, target: int = 160, most: int = 4096, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def encode_corpus(df: DataFrame, id_col: str, text_col: str, target: int = 320, most: int = 4096, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """(doc_id, ids): the token ids of every row of df."""
     width = shuffle_width(df.sparkSession)
     piece = pa.schema([("hash", pa.int64()), ("check", pa.int64()), ("use", pa.bool_()), ("uid", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("open", pa.bool_()), ("chunk", pa.binary())])
@@ -141,7 +141,7 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, target: int = 160,
                         opened.append(is_open)
                         start = end
                     uids += [uid] * len(ends)
-                    ids += [docs[at]] * len(ends)
+                    ids += [docs[at]] + [None] * (len(ends) - 1)
                     size += len(text)
                     uid += 1
                     at += 1
