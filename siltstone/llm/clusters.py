@@ -109,6 +109,12 @@ def join_block(forest: Forest, a_ids: np.ndarray, b_ids: np.ndarray, similar: np
                 forest.join(int(a_ids[hit_rows[i]]), int(a_ids[hit_rows[j]]))
 
 
+def one_tree(forest: Forest, ids: np.ndarray) -> bool:
+    """Whether all ids are joined already, so that no further comparison among them can change a cluster."""
+    root = forest.find(int(ids[0]))
+    return all(forest.find(i) == root for i in ids.tolist())
+
+
 # --- vectors --------------------------------------------------------------------------
 
 
@@ -222,6 +228,8 @@ def vector_stars(points: DataFrame, tree: Tree, cosine: float, dim: int) -> Data
         x = fixed_rows(table.column("vec"), np.float32, dim)
         forest = Forest()
         for i in range(0, len(x), 512):
+            if one_tree(forest, ids[i:]):
+                break
             similar = x[i : i + 512] @ x[i:].T >= cosine
             similar[np.arange(len(similar)), np.arange(len(similar))] = False
             join_block(forest, ids[i : i + 512], ids[i:], similar)
@@ -342,6 +350,8 @@ def path_stars(points: DataFrame, frequency: np.ndarray, least: float, cell_rows
             part = least / (1 + least)
             at = np.flatnonzero(stored)
             for i in range(0, len(at), 512):
+                if one_tree(forest, ids):
+                    break
                 a = at[i : i + 512]
                 need = part * (sizes[a][:, None] + sizes[None, :])
                 x, y = np.nonzero(v[a] @ v.T >= need - 1e-3)
