@@ -55,10 +55,21 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
 
 def file_order(fields: DataFrame) -> DataFrame:
-    """(feed, report_file, previous): the preceding file of each file's feed by reported_at."""
+    """(feed, report_file, previous): the preceding file of each file's feed by reported_at.
+
+    Files are range-partitioned by feed and time, so a feed with a third of all files spreads
+    over many tasks; a partition's first file follows the last one of the partition before it,
+    of which there is one row each.
+    """
+    order = ["feed", "reported_at", "report_file"]
     files = fields.groupBy("feed", "report_file").agg(F.max("reported_at").alias("reported_at"))
-    w = Window.partitionBy("feed").orderBy("reported_at", "report_file")
-    return files.select("feed", "report_file", F.lag("report_file").over(w).alias("previous"))
+    spread = cut_lineage(files.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_p").orderBy(*order)
+    here = F.struct("feed", "report_file")
+    ends = spread.groupBy("_p").agg(F.max_by(here, F.struct(*order)).alias("last"))
+    before = ends.select("_p", F.lag("last").over(Window.orderBy("_p")).alias("before"))
+    rows = spread.withColumn("inner", F.lag(here).over(w)).join(before, "_p").withColumn("prior", F.coalesce("inner", "before"))
+    return rows.select("feed", "report_file", F.when(F.col("prior.feed") == F.col("feed"), F.col("prior.report_file")).alias("previous"))
 
 
 def field_statistics(fields: DataFrame) -> DataFrame:
