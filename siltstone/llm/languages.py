@@ -7,7 +7,7 @@ centroids of normalised TF-IDF vectors of hashed letter trigrams (and single let
 non-Latin scripts).
 
 Every text is read whole. It is cut into sentences (long ones at blanks); words that hold
-digits or are longer than 40 Latin letters are left out. A segment's vector is compared with all
+digits, joiners of codes and addresses (as _ / = &) or over 40 Latin letters are left out. A segment's vector is compared with all
 centroids by cosine; segments far from all are rejected, short or undecided ones take the
 language of their text that suits them best. A language counts for a text from ``LEAST_SHARE``
 of the letters on. Texts that are null, blank or without prose get no language.
@@ -30,6 +30,7 @@ LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "ja")
 ROWS_PER_LANGUAGE, CENTROIDS, LEAST_SHARE = 250, 3, 0.15
 BITS = 15
 SPACE, FEATURE_SLICE = 32, 100_000
+JOINERS = np.isin(np.arange(128), [ord(c) for c in "_/=&+@\\\\#~"])
 _tables: dict = {}
 
 
@@ -95,13 +96,16 @@ def segment(texts: list[str], whole: bool = False, longest: int = 200) -> Segmen
         begins[0] = 0
         seg = np.cumsum(begins)
     count = int(seg[-1]) + 1 if n else 0
-    # words: runs of letters and digits; those with digits or overlong are no prose
-    word = (kind > 0) & (points < 0x3000)
+    # words: runs of letters, digits and joiners of codes, paths and addresses; those that hold
+    # a digit or joiner or are overlong are no prose
+    joiner = JOINERS[np.minimum(points, 127)] & (points < 127)
+    word = ((kind > 0) | joiner) & (points < 0x3000)
     edge = np.flatnonzero(word & ~np.r_[False, word[:-1]])
     close = np.flatnonzero(word & ~np.r_[word[1:], False])
     if len(edge):
-        digits = np.cumsum(kind == 2)
-        held = digits[close] - digits[edge] + (kind[edge] == 2)
+        marked = (kind == 2) | joiner
+        marks = np.cumsum(marked)
+        held = marks[close] - marks[edge] + marked[edge]
         junk = (held > 0) | ((close - edge >= 40) & (points[edge] < 0x370))
         flags = np.zeros(n + 1, np.int32)
         np.add.at(flags, edge[junk], 1)
