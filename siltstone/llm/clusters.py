@@ -181,53 +181,62 @@ def grow_tree(sample: np.ndarray, total: int, leaf_rows: int, dims: int, chord:
     return tree
 
 
-def _leaves(tree: Tree, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Each leaf with the positions of its points."""
+def _leaves(tree: Tree, x: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Each leaf with the positions of its points and whether it is their home (the leaf without margins)."""
+    everything = (np.arange(len(x)), np.ones(len(x), bool))
     if not tree.normal:
-        return [(0, np.arange(len(x)))]
+        return [(0, *everything)]
     reduced = x @ tree.axes
-    out, todo = [], [(0, np.arange(len(x)))]
+    out, todo = [], [(0, *everything)]
     while todo:
-        node, at = todo.pop()
+        node, at, home = todo.pop()
         if not len(at):
             continue
         if node < 0:
-            out.append((-node - 1, at))
+            out.append((-node - 1, at, home))
             continue
-        p = reduced[at] @ tree.normal[node]
-        todo.append((tree.left[node], at[p <= tree.at[node] + tree.margin]))
-        todo.append((tree.right[node], at[p > tree.at[node] - tree.margin]))
+        p = reduced[at] @ tree.normal[node] - tree.at[node]
+        low, high = p <= tree.margin, p > -tree.margin
+        todo.append((tree.left[node], at[low], (home & (p <= 0))[low]))
+        todo.append((tree.right[node], at[high], (home & (p > 0))[high]))
     return out
 
 
 def vector_stars(points: DataFrame, tree: Tree, cosine: float, dim: int) -> DataFrame:
-    """(gid, lab) of the local clusters of the leaves of points (gid, vec)."""
+    """(gid, lab) of the local clusters of the leaves of points (gid, vec).
+
+    A point within the margin of its neighbour's home leaf lies in it, so a leaf compares
+    only the points at home there with all its points.
+    """
     base = np.cumsum([0, *[b * (b + 1) // 2 for b in tree.blocks]])
 
     def spread(batches):
         for batch in batches:
             gid = batch.column(0).to_numpy()
             x = fixed_rows(batch.column(1), np.float32, dim)
-            cells, who = [], []
-            for leaf, at in _leaves(tree, x):
+            cells, who, homes = [], [], []
+            for leaf, at, home in _leaves(tree, x):
                 b = tree.blocks[leaf]
                 mine = (gid[at] * np.int64(0x9E3779B97F4A7C1) >> 20) % b
                 for j in range(b):
                     lo, hi = np.minimum(mine, j), np.maximum(mine, j)
                     cells.append(base[leaf] + lo * b - lo * (lo - 1) // 2 + hi - lo)
                     who.append(at)
+                    homes.append(home)
             if cells:
-                cells, who = np.concatenate(cells), np.concatenate(who)
+                cells, who, homes = np.concatenate(cells), np.concatenate(who), np.concatenate(homes)
                 for i in range(0, len(who), 8192):
                     take = pa.array(who[i : i + 8192])
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + 8192]), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "gid", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + 8192]), pa.array(homes[i : i + 8192]), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "home", "gid", "vec"])
 
     def cluster(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table.column("gid").to_numpy()
-        x = fixed_rows(table.column("vec"), np.float32, dim)
+        home = table.column("home").to_numpy()
+        order = np.argsort(~home, kind="stable")
+        ids = table.column("gid").to_numpy()[order]
+        x = fixed_rows(table.column("vec"), np.float32, dim)[order]
         forest = Forest()
-        for i in range(0, len(x), 512):
+        for i in range(0, int(home.sum()), 512):
             if one_tree(forest, ids[i:]):
                 break
             similar = x[i : i + 512] @ x[i:].T >= cosine
@@ -235,7 +244,7 @@ def vector_stars(points: DataFrame, tree: Tree, cosine: float, dim: int) -> Data
             join_block(forest, ids[i : i + 512], ids[i:], similar)
         return pa.Table.from_batches([_star_batch(forest)])
 
-    cells = points.select("gid", "vec").mapInArrow(spread, "cell bigint, gid bigint, vec binary")
+    cells = points.select("gid", "vec").mapInArrow(spread, "cell bigint, home boolean, gid bigint, vec binary")
     return cells.groupBy("cell").applyInArrow(cluster, "gid bigint, lab bigint")
 
 
@@ -300,7 +309,7 @@ def path_stars(points: DataFrame, frequency: np.ndarray, least: float, cell_rows
     def spread(batches):
         for batch in batches:
             gid = batch.column(0).to_numpy()
-            cells, who, kept = [], [], []
+            cells, who, kept, sizes = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 g = grams_of(text)
                 b = _bucket(g)
@@ -320,33 +329,36 @@ def path_stars(points: DataFrame, frequency: np.ndarray, least: float, cell_rows
                 cells.append(cell)
                 kept.append(isin)
                 who.append(np.full(len(cell), i))
+                sizes.append(n)
             if cells:
-                cells, who, kept = np.concatenate(cells), np.concatenate(who), np.concatenate(kept)
+                cells, who, kept, sizes = np.concatenate(cells), np.concatenate(who), np.concatenate(kept), np.array(sizes, np.int32)
                 for i in range(0, len(who), 16_384):
                     take = pa.array(who[i : i + 16_384])
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + 16_384]), pa.array(kept[i : i + 16_384]), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "stored", "gid", "path"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + 16_384]), pa.array(kept[i : i + 16_384]), batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes[who[i : i + 16_384]])], names=["cell", "stored", "gid", "path", "n"])
 
     def cluster(batches):
         forest = Forest()
-        known: dict[int, np.ndarray] = {}
         for table in runs(batches, "cell"):
             n = table.num_rows
             stored = table.column("stored").to_numpy()
             if n < 2 or not stored.any():
                 continue
-            ids = table.column("gid").to_numpy()
-            sets = []
-            if len(known) > 20_000:
-                known.clear()
-            for i, t in zip(ids.tolist(), table.column("path").to_pylist()):
-                s = known.get(i)
-                if s is None:
-                    s = known[i] = grams_of(t)
-                sets.append(s)
-            sizes = np.array([len(s) for s in sets], np.float32)
-            flat = np.concatenate(sets)
-            rows = np.repeat(np.arange(n), sizes.astype(np.int64))
-            v = np.bincount(rows * hashed + _bucket(flat) % hashed, minlength=n * hashed).reshape(n, hashed).astype(np.float32)
+            ids, sizes = table.column("gid").to_numpy(), table.column("n").to_numpy().astype(np.float32)
+            texts = table.column("path").to_pylist()
+            # Reduced vectors: hashed counts of distinct substrings, whose products are never below
+            # the size of the intersection; bit maps narrow the pairs further, up to a set's own clashes.
+            c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            rows = np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n))
+            inside = rows[:-2] == rows[2:]
+            flat = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            keys = np.sort((rows[:-2][inside] << 40) | (flat >> np.uint64(24)).astype(np.int64))
+            keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
+            rows, flat = keys >> 40, keys & ((1 << 40) - 1)
+            v = np.bincount(rows * hashed + (flat * hashed >> 40), minlength=n * hashed).reshape(n, hashed).astype(np.float32)
+            bits = np.zeros((n, 1024), np.uint8)
+            bits[rows, (flat >> 20) & 1023] = 1
+            bits = np.packbits(bits, axis=1).view(np.uint64)
+            clashes = sizes - np.bitwise_count(bits).sum(1)
             part = least / (1 + least)
             at = np.flatnonzero(stored)
             for i in range(0, len(at), 512):
@@ -356,16 +368,17 @@ def path_stars(points: DataFrame, frequency: np.ndarray, least: float, cell_rows
                 need = part * (sizes[a][:, None] + sizes[None, :])
                 x, y = np.nonzero(v[a] @ v.T >= need - 1e-3)
                 x = a[x]
-                ok = x != y
+                most = np.bitwise_count(bits[x] & bits[y]).sum(1) + np.minimum(clashes[x], clashes[y])
+                ok = (x != y) & (most >= part * (sizes[x] + sizes[y]) - 1e-3)
                 for p, q in zip(x[ok].tolist(), y[ok].tolist()):
                     if forest.find(int(ids[p])) == forest.find(int(ids[q])):
                         continue
-                    both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                    both = len(np.intersect1d(grams_of(texts[p]), grams_of(texts[q]), assume_unique=True))
                     if both >= least * (sizes[p] + sizes[q] - both) - 1e-9:
                         forest.join(int(ids[p]), int(ids[q]))
         yield _star_batch(forest)
 
-    cells = points.select("gid", "path").mapInArrow(spread, "cell bigint, stored boolean, gid bigint, path string")
+    cells = points.select("gid", "path").mapInArrow(spread, "cell bigint, stored boolean, gid bigint, path string, n int")
     return cells.repartition(shuffle_width(points.sparkSession) * 2, "cell").sortWithinPartitions("cell").mapInArrow(cluster, "gid bigint, lab bigint")
 
 

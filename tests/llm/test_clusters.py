@@ -69,7 +69,7 @@ def test_tree_splits_and_blocks(spark):
     tree = C.grow_tree(x, len(x), 500, 32, 0.5177, 3.5, 0.35, 150)
     assert len(tree.normal) >= 2 and max(tree.blocks) > 1
     leaves = C._leaves(tree, x)
-    assert sum(len(at) for _, at in leaves) >= len(x) and set(np.concatenate([at for _, at in leaves])) == set(range(len(x)))
+    assert sum(h.sum() for _, _, h in leaves) == len(x) and set(np.concatenate([at for _, at, _ in leaves])) == set(range(len(x)))
     members, _ = C.cluster_vectors(vectors(spark, x), "node_no", "e", leaf_rows=500, block_rows=150)
     assert members.select("cluster").distinct().count() <= 6 + 200
 
