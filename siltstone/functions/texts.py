@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.functions.binding import bind
+
 # Topic rules, tested in this order as substrings of the lower-cased text.
 TOPICS = [
     ("products", ["product", "price", "cost", "inventory", "stock"]),
@@ -30,6 +32,11 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), "(?U)^\\s+|\\s+$", "")
 
 
+def is_blank(text: Column | str) -> Column:
+    """Whether a text is null or holds nothing but white space."""
+    return ~F.coalesce(_c(text).rlike("(?U)\\S"), F.lit(False))
+
+
 def character_chunks(text: Column | str, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Windows of ``size`` characters every ``size - overlap``; the last one ends the text. Null and empty texts have none."""
     t, step = _c(text), size - overlap
@@ -46,13 +53,17 @@ def sentences(text: Column | str) -> Column:
 
 def first_sentences(text: Column | str, fallback: Column | str, most: int = SUMMARY_SENTENCES) -> Column:
     """The first sentences joined by blanks; the fallback (a file name) for texts without content."""
-    empty = F.coalesce(strip(text) == "", F.lit(True))
-    return F.when(empty, _c(fallback)).otherwise(F.array_join(F.slice(sentences(text), 1, most), " "))
+    # Splitting stops behind the last sentence that is wanted; only what is kept is stripped at its end.
+    parts = F.split(F.regexp_replace(_c(text), "(?U)^\\s+", ""), "(?U)(?<=[.!?])\\s+", most + 1)
+    return F.when(is_blank(text), _c(fallback)).otherwise(F.regexp_replace(F.array_join(F.slice(parts, 1, most), " "), "(?U)\\s+$", ""))
 
 
 def short_summary(text: Column | str, most: int = SUMMARY_CHARS) -> Column:
     """White space collapsed; short texts whole, else the whole sentences that fit, else a cut with dots."""
-    t = F.coalesce(F.regexp_replace(strip(text), "(?U)\\s+", " "), F.lit(""))
+    return bind(F.coalesce(F.regexp_replace(strip(text), "(?U)\\s+", " "), F.lit("")), lambda t: _packed_sentences(t, most))
+
+
+def _packed_sentences(t: Column, most: int) -> Column:
     parts = F.filter(F.split(t, "(?<=[.!?]) ", -1), lambda s: s != "")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"), F.lit(0).alias("stop"))
 
@@ -72,11 +83,15 @@ def preview(text: Column | str, most: int = PREVIEW) -> Column:
 
 def topic(text: Column | str) -> Column:
     """The first topic one of whose words occurs anywhere in the text."""
-    t, out = F.lower(F.coalesce(_c(text), F.lit(""))), None
-    for name, words in TOPICS:
-        hit = t.rlike("|".join(words))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("general")
+
+    def first_hit(t: Column) -> Column:
+        out = None
+        for name, words in TOPICS:
+            hit = t.rlike("|".join(words))
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out.otherwise("general")
+
+    return bind(F.lower(F.coalesce(_c(text), F.lit(""))), first_hit)
 
 
 def title_case(text: Column | str) -> Column:
@@ -87,13 +102,13 @@ def title_case(text: Column | str) -> Column:
 
 def folder_name(text: Column | str, collection: Column | str, modality: Column | str) -> Column:
     """The first of the first three words that names something, in title case and at most 20 characters; else collection, modality or Other."""
-    words = F.slice(F.split(strip(F.lower(_c(text))), "(?U)\\s+", -1), 1, 3)
+    words = F.slice(F.split(strip(F.lower(_c(text))), "(?U)\\s+", 4), 1, 3)
     named = F.filter(words, lambda w: ~w.isin(FOLDER_STOP_WORDS) & (F.char_length(w) > 2))
     c, m = F.coalesce(_c(collection), F.lit("")), F.coalesce(_c(modality), F.lit(""))
     blank = F.coalesce(_c(text) == "", F.lit(True))
     no_text = F.when((c != "") & (c != "general"), title_case(c)).when(m != "", title_case(m)).otherwise("Other")
     no_word = F.when(c != "general", title_case(c)).otherwise("Other")
-    return F.when(blank, no_text).when(F.size(named) > 0, F.substring(title_case(F.get(named, F.lit(0))), 1, 20)).otherwise(no_word)
+    return F.when(blank, no_text).otherwise(bind(F.get(named, F.lit(0)), lambda w: F.when(w.isNotNull(), F.substring(title_case(w), 1, 20)).otherwise(no_word)))
 
 
 def human_size(size: Column | str) -> Column:

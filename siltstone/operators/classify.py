@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.binding import bind
+
 # Key patterns and cut-offs of the rules.
 RELATIONAL_KEYS = ["id", "key", "pk", "fk", "foreign"]
 LARGE_TEXT_KEYS = ["content", "description", "html", "text", "body", "message"]
@@ -60,16 +62,21 @@ class Points:
 
 
 def verdict(sql: Column, nosql: Column, reasons: Column) -> Column:
-    confidence = F.abs(sql - nosql) / F.greatest(F.lit(1), sql, nosql)
-    return F.struct(F.when(sql >= nosql, "SQL").otherwise("NoSQL").alias("classification"), sql.cast("double").alias("sql_score"), nosql.cast("double").alias("nosql_score"), F.bround(confidence.cast("double"), 2).alias("confidence"), reasons.alias("reasons"))
+
+    def judged(v: Column) -> Column:
+        s, n = v["s"], v["n"]
+        confidence = F.abs(s - n) / F.greatest(F.lit(1), s, n)
+        return F.struct(F.when(s >= n, "SQL").otherwise("NoSQL").alias("classification"), s.cast("double").alias("sql_score"), n.cast("double").alias("nosql_score"), F.bround(confidence.cast("double"), 2).alias("confidence"), v["reasons"].alias("reasons"))
+
+    return bind(F.struct(sql.alias("s"), nosql.alias("n"), reasons.alias("reasons")), judged)
 
 
 def delimited_lines(text: Column | str, delim: str, limit: int = 10) -> Column:
     """Whether the first lines that are not blank have as many fields as the first line, more than one."""
-    lines = F.split(F.coalesce(_c(text), F.lit("")), "\n", -1)
+    lines = F.split(F.coalesce(_c(text), F.lit("")), "\n", limit + 1)
     count = lambda s: F.size(F.split(s, delim, -1))
-    head = lines[0]
-    return (F.size(lines) > 1) & (count(head) > 1) & F.forall(F.slice(lines, 1, limit), lambda s: s.rlike("^(?U)\\s*$") | (count(s) == count(head)))
+    alike = lambda l, k: (F.size(l) > 1) & (k > 1) & F.forall(F.slice(l, 1, limit), lambda s: s.rlike("^(?U)\\s*$") | (count(s) == k))
+    return bind(lines, lambda l: bind(count(l[0]), lambda k: alike(l, k)))
 
 
 def text_points(text: Column | str) -> Points:

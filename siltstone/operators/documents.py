@@ -20,7 +20,7 @@ DEFAULT_TENANT = "tenant_default"
 def content(text: Column | str, name: Column | str) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     n = F.col(name) if isinstance(name, str) else name
-    return F.when(F.coalesce(texts.strip(t) == "", F.lit(True)), F.concat(F.lit("PDF document: "), n)).otherwise(t)
+    return F.when(texts.is_blank(t), F.concat(F.lit("PDF document: "), n)).otherwise(t)
 
 
 def metadata(docs: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def metadata(docs: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame, size: int = texts.CHUNK, overlap: int = texts.OVERLAP) -> DataFrame:
     """One row for each chunk of each file with its topic; write with ``partitionBy("collection")``."""
-    full = docs.withColumn("content", content("text", "file_name")).withColumn("collection", texts.topic(texts.first_sentences("content", "file_name")))
+    full = docs.withColumn("content", content("text", "file_name")).withColumn("summary", texts.first_sentences("content", "file_name")).withColumn("collection", texts.topic("summary"))
     return full.select("file_id", F.coalesce("tenant_id", F.lit(DEFAULT_TENANT)).alias("tenant_id"), "collection", F.posexplode(texts.character_chunks("content", size, overlap)).alias("chunk_index", "chunk")).select("file_id", "tenant_id", "collection", "chunk_index", F.col("chunk").alias("text"), F.char_length("chunk").alias("chunk_size"))
 
 

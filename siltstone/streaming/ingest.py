@@ -1,6 +1,6 @@
 """Upload loop as a file stream: new files are ingested batch by batch, each exactly once.
 
-An extension: the reference has no streams. Sinks are idempotent by key (insert-if-absent
+An extension beside the batch calls. Sinks are idempotent by key (insert-if-absent
 and batch folders overwritten under the same batch id), so a restarted batch leaves no twins.
 """
 
