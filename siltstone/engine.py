@@ -99,9 +99,11 @@ class Engine:
         return catalog.file_tree(catalog.tree_rows(rows, "summary", "original_name", "_o", "collection_hint", "modality", "size_chars"))
 
     def search(self, query: str, limit: int | str | None = None, vector: list[float] | None = None, nodes: DataFrame | None = None, meta: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
-        """Semantic hits for a query vector, else metadata hits, else stored files; the source is a column."""
+        """Semantic hits for a query vector (made by the encoder where none is given), else metadata hits, else stored files; the source is a column."""
         k = search.clamp_limit(limit)
         parts = []
+        if vector is None and nodes is not None and self.encoder is not None:
+            vector = self.spark.range(1).select(self.encoder(F.lit(query))).first()[0]
         if vector is not None and nodes is not None:
             hits = search.flattened(search.nearest(nodes, vector, k)).select(F.col("node_id").alias("id"), "path", "modality", "text", "similarity")
             parts.append(("semantic", search.media_filter(hits, query)))

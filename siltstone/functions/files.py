@@ -71,6 +71,11 @@ def file_type(path: Column | str) -> Column:
     return out.otherwise("unknown")
 
 
+def is_video_node(mime: Column | str, name: Column | str) -> Column:
+    """Whether a tree node is a video, by its MIME type or extension."""
+    return F.coalesce(_c(mime).startswith("video/"), F.lit(False)) | extension(name).isin(VIDEO)
+
+
 def relative_path(path: Column | str, root: str) -> Column:
     """A path below the root relative to it; other paths as they are, '' as null."""
     p, r = _c(path), root.rstrip("/") + "/"

@@ -79,6 +79,14 @@ def file_tree(rows: DataFrame) -> DataFrame:
     return rows.groupBy("folder").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.lower("file").alias("k"), "file", "size", "mime_type"))), lambda s: F.struct(s["file"].alias("name"), s["size"].alias("size"), s["mime_type"].alias("mime_type"))).alias("children"))
 
 
+def tree_matches(rows: DataFrame, query: str, columns: tuple[str, ...] = ("folder", "file")) -> DataFrame:
+    """Tree rows whose name or path holds the query at any depth, whatever its case; all rows for an empty query."""
+    hit = F.lit(not query)
+    for c in columns:
+        hit = hit | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(query.lower()))
+    return rows.where(hit)
+
+
 def storage_entries(paths: DataFrame, root: str, path_col: str = "path", size_col: str = "length") -> DataFrame:
     """(parent, name, kind, size, place): entries of a storage tree; dotted names are skipped, folders come before files."""
     rel = files.relative_path(path_col, root)

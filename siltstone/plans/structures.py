@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import attributes as A
 from siltstone.functions import files, texts
+from siltstone.functions.encoders import hashing_encoder, plain_encode
 from siltstone.operators import catalog as K
 from siltstone.operators import classify as C
 from siltstone.operators import documents as D
 from siltstone.operators import evolution as E
 from siltstone.operators import loader as L
 from siltstone.operators import search as S
-from siltstone.plans.texts_files import docs, sql_content, sql_ext, sql_folder, sql_is_id, sql_mime, sql_modality, sql_normalize, sql_sentences, sql_size, sql_topic
+from siltstone.plans.texts_files import docs, sql_content, sql_ext, sql_folder, sql_is_id, sql_list, sql_mime, sql_modality, sql_normalize, sql_sentences, sql_size, sql_topic
 from siltstone.runtime import table
+from siltstone.sources.storage import placed_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -312,6 +314,33 @@ def search_rows(spark, base):
     return shown.withColumn("download_path", files.relative_path("path", "storage")).distinct()
 
 
+@query()
+def text_embeddings(spark, base):
+    """Unit vectors of all chunks by the hashing encoder."""
+    n = D.nodes(docs(spark, base), hashing_encoder())
+    return n.select("node_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("squared_norm"))
+
+
+@query()
+def semantic_search(spark, base):
+    """Encode a query, find its nearest nodes, flatten their metadata."""
+    hits = S.nearest(D.nodes(docs(spark, base), hashing_encoder()), plain_encode("the price sheet of the warehouse"), 8)
+    return S.display_rows(S.flattened(hits)).select("node_id", "name", "is_chunk", "modality", F.round("distance", 5).alias("distance"), F.round("similarity", 5).alias("similarity"))
+
+
+@query(f"SELECT DISTINCT file_id, original_name, {sql_ext('original_name')} IN {sql_list(files.VIDEO)} OR starts_with({sql_mime('original_name')}, 'video/') AS is_video FROM processing_results")
+def video_nodes(spark, base):
+    p = table(spark, base, "processing_results").select("file_id", "original_name").distinct()
+    return p.select("file_id", "original_name", files.is_video_node(files.mime_type("original_name"), "original_name").alias("is_video"))
+
+
+@query("SELECT DISTINCT file_id, concat_ws('/', coalesce(modality, 'text'), coalesce(collection_hint, 'general'), 'item' || (ascii(substring(file_id, 22, 1)) % 3) || CASE WHEN r = 1 THEN '' ELSE '_' || (r - 1) END || '.bin') AS storage_path FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(modality, 'text'), coalesce(collection_hint, 'general'), ascii(substring(file_id, 22, 1)) % 3 ORDER BY file_id || '/item' || (ascii(substring(file_id, 22, 1)) % 3) || '.bin') AS r FROM (SELECT file_id, max(modality) AS modality, max(collection_hint) AS collection_hint FROM processing_results GROUP BY file_id))")
+def storage_placement(spark, base):
+    p = table(spark, base, "processing_results").groupBy("file_id").agg(F.max("modality").alias("modality"), F.max("collection_hint").alias("collection"))
+    named = p.withColumn("path", F.concat("file_id", F.lit("/item"), (F.ascii(F.substring("file_id", 22, 1)) % 3).cast("string"), F.lit(".bin")))
+    return placed_files(named).select("file_id", "storage_path")
+
+
 # --- catalog -------------------------------------------------------------------------
 
 

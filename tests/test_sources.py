@@ -108,3 +108,35 @@ def test_broken_inputs():
     assert readers.decode_text(b"\xff\xfe") == "\xff\xfe"
     with pytest.raises(Exception):
         readers.excel_rows(io.BytesIO(b"x").getvalue())
+
+
+def test_storage_copies(spark, folder, tmp_path):
+    from siltstone.sources import storage
+
+    (folder / "sub" / "goods.csv").write_text("x")
+    listed = readers.list_files(spark, str(folder)).where("extension = 'csv'").withColumn("collection", F.lit("orders")).withColumn("modality", F.lit(None).cast("string"))
+    done = storage.store_files(storage.placed_files(listed), str(tmp_path / "store")).collect()
+    assert sorted(r["storage_path"] for r in done) == ["text/orders/goods.csv", "text/orders/goods_1.csv"] and all(r["error"] is None for r in done)
+    assert (tmp_path / "store" / "text" / "orders" / "goods_1.csv").read_text() in ("x", "id,price\n1,2\n2,3\n")
+    outside = listed.select("path", "content", F.lit("../../out.bin").alias("storage_path"))
+    assert all("outside" in r["error"] for r in storage.store_files(outside, str(tmp_path / "store")).collect())
+
+
+def test_encoder(spark):
+    from siltstone.functions.encoders import hashing_encoder, plain_encode
+
+    df = spark.createDataFrame([("the price sheet",), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(hashing_encoder(32)(F.col("t"))).collect()]
+    assert got[0] == plain_encode("the price sheet", 32) and abs(sum(x * x for x in got[0]) - 1) < 1e-5 and got[1:] == [None, None]
+    engine = Engine(spark, "/store", hashing_encoder(32))
+    nodes = spark.createDataFrame([("a", "price sheet"), ("b", "zebra")], "node_id string, text string").withColumn("embedding", hashing_encoder(32)(F.col("text"))).withColumn("metadata", F.struct(F.lit("p").alias("path"), F.lit("text").alias("modality")))
+    assert engine.search("price sheet", 1, nodes=nodes).first()["id"] == "a"
+
+
+def test_tree_matches(spark):
+    from siltstone.functions import files
+    from siltstone.operators import catalog
+
+    rows = spark.createDataFrame([("Invoices", "a.mp4"), ("Other", "INVOICE.pdf"), ("Other", None)], "folder string, file string")
+    assert catalog.tree_matches(rows, "invoice").count() == 2 and catalog.tree_matches(rows, "").count() == 3
+    assert [r[0] for r in rows.select(files.is_video_node(files.mime_type("file"), F.coalesce("file", F.lit("")))).collect()] == [True, False, False]
