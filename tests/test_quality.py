@@ -166,3 +166,14 @@ def test_repeats_and_empty_tables(spark):
     cat = spark.createDataFrame(CATALOG, "table_name string, column_name string, data_type string, max_chars int, is_nullable boolean")
     assert [tuple(r) for r in row_validation.failed_rows(row_validation.checked_rows(rows, loads, cat)).collect()] == [(1, 1, "invalid_value")]
     assert row_validation.failed_rows(row_validation.checked_rows(rows.where("false"), loads, cat)).count() == 0
+
+
+def test_order_of_files_across_partitions(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b"]), f"r{i}", T0 + timedelta(minutes=rng.randrange(10_000))) for i in range(500)]
+    got = {(r["feed"], r["report_file"]): r["previous"] for r in schema_drift.file_order(spark.createDataFrame(rows, "feed string, report_file string, reported_at timestamp")).collect()}
+    want, last = {}, {}
+    for feed, name, at in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        want[feed, name] = last.get(feed)
+        last[feed] = name
+    assert got == want
