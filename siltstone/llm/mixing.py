@@ -10,7 +10,10 @@ never made up by a sample of another.
    equal tokens. No task ever orders a whole source.
 3. Slot i of the schedule takes the golden-ratio point frac(i x 0.618...), which the
    cumulative weights map to a source; the k-th slot of a source takes its k-th block. So
-   every stretch of the mix holds the shares as nearly as its number of slots allows.
+   every stretch of the mix holds the shares as nearly as its number of slots allows. The
+   weights are the blocks placed, so the slots are at most a few times log(blocks) x blocks.
+4. The report reads the finished mix: a source is short if its rows hold fewer tokens than
+   its target share of T.
 
 Source names are compared lower-cased, trimmed, with ``-`` and blanks as ``_``; texts of null or
 unlisted sources and texts without tokens take no part. Rows that repeat a doc_id count as
@@ -50,8 +53,15 @@ class Quota:
 
     @property
     def short(self) -> bool:
+        """Whether the plan expects a shortfall; ``share_report`` reads it from the mix."""
         return self.available * self.repeats < self.wanted
 
+    @property
+    def passes(self) -> int:
+        """How often its texts are gone through to fill the quota."""
+        n = math.ceil(self.quota / self.available)
+        return n + (n * self.available < self.quota)
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -92,7 +102,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
         return Mix(sized, quotas, empty)
     total = sum(q.quota for q in giving)
     block = max(block_tokens, math.ceil(total / 1_000_000))
-    passes = {q.source: math.ceil(q.quota / q.available) for q in giving}
+    passes = {q.source: q.passes for q in giving}
     buckets = max(16, min(65_536, sum(q.texts for q in giving) // 20_000))
 
     texts = sized.where(F.col("source").isin(list(passes)) & (F.col("tokens") > 0))
@@ -104,15 +114,18 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     inner = Window.partitionBy(*key).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = uses.join(before, key).withColumn("at", F.col("before") + F.sum("tokens").over(inner) - F.col("tokens") + F.col("repeat_no") * _lookup({q.source: q.available for q in giving}, "bigint"))
     placed = placed.where(F.col("at") < _lookup({q.source: q.quota for q in giving}, "double"))
-    placed = placed.select("source", "doc_id", "repeat_no", "tokens", F.floor(F.col("at") / block).cast("bigint").alias("k"))
+    placed = cut_lineage(placed.select("source", "doc_id", "repeat_no", "tokens", F.floor(F.col("at") / block).cast("bigint").alias("k")))
 
-    slots = sum(math.ceil(q.quota / block) for q in giving)
-    slots += math.ceil((4 + 2 * math.log2(slots + 1)) * total / min(q.quota for q in giving))
+    blocks = {r["source"]: int(r["n"]) for r in placed.groupBy("source").agg((F.max("k") + 1).alias("n")).orderBy("source").collect()}
+    count = sum(blocks.values())
+    # So many slots give every source its blocks: the golden-ratio points miss a weight by less than the logarithm.
+    slots = math.ceil(count * (1 + (4 + 2 * math.log2(64 * count + 1)) / min(blocks.values())))
     bound, choice = 0.0, None
-    for q in giving[:-1]:
-        bound += q.quota / total
-        choice = F.when(F.col("u") < bound, q.source) if choice is None else choice.when(F.col("u") < bound, q.source)
-    choice = F.lit(giving[-1].source) if choice is None else choice.otherwise(giving[-1].source)
+    for source, n in list(blocks.items())[:-1]:
+        bound += n / count
+        choice = F.when(F.col("u") < bound, source) if choice is None else choice.when(F.col("u") < bound, source)
+    last = list(blocks)[-1]
+    choice = F.lit(last) if choice is None else choice.otherwise(last)
     point = F.col("id") * F.lit(GOLDEN)
     schedule = docs.sparkSession.range(slots).withColumn("u", point - F.floor(point)).select("id", choice.alias("source"), F.floor(F.col("id") / 4096).alias("c"))
     counts = schedule.groupBy("source", "c").agg(F.count("*").alias("n"))
@@ -122,11 +135,16 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     return Mix(sized, quotas, rows)
 
 
+def written(mix: Mix) -> Mix:
+    """The mix with its rows written, for uses that read them more than once."""
+    return Mix(mix.sized, mix.quotas, cut_lineage(mix.rows))
+
+
 def share_report(mix: Mix) -> DataFrame:
-    """(source, target_share, actual_share, available_tokens, used_tokens, short) of every listed source."""
+    """(source, target_share, actual_share, available_tokens, used_tokens, short) of every listed source, from the rows of the mix."""
     spark = mix.rows.sparkSession
-    plan = spark.createDataFrame([(q.source, q.share, q.available, q.short) for q in mix.quotas], "source string, target_share double, available_tokens bigint, short boolean")
+    plan = spark.createDataFrame([(q.source, q.share, q.available, q.wanted) for q in mix.quotas], "source string, target_share double, available_tokens bigint, wanted double")
     used = mix.rows.groupBy("source").agg(F.sum("tokens").alias("used"))
-    rows = plan.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used", F.lit(0)).cast("bigint"))
+    rows = plan.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used", F.lit(0)).cast("bigint")).withColumn("short", F.col("used_tokens") < F.col("wanted"))
     total = F.sum("used_tokens").over(Window.partitionBy())
     return rows.select("source", "target_share", F.round(F.when(total > 0, F.col("used_tokens") / total).otherwise(0.0), 6).alias("actual_share"), "available_tokens", "used_tokens", "short")

@@ -77,7 +77,7 @@ def _mix(spark: SparkSession, base: str) -> mixing.Mix:
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
-    return mixing.share_report(_mix(spark, base)).where("short").select("source")
+    return mixing.share_report(mixing.written(_mix(spark, base))).where("short").select("source")
 
 
 def p7_mix(spark: SparkSession, base: str) -> DataFrame:

@@ -65,3 +65,16 @@ def test_slots_are_unique_per_block(spark):
     m = mixing.mix_sources(corpus(spark), targets(spark, [("a", 0.9, 1), ("tiny", 0.1, 20)]), block_tokens=100)
     blocks = m.rows.select("source", "slot").distinct().groupBy("slot").agg(F.count("*").alias("n"))
     assert blocks.where("n > 1").count() == 0
+
+
+def test_report_reads_the_mix(spark):
+    mix = mixing.mix_sources(corpus(spark), targets(spark, [("a", 0.7, 1), ("small_one", 0.3, 8)]), block_tokens=300)
+    short = lambda m: {r["source"] for r in mixing.share_report(m).where("short").collect()}
+    assert short(mixing.written(mix)) == set()
+    assert short(mixing.Mix(mix.sized, mix.quotas, mix.rows.where("source <> 'a' or slot % 2 = 0"))) == {"a"}
+
+
+def test_slots_are_bounded_by_blocks(spark):
+    mix = mixing.mix_sources(corpus(spark), targets(spark, [("a", 0.999999, 1), ("tiny", 0.000001, 1)]), block_tokens=300)
+    blocks = mix.rows.select("slot").distinct().count()
+    assert mix.rows.agg(F.max("slot")).first()[0] < 50 * blocks
