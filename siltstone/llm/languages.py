@@ -1,7 +1,8 @@
 """Languages of texts and of their segments, by nearest centroids of n-gram vectors.
 
-Training takes at most ``ROWS_PER_LANGUAGE`` labelled texts of each language (a hash of the
-id picks them). Labels may be wrong: texts whose nearest language is not their label are left
+Training takes at most ``ROWS_PER_LANGUAGE`` distinct labelled texts of each language (a hash
+of the text picks them; a text that several rows repeat counts once, under its most frequent
+label). Labels may be wrong: texts whose nearest language is not their label are left
 out, and the centroids are made again. Each language then gets up to ``CENTROIDS`` clustered
 centroids of normalised TF-IDF vectors of hashed letter trigrams (and single letters of
 non-Latin scripts).
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.blocks import kmeans
@@ -223,15 +224,22 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Model:
 
 
 def train(df: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """A model from a bounded, hash-picked sample of labelled texts."""
-    labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), label_code(label_col).alias("code")).where(F.col("code").isin(*LANGUAGES) & (F.char_length(F.trim("t")) > 40))
-    counts = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    parts = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, rows / n) * 1_000_000) + 1)])
-    picked = labelled.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < parts[F.col("code")]).select("t", "code").toArrow()
+    """A model from a bounded, hash-picked sample of distinct labelled texts."""
     order = {c: i for i, c in enumerate(LANGUAGES)}
-    return fit(picked.column("t").to_pylist(), [order[c] for c in picked.column("code").to_pylist()])
+    known = F.create_map(*[F.lit(x) for c, i in order.items() for x in (c, i)])
+    labelled = df.select(F.col(text_col).alias("t"), label_code(label_col).alias("code")).where(F.col("code").isin(*LANGUAGES) & (F.char_length(F.trim("t")) > 40))
+    labelled = labelled.select(F.xxhash64("t").alias("h"), "t", known[F.col("code")].alias("label"))
+    # Number and label of the most frequent label in one whole number, so that the maximum is hashed.
+    votes = labelled.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.col("n") * 16 + F.col("label")).alias("vote"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("h", F.lit(5)), "h"))
+    picked = votes.select("h", (F.col("vote") % 16).cast("int").alias("label")).withColumn("place", place).where(F.col("place") <= rows).select("h", "label").collect()
+    if not picked:
+        return None
+    labels = {r["h"]: r["label"] for r in picked}
+    chosen = df.sparkSession.createDataFrame([(h,) for h in labels], "h bigint")
+    texts = labelled.select("h", "t").join(F.broadcast(chosen), "h").groupBy("h").agg(F.any_value("t").alias("t")).toArrow()
+    found = sorted(zip(texts.column("h").to_pylist(), texts.column("t").to_pylist()))
+    return fit([t for _, t in found], [labels[h] for h, _ in found])
 
 
 def decide(texts: list[str], model: Model) -> tuple[Segments, np.ndarray, np.ndarray]:

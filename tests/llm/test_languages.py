@@ -74,6 +74,21 @@ def test_operator_on_odd_tables(spark):
     assert L.train(df.where("false"), "doc_id", "text", "lang") is None
 
 
+def test_repeated_wrong_label_counts_once(spark):
+    rows = []
+    for code, t in SENTENCES.items():
+        words = t.split(" ") if code != "ja" else list(t)
+        for k in range(len(words)):
+            rows.append((len(rows), (" " if code != "ja" else "").join(words[k:] + words[:k]), code))
+    hot = "Nobody in the office has seen the other copies of the report, and we think that they were lost on the way."
+    rows += [(10_000 + i, hot, "fr") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = L.train(df, "doc_id", "text", "lang", rows=30)
+    found_ = {r["doc_id"]: r["seg_lang"] for r in L.text_languages(df, model, "doc_id", "text", []).collect()}
+    assert {found_[10_000 + i] for i in range(600)} == {"en"}
+    assert all(found_[i] == code for i, _, code in rows[:-600])
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_held_out_labels(spark):
     """Texts outside the sample whose label is one of the ten: the found language is the label but for the wrong labels."""
