@@ -274,6 +274,31 @@ def knn_media_filter(spark, base):
     return S.media_filter(_hits(spark, base).select("vec_id", F.expr("CASE label % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'image' WHEN 2 THEN 'video' ELSE 'audio' END").alias("modality")), "a short video clip")
 
 
+_KNN_EACH = f"SELECT query_id, vec_id, label, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_DIST} AS d FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND len(e.embedding) = len(q.embedding)) WHERE d IS NOT NULL) WHERE r <= 12"
+
+
+def _hits_each(spark: SparkSession, base: str, k: int = 12) -> DataFrame:
+    """The hits of every row whose id is divisible by 100."""
+    rows = table(spark, base, "embeddings")
+    return S.nearest_each(rows, rows.where("vec_id % 100 = 0"), k, "vec_id", keep=("label",))
+
+
+@query(f"SELECT query_id, vec_id, round(d, 6) AS distance FROM ({_KNN_EACH})")
+def knn_search_each(spark, base):
+    return _hits_each(spark, base).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT query_id, vec_id, round(greatest(0, 1 - d), 6) AS similarity FROM ({_KNN_EACH})")
+def knn_similarity_each(spark, base):
+    return _hits_each(spark, base).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH k AS (SELECT query_id, vec_id, {_MODALITY} AS modality FROM ({_KNN_EACH})) SELECT * FROM k WHERE modality IN ('video', 'audio', 'image') OR query_id NOT IN (SELECT query_id FROM k WHERE modality IN ('video', 'audio', 'image'))")
+def knn_media_filter_each(spark, base):
+    hits = _hits_each(spark, base).select("query_id", "vec_id", F.expr(_MODALITY).alias("modality"))
+    return S.media_filter(hits, "a short video clip", "query_id")
+
+
 @query("WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label) SELECT m.label, CAST(i AS INTEGER) - 1 AS pos, round(m / n, 6) AS value FROM m JOIN n ON m.label = n.label")
 def embedding_mean_pool(spark, base):
     pooled = S.mean_pool(table(spark, base, "embeddings"), "label", "embedding")

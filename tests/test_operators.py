@@ -153,3 +153,22 @@ def test_catalog(spark):
     files_ = spark.createDataFrame([("Report one", "a.txt", 1, "general", "text", 5), ("Report two", "a.txt", 2, "general", "text", 9)], "s string, n string, o int, c string, m string, b bigint")
     tree = catalog.file_tree(catalog.tree_rows(files_, "s", "n", "o", "c", "m", "b")).first()
     assert tree["folder"] == "Report" and [c["size"] for c in tree["children"]] == ["9 B"]
+
+
+def test_nearest_for_every_query(spark):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(60)] + [(60, None), (61, [1.0]), (62, [1.0, None])]
+    nodes = spark.createDataFrame(rows, "node_id bigint, embedding array<float>").repartition(5)
+    queries = nodes.where("node_id % 10 = 0 or node_id > 60")
+    got = search.nearest_each(nodes, queries, 4, block=3).orderBy("query_id", "distance", "node_id").collect()
+    want = []
+    for i in range(0, 60, 10):
+        near = sorted((float((i % 7 - j % 7) ** 2 + (i % 5 - j % 5) ** 2), j) for j in range(60))[:4]
+        want += [(i, j, d) for d, j in near]
+    want.append((61, 61, 0.0))
+    assert [(r["query_id"], r["node_id"], r["distance"]) for r in got] == want
+    assert search.nearest_each(nodes, queries.where("false"), 4).count() == 0
+
+
+def test_media_filter_for_each_query(spark):
+    hits = spark.createDataFrame([(1, "image"), (1, "text"), (2, "text")], "q int, modality string")
+    assert sorted(map(tuple, search.media_filter(hits, "a video", "q").collect())) == [(1, "image"), (2, "text")]
