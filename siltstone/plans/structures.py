@@ -311,6 +311,13 @@ def caption_join(spark, base):
     return S.joined_captions(rows, "file_id", "node_no", "t")
 
 
+@query("WITH c AS (SELECT metadata.file_id AS file_id, node_no, text FROM graph_nodes WHERE text IS NOT NULL), f AS (SELECT file_id, text, min(node_no) AS n FROM c GROUP BY ALL) SELECT file_id, string_agg(text, ' | ' ORDER BY n, text) AS caption FROM f GROUP BY file_id")
+def caption_join_whole(spark, base):
+    """The captions of every file at their full length."""
+    rows = table(spark, base, "graph_nodes").select(F.col("metadata.file_id").alias("file_id"), "node_no", "text").distinct()
+    return S.joined_captions(rows, "file_id", "node_no", "text")
+
+
 _META = f"SELECT file_id, file_name AS original_name, array_to_string({sql_sentences(sql_content())}[1:5], ' ') AS summary FROM documents"
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import catalog, classify, documents, evolution, loader, search
+from siltstone.plans import structures
 
 
 def scores(spark, kind, text, columns=None):
@@ -172,3 +173,11 @@ def test_nearest_for_every_query(spark):
 def test_media_filter_for_each_query(spark):
     hits = spark.createDataFrame([(1, "image"), (1, "text"), (2, "text")], "q int, modality string")
     assert sorted(map(tuple, search.media_filter(hits, "a video", "q").collect())) == [(1, "image"), (2, "text")]
+
+
+def test_captions_are_whole(spark, tmp_path):
+    rows = [("f", 1, "a red house by the sea"), ("f", 0, "a red house on a hill"), ("f", 2, "a red house by the sea")]
+    nodes = spark.createDataFrame(rows, "file_id string, node_no bigint, text string")
+    nodes.selectExpr("named_struct('file_id', file_id) AS metadata", "node_no", "text").write.parquet(f"{tmp_path}/graph_nodes.parquet")
+    got = structures.caption_join_whole(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("f", "a red house on a hill | a red house by the sea")]
