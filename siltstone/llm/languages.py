@@ -91,7 +91,7 @@ def segment(texts: list[str], whole: bool = False, longest: int = 200) -> Segmen
         first = np.flatnonzero(np.r_[True, begins[1:] > 0])
         part = (np.arange(n) - first[seg]) // longest
         breaks = np.flatnonzero((kind == 0) | (points >= 0x3000))
-        key = seg[breaks] * 4096 + np.minimum(part[breaks], 4095)
+        key = seg[breaks] * (part.max() + 1) + part[breaks]
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]] & (part[breaks] > 0))
         begins[breaks[new]] = 1
         begins[0] = 0

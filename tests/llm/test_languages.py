@@ -48,6 +48,13 @@ def test_offsets():
     assert (s.start[1:] == s.end[:-1]).all()
 
 
+def test_very_long_sentence_is_cut_to_its_end():
+    s = L.segment(["word " * 200_000])
+    assert (s.end - s.start).max() < 250
+    text = SENTENCES["en"].replace(".", ",") * 8_000 + SENTENCES["de"].replace(".", ",") * 8_000
+    assert found([text], toy_model()) == [{"en", "de"}]
+
+
 def test_one_block_or_many():
     model = toy_model()
     texts = [SENTENCES["en"], SENTENCES["de"], SENTENCES["ja"]] * 40
