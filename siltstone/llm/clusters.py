@@ -44,16 +44,16 @@ BUCKETS = 1 << 16
 # --- components -----------------------------------------------------------------------
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of the component of each id in edges (u, v).
 
     Alternating large-star and small-star steps; each keeps at most one edge for every old
     edge, hubs are reduced to their minimum before the join. Rounds grow with the logarithm
-    of the longest chain. Lineage is cut each round in the shared checkpoint folder.
+    of the longest chain and end when the edges stay the same. Lineage is cut each round in the shared checkpoint folder.
     """
     e = cut_lineage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()

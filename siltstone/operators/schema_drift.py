@@ -137,17 +137,18 @@ def drift(lines: DataFrame) -> DataFrame:
 TARGETS = {"decision": "string", "match_ratio": "double", "mapping": "map<string,string>", "new_fields": "array<string>"}
 
 
-def canonical_names(changes: DataFrame, targets: list[str], most_rounds: int = 32) -> DataFrame:
+def canonical_names(changes: DataFrame, targets: list[str]) -> DataFrame:
     """(feed, field, canonical): the names under which each feed holds the target columns, followed through its renames.
 
-    Names spread along distinct (feed, old, new) pairs in rounds; a name that two targets
-    reach in the same round goes to the first of them by name.
+    Names spread along distinct (feed, old, new) pairs in rounds until no name is new, at most
+    as many rounds as a feed has names; a name that two targets reach in the same round goes to
+    the first of them by name.
     """
     pairs = changes.where("drift_kind = 'renamed'").select("feed", "old_field", "new_field").distinct()
     both = cut_lineage(pairs.unionByName(pairs.select("feed", F.col("new_field").alias("old_field"), F.col("old_field").alias("new_field"))))
     known = cut_lineage(both.select("feed").distinct().select("feed", F.explode(F.array(*[F.lit(t) for t in targets])).alias("field")).withColumn("canonical", F.col("field")))
     fresh = known
-    for _ in range(most_rounds):
+    while True:
         step = fresh.join(both.withColumnRenamed("old_field", "field"), ["feed", "field"]).groupBy("feed", F.col("new_field").alias("field")).agg(F.min("canonical").alias("canonical"))
         fresh = cut_lineage(step.join(known, ["feed", "field"], "left_anti"))
         if fresh.isEmpty():

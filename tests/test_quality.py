@@ -177,3 +177,10 @@ def test_order_of_files_across_partitions(spark):
         want[feed, name] = last.get(feed)
         last[feed] = name
     assert got == want
+
+
+def test_names_are_followed_through_long_chains(spark):
+    chain = ["mapping", *[f"n{i:02d}" for i in range(36)]]
+    rows = [("f", f"r{i}", "renamed", a, b) for i, (a, b) in enumerate(zip(chain, chain[1:]))]
+    names = schema_drift.canonical_names(spark.createDataFrame(rows, "feed string, report_file string, drift_kind string, old_field string, new_field string"), ["mapping"])
+    assert {r["field"]: r["canonical"] for r in names.collect()} == dict.fromkeys(chain, "mapping")
