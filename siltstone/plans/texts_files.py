@@ -334,6 +334,21 @@ def attr_token_jaccard(spark, base):
     return p.select(F.col("h").alias("header"), F.col("c").alias("column_name"), F.round(A.token_overlap("h", "c"), 6).alias("overlap"), A.are_synonyms("h", "c").alias("synonyms"))
 
 
+_HEADERS = "SELECT DISTINCT h, c FROM (SELECT unnest(map_keys(mapping)) AS h FROM load_results), (SELECT DISTINCT column_name AS c FROM catalog_columns WHERE column_name IS NOT NULL)"
+
+
+def _header_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Every distinct header with every column name of the catalog, which is small."""
+    columns = table(spark, base, "catalog_columns").where("column_name is not null").select("column_name").distinct()
+    headers = table(spark, base, "load_results").select(F.explode(F.map_keys("mapping")).alias("header")).distinct()
+    return headers.crossJoin(F.broadcast(columns))
+
+
+@query(f"WITH p AS ({_HEADERS}) SELECT h AS header, c AS column_name, round(CASE WHEN len({_A}) > 0 AND len({_B}) > 0 THEN len(list_intersect({_A}, {_B})) / len(list_distinct(list_concat({_A}, {_B})))::DOUBLE ELSE 0 END, 6) AS overlap, coalesce({sql_group('h')} = {sql_group('c')}, false) AS synonyms FROM p")
+def attr_token_jaccard_all(spark, base):
+    return _header_pairs(spark, base).select("header", "column_name", F.round(A.token_overlap("header", "column_name"), 6).alias("overlap"), A.are_synonyms("header", "column_name").alias("synonyms"))
+
+
 @query(
     """WITH t AS (SELECT DISTINCT data_type AS a FROM catalog_columns), u AS (SELECT a, b.b FROM t, (SELECT DISTINCT data_type AS b FROM catalog_columns) b)
     SELECT a AS type_a, b AS type_b, CASE WHEN a = b THEN 1.0 WHEN (a IN ('INTEGER','NUMERIC','BIGINT') AND b IN ('INTEGER','NUMERIC','BIGINT')) OR (a IN ('VARCHAR','TEXT','CHAR') AND b IN ('VARCHAR','TEXT','CHAR')) OR (a IN ('TIMESTAMP','DATE','TIME') AND b IN ('TIMESTAMP','DATE','TIME')) THEN 0.8 ELSE 0.3 END::DOUBLE AS score FROM u"""
@@ -347,8 +362,7 @@ def attr_type_compat(spark, base):
 
 @query()
 def attr_similarity(spark, base):
-    p = table(spark, base, "load_results").select(F.explode("mapping").alias("header", "column_name")).distinct()
-    return p.select("header", "column_name", F.round(A.attribute_similarity("header", "column_name"), 6).alias("similarity"))
+    return _header_pairs(spark, base).select("header", "column_name", F.round(A.attribute_similarity("header", "column_name"), 6).alias("similarity"))
 
 
 _VALUE_TYPE = "CASE WHEN v IS NULL THEN 'TEXT' WHEN length(v) > 10 AND (contains(v, 'T') OR contains(v, '-')) THEN 'TIMESTAMP' WHEN length(v) > 255 THEN 'TEXT' ELSE 'VARCHAR' END"

@@ -102,3 +102,13 @@ def test_files(spark):
 def test_frame_plan(spark):
     rows = [(300, 30.0, 8), (1, 30.0, 8), (0, 30.0, 8), (3000, 0.0, 4)]
     assert values(spark, rows, "n int, fps double, cap int", files.frame_plan("n", "fps", "cap")) == [([0, 149, 299],), ([0],), ([],), ([0, 999, 1999, 2999],)]
+
+
+def test_headers_meet_all_column_names(spark, tmp_path):
+    from siltstone.plans import texts_files
+
+    spark.sql("SELECT map('Order Date', 'order_date') AS mapping").write.parquet(f"{tmp_path}/load_results.parquet")
+    spark.sql("SELECT explode(array('order_date', 'colour', null)) AS column_name").write.parquet(f"{tmp_path}/catalog_columns.parquet")
+    for name in ("attr_similarity", "attr_token_jaccard_all"):
+        got = texts_files.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(r["column_name"] for r in got) == ["colour", "order_date"]
