@@ -7,8 +7,8 @@ over the zipped arrays of fields and column rules into an array of errors; rows
 whether it is empty.
 
 Records of a file that repeat a row number count once. A null record reads as empty. Files
-without a header or without a load result are skipped. The catalog and load results are
-joined by file and a salt of the row number; neither side is forced into memory.
+without a header or without a load result are skipped. Records meet their file's rules in a
+join that spreads files with more than their share of all records over salts in proportion.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SALTS = 8
+from siltstone.runtime import skew_join
+
 BOM = "﻿"
 
 
@@ -90,9 +91,8 @@ def file_rules(rows: DataFrame, loads: DataFrame, catalog: DataFrame) -> DataFra
 def checked_rows(rows: DataFrame, loads: DataFrame, catalog: DataFrame) -> DataFrame:
     """(file_no, row_no, table_name, raw, fields, rules, errors): every record once, with all its errors in order."""
     records = rows.where("row_no >= 1").groupBy("file_no", "row_no").agg(F.max(F.coalesce("raw", F.lit(""))).alias("raw"))
-    # A file may hold a third of all records: its records meet their rules under SALTS keys.
-    rules = file_rules(rows, loads, catalog).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = records.withColumn("salt", F.pmod(F.hash("row_no"), F.lit(SALTS))).join(rules, ["file_no", "salt"]).withColumn("fields", split_fields(F.col("raw"), F.col("delim")))
+    counts = rows.groupBy("file_no").agg(F.count("*").alias("n"))
+    joined = skew_join(records, file_rules(rows, loads, catalog), ["file_no"], ["row_no"], counts=counts).withColumn("fields", split_fields(F.col("raw"), F.col("delim")))
     pairs = F.arrays_zip(F.col("rules").alias("rule"), F.col("fields").alias("value"))
     # Both arrays have the same length here; spaces around a value do not count.
     bad = F.filter(pairs, lambda p: p["rule"]["kind"].isNotNull() & ~fits(F.trim(p["value"]), p["rule"]["kind"], p["rule"]["most"], p["rule"]["nullable"]))

@@ -4,12 +4,14 @@ Lines are loaded as path-value rows: each readable JSON object yields its top-le
 with the raw value as text and its raw type, through the VARIANT type. Path and type
 statistics are aggregated by file (partial aggregation; a file may hold a third of all
 lines), each file is compared with the preceding one of its feed, and the consistent table
-is projected with casts that report their failures.
+is projected with casts that report their failures. Lines meet what is known of their file or
+field in joins that spread hot files and fields over salts.
 
 Unreadable lines (cut, not an object, repeated keys) and null lines take no part. A line
 delivered twice counts once. A file without readable lines is not part of its feed's
 sequence. Field names compare exactly. A field that is null in a whole file has no type
-there and is not retyped. Empty tables give empty results; extra columns are ignored.
+there and is not retyped. Lines of a null feed or file have no predecessor, so no cases; the
+consistent table holds them. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.runtime import cut_lineage
-
+from siltstone.runtime import cut_lineage, skew_join
 
 KEY_FIELD = "file_id"
 
@@ -90,7 +91,7 @@ def field_changes(stats: DataFrame) -> DataFrame:
     return both.agg(side(1).alias("old_kind"), side(0).alias("new_kind"), (F.min("old") == 1).alias("gone"), (F.max("old") == 0).alias("fresh"))
 
 
-def value_digests(fields: DataFrame, changes: DataFrame) -> DataFrame:
+def value_digests(fields: DataFrame, changes: DataFrame, stats: DataFrame) -> DataFrame:
     """(feed, report_file, old, field, d1, d2, filled, loads): one digest of the values of a vanished or new field over all loads that both files hold.
 
     Two fields hold the same values for all loads when their digests agree, so no pairs of
@@ -99,12 +100,14 @@ def value_digests(fields: DataFrame, changes: DataFrame) -> DataFrame:
     sides = changes.groupBy("feed", "report_file", "previous").agg(F.collect_list(F.when(F.col("gone"), F.col("field"))).alias("gone"), F.collect_list(F.when(F.col("fresh"), F.col("field"))).alias("fresh")).where((F.size("gone") > 0) & (F.size("fresh") > 0))
     wanted = cut_lineage(sides.select("feed", F.col("report_file").alias("change"), F.explode(F.array(F.struct(F.col("report_file"), F.lit(0).alias("old"), F.col("fresh").alias("names")), F.struct(F.col("previous").alias("report_file"), F.lit(1).alias("old"), F.col("gone").alias("names")))).alias("s")).select("feed", "change", "s.*"))
     # ``file_id`` marks that a file holds a load; it is a field of the line itself.
-    rows = fields.where(F.col("load").isNotNull()).join(wanted, ["feed", "report_file"])
+    lines = stats.groupBy("feed", "report_file").agg(F.max("lines").alias("n"))
+    rows = skew_join(fields.where(F.col("load").isNotNull()), wanted, ["feed", "report_file"], ["line_no", "field"], counts=lines)
     rows = rows.where(F.array_contains("names", F.col("field")) | (F.col("field") == KEY_FIELD))
     once = rows.groupBy("feed", "change", "load", "old", "field").agg(F.max("value").alias("value"))
     shared = once.groupBy("feed", "change", "load").agg(F.max("old").alias("hi"), F.min("old").alias("lo"), F.map_from_entries(F.collect_list(F.struct(F.struct("old", "field"), "value"))).alias("held")).where("hi = 1 and lo = 0")
-    names = wanted.select("feed", "change", "old", F.explode("names").alias("field"))
-    values = shared.join(names, ["feed", "change"]).select("feed", F.col("change").alias("report_file"), "old", "field", "load", F.try_element_at("held", F.struct("old", "field")).alias("v"))
+    names = wanted.groupBy("feed", "change").agg(F.flatten(F.collect_list(F.transform("names", lambda n: F.struct("old", n.alias("field"))))).alias("wanted"))
+    held = skew_join(shared, names, ["feed", "change"], ["load"], counts=lines.withColumnRenamed("report_file", "change"))
+    values = held.select("feed", "change", "load", "held", F.explode("wanted").alias("w")).select("*", "w.*").select("feed", F.col("change").alias("report_file"), "old", "field", "load", F.try_element_at("held", F.struct("old", "field")).alias("v"))
     number = lambda h: F.sum(h.cast("decimal(20,0)"))
     digest = [number(F.xxhash64("load", F.coalesce("v", F.lit("\u0000")))).alias("d1"), number(F.xxhash64("v", "load", F.lit(7))).alias("d2"), F.count_if(F.coalesce(F.col("v"), F.lit("null")) != "null").alias("filled"), F.count("*").alias("loads")]
     return values.groupBy("feed", "report_file", "old", "field").agg(*digest).where(F.col("filled") > 0)
@@ -119,7 +122,7 @@ def drift(lines: DataFrame) -> DataFrame:
     fields = path_values(distinct_lines(lines))
     stats = cut_lineage(field_statistics(fields))
     changes = cut_lineage(field_changes(stats))
-    digests = cut_lineage(value_digests(fields, changes))
+    digests = cut_lineage(value_digests(fields, changes, stats))
     twins = ["feed", "report_file", "d1", "d2", "loads"]
     place = F.row_number().over(Window.partitionBy(*twins, "old").orderBy("field"))
     ranked = digests.withColumn("i", place)
@@ -165,12 +168,14 @@ def consistent_table(lines: DataFrame, targets: dict[str, str] | None = None) ->
     as text in some files are split at commas, ratios kept as text are cast.
     """
     targets = targets or TARGETS
-    once = distinct_lines(lines)
-    fields = path_values(once)
+    fields = path_values(distinct_lines(lines))
     changes = cut_lineage(drift(lines))
+    held = cut_lineage(fields.groupBy("feed", "field").agg(F.count("*").alias("n")))
     names = canonical_names(changes, list(targets)).withColumnRenamed("canonical", "own")
     common = canonical_names(changes.withColumn("feed", F.lit("")), list(targets)).select("field", F.col("canonical").alias("common"))
-    rows = fields.join(names, ["feed", "field"], "left").join(common, "field", "left").withColumn("column", F.coalesce("own", "common", "field"))
+    # What is known of the fields meets first, so that lines are joined once.
+    known = held.join(names, ["feed", "field"], "left").join(common, "field", "left").where(F.col("own").isNotNull() | F.col("common").isNotNull()).drop("n")
+    rows = skew_join(fields, known, ["feed", "field"], ["report_file", "line_no"], "left", counts=held).withColumn("column", F.coalesce("own", "common", "field"))
     rows = rows.withColumn("claim", F.struct((F.col("field") == F.col("column")).cast("int").alias("same"), F.col("own").isNotNull().cast("int").alias("seen"), "field"))
     wanted = rows.groupBy("feed", "report_file", "line_no").agg(F.max("load").alias("file_id"), *[F.max_by("value", F.when(F.col("column") == c, F.col("claim"))).alias(f"r_{c}") for c in targets])
     out, failed = [F.col("feed"), F.col("report_file"), F.col("line_no"), F.col("file_id")], []
