@@ -8,10 +8,13 @@ never made up by a sample of another.
 2. Per source and repeat, texts stand in a seeded random order; prefix sums of their tokens
    (two levels: totals of hash buckets, then rows within a bucket) cut them into blocks of
    equal tokens. No task ever orders a whole source.
-3. Slot i of the schedule takes the golden-ratio point frac(i x 0.618...), which the
-   cumulative weights map to a source; the k-th slot of a source takes its k-th block. So
-   every stretch of the mix holds the shares as nearly as its number of slots allows. The
-   weights are the blocks placed, so the slots are at most a few times log(blocks) x blocks.
+3. Slot i of the schedule takes the van der Corput point of i, its binary digits mirrored,
+   which the cumulative weights map to a source; the k-th slot of a source takes its k-th
+   block. So every stretch of the mix holds the shares as nearly as its number of slots
+   allows. The weights are the blocks placed and the slots a power of two from their number
+   on (less than twice as many): over all slots every point of that grid comes once, so each
+   source gets at least as many slots as it has blocks, however few these are. Points and
+   bounds are whole numbers, exact at every size.
 4. The report reads the finished mix: a source is short if its rows hold fewer tokens than
    its target share of T.
 
@@ -26,14 +29,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.encoding import TOKENIZERS, count_tokens
 from siltstone.runtime import cut_lineage
 
 MOST_SOURCES = 10_000
-GOLDEN = (math.sqrt(5) - 1) / 2
+SLOT_RUN = 4096
 
 
 def source_name(c: Column | str) -> Column:
@@ -91,6 +94,31 @@ def _lookup(values: dict[str, float | int], kind: str) -> Column:
     return F.create_map(*pairs)[F.col("source")].cast(kind)
 
 
+def mirrored(c: Column, bits: int) -> Column:
+    """The lowest ``bits`` binary digits of a whole number in reverse order: its van der Corput point times 2^bits."""
+    for step, mask in ((1, 0x5555555555555555), (2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        c = F.shiftrightunsigned(c, step).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(c.bitwiseAND(F.lit(mask)), step))
+    return F.shiftrightunsigned(F.shiftrightunsigned(c, 32).bitwiseOR(F.shiftleft(c, 32)), 64 - bits)
+
+
+def slot_ranks(spark: SparkSession, blocks: dict[str, int]) -> DataFrame:
+    """(source, k, slot): the slot of the k-th block of each source, for so many blocks a source."""
+    count = sum(blocks.values())
+    bits = max(1, (count - 1).bit_length())
+    passed, choice = 0, None
+    for source, n in list(blocks.items())[:-1]:
+        passed += n
+        inside = F.col("point") < F.lit((passed << bits) // count)
+        choice = F.when(inside, source) if choice is None else choice.when(inside, source)
+    last = list(blocks)[-1]
+    choice = F.lit(last) if choice is None else choice.otherwise(last)
+    schedule = spark.range(1 << bits).withColumn("point", mirrored(F.col("id"), bits)).select("id", choice.alias("source"), F.floor(F.col("id") / SLOT_RUN).alias("c"))
+    counts = schedule.groupBy("source", "c").agg(F.count("*").alias("n"))
+    offset = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("c")) - F.col("n")).drop("n")
+    inner = F.row_number().over(Window.partitionBy("source", "c").orderBy("id"))
+    return schedule.join(offset, ["source", "c"]).select("source", (F.col("before") + inner - 1).alias("k"), F.col("id").alias("slot"))
+
+
 def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, block_tokens: int = 2048, folder: str = TOKENIZERS) -> Mix:
     """Rows (slot, source, doc_id, repeat_no, tokens); ordered by slot they are the mix."""
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), source_name(source_col).alias("source"), F.col(text_col).alias("t"))
@@ -100,8 +128,6 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     empty = sized.select(F.lit(0).cast("bigint").alias("slot"), "source", "doc_id", F.lit(0).alias("repeat_no"), "tokens").where("false")
     if not giving:
         return Mix(sized, quotas, empty)
-    total = sum(q.quota for q in giving)
-    block = max(block_tokens, math.ceil(total / 1_000_000))
     passes = {q.source: q.passes for q in giving}
     buckets = max(16, min(65_536, sum(q.texts for q in giving) // 20_000))
 
@@ -114,24 +140,12 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     inner = Window.partitionBy(*key).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = uses.join(before, key).withColumn("at", F.col("before") + F.sum("tokens").over(inner) - F.col("tokens") + F.col("repeat_no") * _lookup({q.source: q.available for q in giving}, "bigint"))
     placed = placed.where(F.col("at") < _lookup({q.source: q.quota for q in giving}, "double"))
-    placed = cut_lineage(placed.select("source", "doc_id", "repeat_no", "tokens", F.floor(F.col("at") / block).cast("bigint").alias("k")))
+    placed = cut_lineage(placed.select("source", "doc_id", "repeat_no", "tokens", F.floor(F.col("at") / block_tokens).cast("bigint").alias("k")))
 
     blocks = {r["source"]: int(r["n"]) for r in placed.groupBy("source").agg((F.max("k") + 1).alias("n")).orderBy("source").collect()}
-    count = sum(blocks.values())
-    # So many slots give every source its blocks: the golden-ratio points miss a weight by less than the logarithm.
-    slots = math.ceil(count * (1 + (4 + 2 * math.log2(64 * count + 1)) / min(blocks.values())))
-    bound, choice = 0.0, None
-    for source, n in list(blocks.items())[:-1]:
-        bound += n / count
-        choice = F.when(F.col("u") < bound, source) if choice is None else choice.when(F.col("u") < bound, source)
-    last = list(blocks)[-1]
-    choice = F.lit(last) if choice is None else choice.otherwise(last)
-    point = F.col("id") * F.lit(GOLDEN)
-    schedule = docs.sparkSession.range(slots).withColumn("u", point - F.floor(point)).select("id", choice.alias("source"), F.floor(F.col("id") / 4096).alias("c"))
-    counts = schedule.groupBy("source", "c").agg(F.count("*").alias("n"))
-    offset = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("c")) - F.col("n")).drop("n")
-    ranked = schedule.join(offset, ["source", "c"]).select("source", (F.col("before") + F.row_number().over(Window.partitionBy("source", "c").orderBy("id")) - 1).alias("k"), F.col("id").alias("slot"))
-    rows = placed.join(ranked, ["source", "k"], "left").select(F.coalesce("slot", F.lit(slots) + F.col("k")).alias("slot"), "source", "doc_id", "repeat_no", "tokens")
+    ranked = slot_ranks(docs.sparkSession, blocks)
+    # A text longer than a block leaves block numbers without a text, never a text without a slot.
+    rows = placed.join(ranked, ["source", "k"]).select("slot", "source", "doc_id", "repeat_no", "tokens")
     return Mix(sized, quotas, rows)
 
 
