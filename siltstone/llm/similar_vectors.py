@@ -2,14 +2,18 @@
 
 Plan, for N rows:
 
-1. ``unit_vectors`` normalises the usable vectors (Arrow batches) and drops the rest.
+1. ``unit_vectors`` normalises the usable vectors (Arrow batches) and drops the rest; they
+   are packed to 16 bits a number and written once.
 2. ``vector_groups`` keeps each id once (its latest row) and folds copies of any norm into
    one group, so that a vector held by a third of all rows is searched once. A group
    carries its smallest ids only (``k`` + 2 of them), found with a pre-shuffle group limit.
-3. ``train`` fits coarse centroids and residual codebooks on a bounded sample.
+3. ``train`` fits coarse centroids and residual codebooks on a bounded sample of distinct
+   vectors.
 4. Every group goes to the list of its nearest centroid, and as a query to the lists of
-   its ``nprobe`` nearest centroids. One list is one Arrow group: residual codes are
+   its nearest centroids (``probes``). One list is one Arrow group: residual codes are
    scanned with asymmetric distance tables, the best are reranked with the stored vectors.
+   A list that outgrew ``SUBLISTED`` rows, as centroids are bounded, is scanned by sublists
+   of its own, found in the list, so that a query's cost doesn't follow the collection.
 5. The answers of the lists are merged per group and unfolded to ids.
 
 Null, short, long, zero or non-finite vectors have no row in the result and are nobody's
@@ -19,6 +23,7 @@ lists, an empty one no rows. Extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.blocks import binary_column, fixed_rows, kmeans, list_column, nearest, usable_matrix
+from siltstone.runtime import cut_lineage, skew_join
 
-#: Bounds of the training sample (rows) whatever the size of the collection.
+#: Bounds of the training sample (rows) and of the centroids that the driver fits and sends out.
 SAMPLE_ROWS, SAMPLE_PER_LIST, MOST_LISTS = 32_768, 32, 8_192
+#: Rows from which a list has sublists of its own, and rows of a list that one task takes.
+SUBLISTED, CELL_ROWS = 16_384, 65_536
+#: Lists searched for each query, and how many doublings of the lists add one more.
+LEAST_PROBES, FREE_DOUBLINGS = 4, 3
 
 
 @dataclass(frozen=True)
@@ -41,8 +51,13 @@ class Index:
     base: np.ndarray  # first sublist of each list
 
 
-def unit_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str | None, dim: int) -> DataFrame:
-    """(id, version, vec, vhash): usable vectors at unit length as float32 bytes.
+def probes(lists: int) -> int:
+    """Lists searched for each query: 4 up to 128 lists, one more for each doubling."""
+    return max(LEAST_PROBES, math.ceil(math.log2(max(1, lists))) - FREE_DOUBLINGS)
+
+
+def unit_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str | None, dim: int, packed: bool = False) -> DataFrame:
+    """(id, version, vec, vhash): usable vectors at unit length as float32 bytes, or ``packed`` to 16 bits a number.
 
     ``vhash`` is a hash of the unit vector at 16 bits a number, so that copies of another
     norm meet; vectors of one hash have a cosine above 1 - 1e-7.
@@ -57,7 +72,7 @@ def unit_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str | No
                 take = pa.array(at)
                 coarse = (np.rint(x * 32767) + 0.0).astype(np.int16).view(np.uint8).reshape(len(x), -1)
                 digest = np.array([xxhash.xxh3_64_intdigest(row) for row in map(bytes, coarse)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), binary_column(x), pa.array(digest)], names=["id", "version", "vec", "vhash"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), binary_column(_pack(x) if packed else x), pa.array(digest)], names=["id", "version", "vec", "vhash"])
 
     version = F.col(version_col).cast("timestamp") if version_col else F.lit(None).cast("timestamp")
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("e"), version.alias("version"))
@@ -70,29 +85,38 @@ def current_ids(units: DataFrame) -> DataFrame:
     return units.groupBy("id").agg(F.max(F.struct(F.coalesce("version", F.lit("0001-01-01").cast("timestamp")), "vhash")).alias("m")).select("id", F.col("m.vhash").alias("vhash"))
 
 
-def vector_groups(units: DataFrame, current: DataFrame, keep: int) -> DataFrame:
-    """(gid, vhash, vec, members): one row for each distinct vector; members are its ``keep`` smallest ids."""
+def group_members(current: DataFrame, keep: int) -> DataFrame:
+    """(vhash, members): the ``keep`` smallest ids of each distinct vector."""
     w = Window.partitionBy("vhash").orderBy("id")
-    members = current.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).groupBy("vhash").agg(F.sort_array(F.collect_list("id")).alias("members"))
-    vectors = units.groupBy("vhash").agg(F.first("vec").alias("vec"))
-    return vectors.join(members, "vhash").select(F.col("members")[0].alias("gid"), "vhash", "vec", "members")
+    return current.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).groupBy("vhash").agg(F.sort_array(F.collect_list("id")).alias("members"))
+
+
+def distinct_vectors(units: DataFrame) -> DataFrame:
+    """(vhash, vec): of the vectors of one hash that of the smallest id."""
+    return units.groupBy("vhash").agg(F.min_by("vec", F.struct("id", "version")).alias("vec"))
+
+
+def vector_groups(units: DataFrame, members: DataFrame) -> DataFrame:
+    """(gid, vhash, vec, members): one row for each distinct vector of a current id."""
+    return distinct_vectors(units).join(members, "vhash").select(F.col("members")[0].alias("gid"), "vhash", "vec", "members")
 
 
-def bounded_sample(units: DataFrame, total: int, rows: int, dim: int) -> np.ndarray:
-    """At most about ``rows`` vectors, chosen by a hash of the id."""
-    part = min(1.0, rows / max(total, 1))
-    picked = units.where(F.abs(F.xxhash64("id", F.lit(11))) % 1_000_000 < int(part * 1_000_000) + 1).select("vec")
-    return fixed_rows(picked.toArrow().column("vec"), np.float32, dim)
+def bounded_sample(units: DataFrame, total: int, rows: int) -> list[bytes]:
+    """At most ``rows`` distinct vectors, those whose hash comes first; copies and repeated ids count once before any row is sent."""
+    order = F.xxhash64("vhash", F.lit(11))
+    some = units.where(F.pmod(order, F.lit(1 << 40)) < math.ceil(min(1.0, 2 * rows / max(total, 1)) * (1 << 40)))
+    picked = distinct_vectors(some).orderBy(order, "vhash").limit(rows)
+    return picked.select("vec").toArrow().column("vec")
 
 
 def train(sample: np.ndarray, total: int, list_rows: int, parts: int) -> Index:
-    """Centroids for lists of about ``list_rows`` rows and residual codebooks; lists that would hold much more are split."""
+    """Centroids for lists of about ``list_rows`` rows and residual codebooks; lists that one task can't take are split."""
     dim = sample.shape[1]
     lists = int(np.clip(round(total / list_rows), 1, MOST_LISTS))
     centroids = kmeans(sample, lists)
     at = nearest(sample, centroids)
     share = np.bincount(at, minlength=len(centroids)) / max(1, len(sample))
-    split = np.maximum(1, np.ceil(share * total / (4 * list_rows))).astype(np.int64)
+    split = np.maximum(1, np.ceil(share * total / CELL_ROWS)).astype(np.int64)
     rest = (sample - centroids[at])[:16_384]
     width = dim // parts
     books = np.zeros((parts, 256, width), np.float32)
@@ -118,7 +142,7 @@ def _unpack(raw: np.ndarray) -> np.ndarray:
 
 
 def route(groups: DataFrame, index: Index, nprobe: int) -> DataFrame:
-    """Home rows (32-bit vector and members) and visiting queries (16-bit vector) of each list."""
+    """Home rows (with members) and visiting queries of each list."""
     schema = "cell bigint, home boolean, gid bigint, vec binary, members array<bigint>"
     nprobe = min(nprobe, len(index.centroids))
 
@@ -129,8 +153,8 @@ def route(groups: DataFrame, index: Index, nprobe: int) -> DataFrame:
             if not n:
                 continue
             gid = batch.column(0).to_numpy()
-            x = fixed_rows(batch.column(1), np.float32, index.dim)
-            score = x @ index.centroids.T - half
+            packed = fixed_rows(batch.column(1), np.uint8, 4 + 2 * index.dim)
+            score = _unpack(packed) @ index.centroids.T - half
             top = np.argpartition(-score, nprobe - 1, axis=1)[:, :nprobe]
             first = np.take_along_axis(score, top, 1).argmax(1)
             home = top[np.arange(n), first]
@@ -144,7 +168,6 @@ def route(groups: DataFrame, index: Index, nprobe: int) -> DataFrame:
             cells = index.base[lists] + np.arange(len(lists)) - np.repeat(np.cumsum(times) - times, times)
             away = cells != cell[who]
             who, cells = who[away], cells[away]
-            packed = _pack(x)
             for i in range(0, len(who), 16_384):
                 w = who[i : i + 16_384]
                 yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + 16_384]), pa.array(np.zeros(len(w), bool)), pa.array(gid[w]), binary_column(packed[w]), pa.nulls(len(w), pa.list_(pa.int64()))], names=["cell", "home", "gid", "vec", "members"])
@@ -152,18 +175,22 @@ def route(groups: DataFrame, index: Index, nprobe: int) -> DataFrame:
     return groups.select("gid", "vec", "members").mapInArrow(run, schema)
 
 
-def scan_list(queries: np.ndarray, stored: np.ndarray, centroid: np.ndarray, codebooks: np.ndarray, want: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+def residual_codes(stored: np.ndarray, centroid: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
+    """parts x rows: the code word of each part of each residual."""
+    rest, width = stored - centroid, codebooks.shape[2]
+    return np.stack([nearest(rest[:, m * width : (m + 1) * width], codebooks[m]) for m in range(len(codebooks))]).astype(np.intp)
+
+
+def scan_list(queries: np.ndarray, codes: np.ndarray, codebooks: np.ndarray, want: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (query, stored) of one list, by asymmetric distance tables over residual codes.
 
     A query's table holds its dot products with all code words; a stored vector's score is
     the sum of ``parts`` table entries. About ``want`` best-scored rows are returned for
     each query (never fewer than ``want`` / 3 where the list has them).
     """
-    n, (parts, _, width) = len(stored), codebooks.shape
+    n, (parts, _, width) = codes.shape[1], codebooks.shape
     if n <= want:
         return np.repeat(np.arange(len(queries)), n), np.tile(np.arange(n), len(queries))
-    rest = stored - centroid
-    codes = np.stack([nearest(rest[:, m * width : (m + 1) * width], codebooks[m]) for m in range(parts)]).astype(np.intp)
     probe = np.linspace(0, n - 1, min(n, 1024)).astype(np.intp)
     rank = max(2, round(want * len(probe) / n))
     found_q, found_x = [], []
@@ -194,12 +221,28 @@ def scan_list(queries: np.ndarray, stored: np.ndarray, centroid: np.ndarray, cod
     return np.concatenate(found_q), np.concatenate(found_x)
 
 
+def scan_sublists(queries: np.ndarray, codes: np.ndarray, codebooks: np.ndarray, sub: np.ndarray, home: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``scan_list``, in the nearest sublists of each query only; ``sub`` are their centroids, ``home`` that of each row."""
+    visit = min(len(sub), probes(len(sub)))
+    top = np.argpartition(0.5 * (sub * sub).sum(1) - queries @ sub.T, visit - 1, axis=1)[:, :visit]
+    found_q, found_x = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(len(sub)):
+        who, rows = np.flatnonzero((top == i).any(1)), np.flatnonzero(home == i)
+        if len(who) and len(rows):
+            q, x = scan_list(queries[who], codes[:, rows], codebooks, want)
+            found_q.append(who[q])
+            found_x.append(rows[x])
+    return np.concatenate(found_q), np.concatenate(found_x)
+
+
 def best_of(qi: np.ndarray, xi: np.ndarray, queries: np.ndarray, stored: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best stored vectors of each query after exact comparison; a query is not its own answer.
 
     Query, distance in millionths and rank of the id make one 63-bit number for each pair, so
-    one sort orders all pairs with ties by id (up to 2^21 queries, 2^21 rows a list).
+    one sort orders all pairs with ties by id.
     """
+    if len(queries) > 1 << 21 or len(ids) > 1 << 21:
+        raise ValueError("a block of a list holds more than 2^21 rows")
     away = own[qi] != ids[xi]
     qi, xi = qi[away], xi[away]
     sim = np.empty(len(qi), np.float32)
@@ -229,21 +272,25 @@ def search(routed: DataFrame, index: Index, k: int, want: int) -> DataFrame:
         here, away = np.flatnonzero(home), np.flatnonzero(~home)
         out = pa.schema([("gid", pa.int64()), ("members", pa.list_(pa.int64())), ("near", pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())])))])
         gids, vec = table.column("gid").to_numpy(), table.column("vec")
-        stored = fixed_rows(vec.take(pa.array(here)), np.float32, index.dim)
-        visiting = _unpack(fixed_rows(vec.take(pa.array(away)), np.uint8, 4 + 2 * index.dim))
-        queries = np.concatenate([stored, visiting])
+        queries = _unpack(fixed_rows(vec.take(pa.array(np.r_[here, away])), np.uint8, 4 + 2 * index.dim))
+        stored = queries[: len(here)]
         own, ids = np.concatenate([gids[here], gids[away]]), gids[here]
         if not len(stored):
             return out.empty_table()
-        centroid = index.centroids[owner[int(table.column("cell")[0].as_py())]]
+        codes = residual_codes(stored, index.centroids[owner[int(table.column("cell")[0].as_py())]], index.codebooks)
         members = table.column("members").take(pa.array(here)).combine_chunks()
         if isinstance(members, pa.ChunkedArray):
             members = pa.concat_arrays(members.chunks)
         offsets, flat = members.offsets.to_numpy(), members.values.to_numpy()
+        sub = None
+        if len(stored) > SUBLISTED:
+            some = np.random.default_rng(5).permutation(len(stored))[: SAMPLE_ROWS]
+            sub = kmeans(stored[some], round(4 * len(stored) / SUBLISTED))
+            home = nearest(stored, sub)
         q_all, d_all, n_all = [], [], []
         for s in range(0, len(queries), 4096):
             part = queries[s : s + 4096]
-            qi, xi = scan_list(part, stored, centroid, index.codebooks, want)
+            qi, xi = scan_list(part, codes, index.codebooks, want) if sub is None else scan_sublists(part, codes, index.codebooks, sub, home, want)
             qi, xi, sim = best_of(qi, xi, part, stored, own[s : s + 4096], ids, k)
             held = np.minimum(np.diff(offsets)[xi], k)
             reps = np.repeat(np.arange(len(xi)), held)
@@ -262,29 +309,30 @@ def search(routed: DataFrame, index: Index, k: int, want: int) -> DataFrame:
     return routed.groupBy("cell").applyInArrow(run, schema)
 
 
-def knn_graph(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, k: int = 5, list_rows: int = 4096, nprobe: int = 4, parts: int = 16, want: int = 160) -> DataFrame:
+def knn_graph(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, k: int = 5, list_rows: int = 4096, nprobe: int | None = None, parts: int = 16, want: int = 160) -> DataFrame:
     """(id, near): the k most similar other ids of every usable id, as an ascending array of (d = minus cosine, id).
 
-    ``nprobe`` lists of about ``list_rows`` vectors are searched for each query; both are the
-    dials between cost and recall. Recall against brute force is measured in tests/llm and the README.
+    ``nprobe`` lists (by default ``probes`` of their number) of about ``list_rows`` vectors are
+    searched for each query; both are the dials between cost and recall. Recall against brute
+    force is measured in tests/llm and the README.
     """
-    units = unit_vectors(df, id_col, vec_col, version_col, dim)
-    total = df.count()
+    units = cut_lineage(unit_vectors(df, id_col, vec_col, version_col, dim, packed=True))
+    total = units.count()
     lists = int(np.clip(round(total / list_rows), 1, MOST_LISTS))
-    sample = bounded_sample(units, total, max(SAMPLE_ROWS, SAMPLE_PER_LIST * lists), dim)
+    sample = _unpack(fixed_rows(bounded_sample(units, total, max(SAMPLE_ROWS, SAMPLE_PER_LIST * lists)), np.uint8, 4 + 2 * dim))
     if not len(sample):
         return units.select("id", F.expr("cast(null as array<struct<d:double,id:bigint>>)").alias("near")).where("false")
     index = train(sample, total, list_rows, parts)
-    current = current_ids(units)
-    groups = vector_groups(units, current, k + 2)
-    found = search(route(groups, index, nprobe), index, k, want)
+    current = cut_lineage(current_ids(units))
+    members = group_members(current, k + 2)
+    found = search(route(vector_groups(units, members), index, nprobe or probes(len(index.centroids))), index, k, want)
     merged = found.groupBy("gid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"), F.flatten(F.collect_list("members")).alias("members"))
     copies = F.transform(F.filter("members", lambda m: m != F.col("id")), lambda m: F.struct(F.lit(-1.0).alias("d"), m.alias("id")))
     listed = merged.withColumn("id", F.explode("members")).select("id", F.slice(F.concat(copies, "near"), 1, k).alias("near"))
     # Groups with more copies than are listed: the rest have the k smallest ids of the group as neighbours.
-    w = Window.partitionBy("vhash").orderBy("id")
-    hot = current.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 2).groupBy("vhash").agg(F.sort_array(F.collect_list("id")).alias("members")).where(F.size("members") == k + 2)
-    rest = current.join(hot, "vhash").where(F.col("id") > F.col("members")[k + 1]).select("id", F.transform(F.slice("members", 1, k), lambda m: F.struct(F.lit(-1.0).alias("d"), m.alias("id"))).alias("near"))
+    full = members.where(F.size("members") == k + 2)
+    rest = skew_join(current, full, ["vhash"], ["id"], counts=current.groupBy("vhash").agg(F.count("*").alias("n")))
+    rest = rest.where(F.col("id") > F.col("members")[k + 1]).select("id", F.transform(F.slice("members", 1, k), lambda m: F.struct(F.lit(-1.0).alias("d"), m.alias("id"))).alias("near"))
     return listed.unionByName(rest)
 
 

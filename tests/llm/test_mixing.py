@@ -77,4 +77,17 @@ def test_report_reads_the_mix(spark):
 def test_slots_are_bounded_by_blocks(spark):
     mix = mixing.mix_sources(corpus(spark), targets(spark, [("a", 0.999999, 1), ("tiny", 0.000001, 1)]), block_tokens=300)
     blocks = mix.rows.select("slot").distinct().count()
-    assert mix.rows.agg(F.max("slot")).first()[0] < 50 * blocks
+    assert mix.rows.agg(F.max("slot")).first()[0] < 2 * blocks
+
+
+def test_every_block_has_a_slot(spark):
+    """A source of one block in a large corpus, one of some, and one of most."""
+    blocks = {"large": 99_961, "some": 37, "tiny": 1}
+    found = {r["source"]: r for r in mixing.slot_ranks(spark, blocks).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("k").alias("d"), F.max("k").alias("last"), F.max("slot").alias("slot")).collect()}
+    assert all(found[s]["n"] == found[s]["d"] == found[s]["last"] + 1 and found[s]["n"] >= n for s, n in blocks.items())
+    assert max(r["slot"] for r in found.values()) < 1 << 17
+
+
+def test_mirrored_digits(spark):
+    got = [r[0] for r in spark.range(64).select(mixing.mirrored(F.col("id"), 6)).collect()]
+    assert got == [int(f"{i:06b}"[::-1], 2) for i in range(64)]

@@ -42,7 +42,7 @@ def test_scan_equals_tables_sum():
     rng = np.random.default_rng(1)
     stored, q = rng.normal(size=(500, 8)).astype(np.float32), rng.normal(size=(40, 8)).astype(np.float32)
     index = V.train(stored, 500, 10_000, 4)
-    qi, xi = V.scan_list(q, stored, index.centroids[0], index.codebooks, 30)
+    qi, xi = V.scan_list(q, V.residual_codes(stored, index.centroids[0], index.codebooks), index.codebooks, 30)
     assert np.bincount(qi, minlength=40).min() >= 10
     exact = (q @ stored.T).argmax(1)
     assert np.mean([exact[i] in xi[qi == i] for i in range(40)]) > 0.9
@@ -78,11 +78,11 @@ def test_a_third_are_copies(spark):
 def test_split_lists_lose_nothing(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8)).astype(np.float32)
-    units = V.unit_vectors(frame(spark, [(i, v.tolist(), None) for i, v in enumerate(x)]), "node_no", "embedding", None, 8)
-    sample = V.bounded_sample(units, 300, 1000, 8)
+    units = V.unit_vectors(frame(spark, [(i, v.tolist(), None) for i, v in enumerate(x)]), "node_no", "embedding", None, 8, packed=True)
+    sample = V._unpack(V.fixed_rows(V.bounded_sample(units, 300, 1000), np.uint8, 20))
     index = V.train(sample, 300, 300, 4)
     index = V.Index(8, index.centroids, index.codebooks, np.array([3]), np.array([0]))
-    groups = V.vector_groups(units, V.current_ids(units), 7)
+    groups = V.vector_groups(units, V.group_members(V.current_ids(units), 7))
     found = V.search(V.route(groups, index, 1), index, 5, 300)
     got = found.groupBy("gid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, 5).alias("near"))
     want, _ = brute(np.arange(300), x.astype(float))
@@ -98,3 +98,30 @@ def test_tiny_tables(spark, n):
 def test_pairs(spark):
     g = spark.createDataFrame([(2, [(-1.0, 1)]), (1, [(-1.0, 2), (-0.5, 3)])], "id bigint, near array<struct<d:double,id:bigint>>")
     assert [tuple(r) for r in V.neighbour_pairs(g, 0.99).collect()] == [(1, 2)]
+
+
+def test_samples_are_bounded(spark):
+    rng = np.random.default_rng(4)
+    rest = rng.normal(size=(1500, 8))
+    rows = [(7, v.tolist(), None) for v in rest[:500]] + [(9, [1.0] * 8, None)] * 500 + [(1000 + i, v.tolist(), None) for i, v in enumerate(rest[500:])]
+    units = V.unit_vectors(frame(spark, rows), "node_no", "embedding", None, 8)
+    assert len(V.bounded_sample(units, 2000, 100)) == 100 and len(V.bounded_sample(units, 2000, 5000)) == 1501
+
+
+def test_probes_follow_the_lists():
+    assert [V.probes(n) for n in (1, 9, 88, 128, 256, 880, 8192)] == [4, 4, 4, 4, 5, 7, 10]
+
+
+def test_large_lists_have_sublists(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 8))
+    x = (centres[rng.integers(30, size=2500)] + 0.2 * rng.normal(size=(2500, 8))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = V.train(x, 2500, 10_000, 4)
+    codes = V.residual_codes(x, index.centroids[0], index.codebooks)
+    sub = V.kmeans(x, 20)
+    qi, xi = V.scan_sublists(x[:400], codes, index.codebooks, sub, V.nearest(x, sub), 60)
+    q, n, sim = V.best_of(qi, xi, x[:400], x, np.arange(400), np.arange(2500), 5)
+    want, _ = brute(np.arange(2500), x.astype(float))
+    assert sum(int(b) in want[int(a)] for a, b in zip(q, n)) >= 0.9 * 2000
+    assert len(qi) < 400 * 2500 / 4
