@@ -62,20 +62,22 @@ def usable_matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return good, x.astype(np.float32)
 
 
-def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Consecutive rows of one key from batches sorted by that key."""
+def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Consecutive rows of one key from batches sorted by the key columns."""
     held: list[pa.RecordBatch] = []
-    held_key = None
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        differs = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        cuts = [0, *(np.flatnonzero(differs) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            if held and keys[a] != held_key:
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
                 yield pa.Table.from_batches(held)
                 held = []
-            held_key = keys[a]
+            last = key
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)

@@ -4,20 +4,23 @@ Two records belong together when a chain of similar records joins them (every re
 a similar one is a core point). Both kinds of record follow the same steps:
 
 1. Exact copies fold into one point, so a value held by a third of all rows is one point.
-2. Points are spread over partitions that overlap. Vectors are reduced by principal
-   components and walk down a tree of hyperplanes; a point within the margin of a plane goes
-   down both sides. Paths go to the cells of their rarest 3-character substrings.
+2. Points are spread over partitions that overlap. Vectors are reduced to their principal
+   axes and go to the cell of their nearest centre, and to every cell whose border with it
+   is within the margin. Paths go to the cells of their rarest 3-character substrings.
 3. Each partition clusters its points by exact similarity of the full records and names
    each local cluster by its smallest id.
 4. A point that lies in several partitions carries the name of its local cluster in each;
    the names it shares are merged by distributed connected components.
+5. A partition of more points than one task takes is clustered in blocks that share some
+   pilot points. What the blocks have not joined to the partition's largest cluster is then
+   compared with the whole partition, block by block; points of one cluster never meet again.
 
-Margin of the vector tree: a pair at the similarity limit, apart in any direction alike,
-differs along one plane's normal by about chord / sqrt(d); the margin is ``sigmas`` times
-that. A plane is used only where at most ``most_spill`` of the points fall in its margin;
-where none qualifies, the partition stays whole and is compared in square blocks, each its
-own task. Paths need no margin: sets with Jaccard similarity >= t share one of their rarest
-substrings (prefix filter), for any fixed order of the substrings.
+Margin of the vector cells: a pair at the similarity limit, apart in any direction alike,
+differs along one border's normal by about chord / sqrt(d). When a border runs between the
+two, the nearer one is at most half of that away, so the margin is ``sigmas`` times half of it.
+Centres closer than ``SPACING`` margins can't be told apart and count as one. Paths need no
+margin: sets with Jaccard similarity >= t share one of their rarest substrings (prefix
+filter), for any fixed order of the substrings.
 
 Nulls and unusable records belong to no group. Ids are counted once, with their latest row.
 Empty tables give empty results. Extra columns are ignored.
@@ -26,19 +29,22 @@ Empty tables give empty results. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.blocks import Forest, binary_column, fixed_rows, runs
-from siltstone.llm.similar_vectors import bounded_sample, current_ids, unit_vectors
-from siltstone.runtime import cut_lineage, shuffle_width
+from siltstone.llm.blocks import Forest, binary_column, fixed_rows, kmeans, nearest, runs
+from siltstone.llm.similar_vectors import current_ids, distinct_vectors, unit_vectors
+from siltstone.runtime import cut_lineage, shuffle_width, skew_join, width_for
 
-SAMPLE_ROWS = 16_384
-BUCKETS = 1 << 16
+#: Bounds of the sample that places the centres, and of their number.
+SAMPLE_ROWS, MOST_SAMPLE, MOST_CELLS = 16_384, 1 << 20, 8_192
+#: Margins between two centres, pilot points of a partition in blocks, buckets of counted substrings.
+SPACING, PILOTS, BUCKETS = 3.0, 256, 1 << 16
 
 
 # --- components -----------------------------------------------------------------------
@@ -48,15 +54,16 @@ def connected(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of the component of each id in edges (u, v).
 
     Alternating large-star and small-star steps; each keeps at most one edge for every old
-    edge, hubs are reduced to their minimum before the join. Rounds grow with the logarithm
-    of the longest chain and end when the edges stay the same. Lineage is cut each round in the shared checkpoint folder.
+    edge, hubs are reduced to their minimum before the join and salted in it. Rounds grow with
+    the logarithm of the longest chain and end when the edges stay the same. Lineage is cut
+    each round in the shared checkpoint folder.
     """
     e = cut_lineage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = skew_join(both, least.select("u", "m"), ["u"], ["v"], counts=least.select("u", "n")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         e = cut_lineage(small)
@@ -115,153 +122,230 @@ def one_tree(forest: Forest, ids: np.ndarray) -> bool:
     return all(forest.find(i) == root for i in ids.tolist())
 
 
+# --- partitions in blocks -------------------------------------------------------------
+
+
+def scrambled(ids: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Whole numbers below 2^40 that look random, from ids."""
+    with np.errstate(over="ignore"):
+        x = (ids.astype(np.uint64) + np.uint64(salt + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(24)).astype(np.int64)
+
+
+def block_copies(gid: np.ndarray, rows: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, block) of every copy of points in partitions of ``rows`` rows and ``blocks`` blocks: each in its block, pilots in all of them."""
+    one = np.arange(len(gid))
+    mine = scrambled(gid) % blocks
+    pilot = np.flatnonzero((blocks > 1) & (scrambled(gid, 1) % np.maximum(1, rows // PILOTS) == 0))
+    if not len(pilot):
+        return one, mine
+    times = blocks[pilot]
+    who = np.repeat(pilot, times)
+    every = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+    away = every != mine[who]
+    return np.concatenate([one, who[away]]), np.concatenate([mine, every[away]])
+
+
+def rest_links(members: DataFrame, block_rows: int, similar: Callable[[pa.Table, pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(u, v): labels to be joined, from members (cell, gid, lab, payload) of the partitions that were clustered in blocks.
+
+    The points outside of a partition's largest cluster (probes) are compared with all of its
+    points under another label: ``similar`` gives the positions of such pairs. Both sides are
+    cut into blocks; a pair of blocks is one group.
+    """
+    counts = members.groupBy("cell", "lab").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("cell").agg(F.sum("n").alias("n"), F.max(F.struct("n", "lab")).alias("top"))
+    blocks = lambda n: F.ceil(n / block_rows).cast("int")
+    plan = sizes.select("cell", F.col("top.lab").alias("major"), blocks(F.col("n") - F.col("top.n")).alias("pb"), blocks(F.col("n")).alias("tb")).where("pb > 0")
+    rows = skew_join(members, plan, ["cell"], ["gid"], counts=sizes.select("cell", "n"))
+    mine = lambda b: F.pmod(F.xxhash64("gid"), F.col(b)).cast("int")
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.col(b) - 1))
+    kept = ["cell", "gid", "lab", "payload"]
+    probes = rows.where("lab <> major").select(*kept, F.lit(True).alias("probe"), mine("pb").alias("p"), every("tb").alias("t"))
+    targets = rows.select(*kept, F.lit(False).alias("probe"), mine("tb").alias("t"), every("pb").alias("p"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        probe = table.column("probe").to_numpy()
+        a, b = table.filter(pa.array(probe)), table.filter(pa.array(~probe))
+        forest = Forest()
+        if a.num_rows and b.num_rows:
+            u, v = a.column("lab").to_numpy(), b.column("lab").to_numpy()
+            for i, j in similar(a, b):
+                for x, y in np.unique(np.stack([u[i], v[j]]), axis=1).T.tolist():
+                    forest.join(x, y)
+        ids, roots = forest.stars()
+        return pa.table([pa.array(ids), pa.array(roots)], names=["u", "v"])
+
+    return probes.unionByName(targets).groupBy("cell", "p", "t").applyInArrow(compare, "u bigint, v bigint").where("u <> v")
+
+
+def relabelled(clusters: DataFrame, links: DataFrame) -> DataFrame:
+    """(gid, cluster) after joining the labels of links."""
+    roots = connected(links).withColumnRenamed("id", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    return skew_join(clusters, roots, ["cluster"], ["gid"], "left", counts=sizes).select("gid", F.coalesce("root", "cluster").alias("cluster"))
+
+
 # --- vectors --------------------------------------------------------------------------
 
 
 @dataclass
-class Tree:
-    """Hyperplanes over reduced vectors; leaf numbers are negative minus one."""
-
-    axes: np.ndarray
-    normal: list = field(default_factory=list)
-    at: list = field(default_factory=list)
-    left: list = field(default_factory=list)
-    right: list = field(default_factory=list)
-    blocks: list = field(default_factory=list)
-    margin: float = 0.0
-
-
-def _plane(x: np.ndarray, margin: float) -> tuple[float, np.ndarray, float]:
-    """The plane with the fewest points in its margin, among the normals of a two-means split and of the first component."""
-    rng = np.random.default_rng(len(x))
-    c = x[rng.choice(len(x), 2, replace=False)]
-    for _ in range(8):
-        side = (x @ (c[1] - c[0]) > 0.5 * ((c[1] ** 2).sum() - (c[0] ** 2).sum())).astype(int)
-        if side.min() == side.max():
-            break
-        c = np.stack([x[side == s].mean(0) for s in (0, 1)])
-    middle = x - x.mean(0)
-    first = np.linalg.eigh(middle.T @ middle)[1][:, -1]
-    best = (1.0, first, 0.0)
-    for w in (c[1] - c[0], first):
-        w = w / max(np.linalg.norm(w), 1e-12)
-        p = np.sort(x @ w)
-        for t in np.quantile(p, np.linspace(0.2, 0.8, 25)):
-            spill = (np.searchsorted(p, t + margin) - np.searchsorted(p, t - margin)) / len(p)
-            if spill < best[0]:
-                best = (spill, w, float(t))
-    return best
-
-
-def grow_tree(sample: np.ndarray, total: int, leaf_rows: int, dims: int, chord: float, sigmas: float, most_spill: float, block_rows: int) -> Tree:
+class Cells:
+    """Centres of cells over reduced vectors; a cell of more rows than a task takes has several blocks."""
+
+    axes: np.ndarray  # dim x dims
+    centres: np.ndarray  # cells x dims
+    margin: float
+    rows: np.ndarray  # expected rows of each cell, its margin included
+    blocks: np.ndarray
+
+
+def spaced(centres: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
+    """The heaviest centres that keep the distance ``least`` from each other."""
+    kept: list[int] = []
+    for i in np.argsort(-weight, kind="stable").tolist():
+        if not kept or ((centres[kept] - centres[i]) ** 2).sum(1).min() >= least * least:
+            kept.append(i)
+    return centres[kept]
+
+
+def _cells_of(reduced: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, cell, home) of each point in its home cell and in those whose border with it is within the margin."""
+    square = (centres * centres).sum(1)
+    apart = np.sqrt(np.maximum(square[:, None] - 2 * centres @ centres.T + square, 1e-12))
+    out = []
+    step = max(1, 4_000_000 // len(centres))
+    for i in range(0, len(reduced), step):
+        far = square - 2 * reduced[i : i + step] @ centres.T
+        home = far.argmin(1)
+        one = np.arange(len(far))
+        # Distance to the border: (|x - c|^2 - |x - home|^2) / (2 |c - home|).
+        who, cell = np.nonzero(far - far[one, home][:, None] <= 2 * margin * apart[home])
+        out.append((who + i, cell, cell == home[who]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+
+
+def _centres(reduced: np.ndarray, cells: int, margin: float) -> np.ndarray:
+    c = kmeans(reduced, cells)
+    return spaced(c, np.bincount(nearest(reduced, c), minlength=len(c)), SPACING * margin)
+
+
+def place_cells(sample: np.ndarray, total: int, leaf_rows: int, dims: int, chord: float, sigmas: float, block_rows: int) -> Cells:
     middle = sample - sample.mean(0)
     values, vectors = np.linalg.eigh(middle.T @ middle / max(1, len(sample)))
     values = np.maximum(values, 0)
     spread = float(values.sum() ** 2 / max((values**2).sum(), 1e-12))
-    tree = Tree(axes=np.ascontiguousarray(vectors[:, ::-1][:, :dims]).astype(np.float32))
-    tree.margin = sigmas * chord / math.sqrt(max(spread, 1.0))
-    reduced = sample @ tree.axes
-
-    def add(at: np.ndarray, depth: int) -> int:
-        rows = len(at) / max(1, len(sample)) * total
-        if rows > leaf_rows and len(at) >= 64 and depth < 24:
-            spill, w, t = _plane(reduced[at], tree.margin)
-            if spill <= most_spill:
-                p = reduced[at] @ w
-                node = len(tree.normal)
-                for part, value in ((tree.normal, w), (tree.at, t), (tree.left, 0), (tree.right, 0)):
-                    part.append(value)
-                tree.left[node] = add(at[p <= t + tree.margin], depth + 1)
-                tree.right[node] = add(at[p > t - tree.margin], depth + 1)
-                return node
-        tree.blocks.append(max(1, math.ceil(rows / block_rows)))
-        return -len(tree.blocks)
-
-    add(np.arange(len(sample)), 0)
-    return tree
-
-
-def _leaves(tree: Tree, x: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Each leaf with the positions of its points and whether it is their home (the leaf without margins)."""
-    everything = (np.arange(len(x)), np.ones(len(x), bool))
-    if not tree.normal:
-        return [(0, *everything)]
-    reduced = x @ tree.axes
-    out, todo = [], [(0, *everything)]
-    while todo:
-        node, at, home = todo.pop()
-        if not len(at):
-            continue
-        if node < 0:
-            out.append((-node - 1, at, home))
-            continue
-        p = reduced[at] @ tree.normal[node] - tree.at[node]
-        low, high = p <= tree.margin, p > -tree.margin
-        todo.append((tree.left[node], at[low], (home & (p <= 0))[low]))
-        todo.append((tree.right[node], at[high], (home & (p > 0))[high]))
-    return out
+    margin = sigmas * chord / (2 * math.sqrt(max(spread, 1.0)))
+    axes = np.ascontiguousarray(vectors[:, ::-1][:, :dims]).astype(np.float32)
+    reduced = sample @ axes
+    centres = _centres(reduced, int(np.clip(round(total / leaf_rows), 1, MOST_CELLS)), margin)
+    _, cell, _ = _cells_of(reduced, centres, margin)
+    rows = np.ceil(np.bincount(cell, minlength=len(centres)) / max(1, len(sample)) * total).astype(np.int64)
+    return Cells(axes, centres, margin, rows, np.maximum(1, np.ceil(rows / block_rows)).astype(np.int64))
 
 
-def vector_stars(points: DataFrame, tree: Tree, cosine: float, dim: int) -> DataFrame:
-    """(gid, lab) of the local clusters of the leaves of points (gid, vec).
+def spread_vectors(cells: Cells, dim: int, blocked_only: bool) -> Callable:
+    """Arrow batches (gid, vec[, lab]) to rows of the cells they lie in; ``blocked_only``: of cells in blocks, without blocks."""
+    base = np.cumsum(cells.blocks) - cells.blocks
 
-    A point within the margin of its neighbour's home leaf lies in it, so a leaf compares
-    only the points at home there with all its points.
-    """
-    base = np.cumsum([0, *[b * (b + 1) // 2 for b in tree.blocks]])
-
-    def spread(batches):
+    def run(batches):
         for batch in batches:
             gid = batch.column(0).to_numpy()
-            x = fixed_rows(batch.column(1), np.float32, dim)
-            cells, who, homes = [], [], []
-            for leaf, at, home in _leaves(tree, x):
-                b = tree.blocks[leaf]
-                mine = (gid[at] * np.int64(0x9E3779B97F4A7C1) >> 20) % b
-                for j in range(b):
-                    lo, hi = np.minimum(mine, j), np.maximum(mine, j)
-                    cells.append(base[leaf] + lo * b - lo * (lo - 1) // 2 + hi - lo)
-                    who.append(at)
-                    homes.append(home)
-            if cells:
-                cells, who, homes = np.concatenate(cells), np.concatenate(who), np.concatenate(homes)
-                for i in range(0, len(who), 8192):
-                    take = pa.array(who[i : i + 8192])
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + 8192]), pa.array(homes[i : i + 8192]), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "home", "gid", "vec"])
+            if not len(gid):
+                continue
+            who, cell, home = _cells_of(fixed_rows(batch.column(1), np.float32, dim) @ cells.axes, cells.centres, cells.margin)
+            if blocked_only:
+                some = cells.blocks[cell] > 1
+                who, cell = who[some], cell[some]
+            else:
+                at, block = block_copies(gid[who], cells.rows[cell], cells.blocks[cell])
+                who, cell, home = who[at], base[cell[at]] + block, home[at]
+            for i in range(0, len(who), 8192):
+                take = pa.array(who[i : i + 8192])
+                mark = [batch.column(2).take(take)] if blocked_only else [pa.array(home[i : i + 8192])]
+                names = ["cell", "lab", "gid", "payload"] if blocked_only else ["cell", "home", "gid", "vec"]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + 8192].astype(np.int64)), *mark, batch.column(0).take(take), batch.column(1).take(take)], names=names)
+
+    return run
+
+
+def join_similar(forest: Forest, ids: np.ndarray, x: np.ndarray, home: np.ndarray, cosine: float, axes: np.ndarray, margin: float, leaf_rows: int, depth: int = 0) -> None:
+    """Join all points at ``cosine`` or above of which one is at home; many points are first spread over cells of their own."""
+    if len(ids) > 4 * leaf_rows and depth < 4:
+        reduced = x @ axes
+        some = np.random.default_rng(depth).permutation(len(x))[:SAMPLE_ROWS]
+        centres = _centres(reduced[some], len(ids) // leaf_rows, margin)
+        if len(centres) > 1:
+            who, cell, own = _cells_of(reduced, centres, margin)
+            # Cells help where they hold less than half of the pairs in all.
+            sizes = np.bincount(cell, minlength=len(centres)).astype(float)
+            if (sizes * np.bincount(cell[own], minlength=len(centres))).sum() < 0.5 * len(ids) * home.sum():
+                order = np.argsort(cell, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                    at = who[part]
+                    join_similar(forest, ids[at], x[at], own[part], cosine, axes, margin, leaf_rows, depth + 1)
+                return
+    order = np.argsort(~home, kind="stable")
+    ids, x = ids[order], x[order]
+    for i in range(0, int(home.sum()), 512):
+        if one_tree(forest, ids[i:]):
+            break
+        similar = x[i : i + 512] @ x[i:].T >= cosine
+        similar[np.arange(len(similar)), np.arange(len(similar))] = False
+        join_block(forest, ids[i : i + 512], ids[i:], similar)
+
+
+def vector_stars(points: DataFrame, cells: Cells, cosine: float, dim: int, leaf_rows: int) -> DataFrame:
+    """(gid, lab) of the local clusters of the cells of points (gid, vec).
+
+    When a border runs between two similar points one of them lies within the margin of the
+    other's cell, so a cell compares only the points at home there with all its points.
+    """
+    axes, margin = cells.axes, cells.margin
 
     def cluster(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        home = table.column("home").to_numpy()
-        order = np.argsort(~home, kind="stable")
-        ids = table.column("gid").to_numpy()[order]
-        x = fixed_rows(table.column("vec"), np.float32, dim)[order]
         forest = Forest()
-        for i in range(0, int(home.sum()), 512):
-            if one_tree(forest, ids[i:]):
-                break
-            similar = x[i : i + 512] @ x[i:].T >= cosine
-            similar[np.arange(len(similar)), np.arange(len(similar))] = False
-            join_block(forest, ids[i : i + 512], ids[i:], similar)
+        join_similar(forest, table.column("gid").to_numpy(), fixed_rows(table.column("vec"), np.float32, dim), table.column("home").to_numpy(), cosine, axes, margin, leaf_rows)
         return pa.Table.from_batches([_star_batch(forest)])
 
-    cells = points.select("gid", "vec").mapInArrow(spread, "cell bigint, home boolean, gid bigint, vec binary")
-    return cells.groupBy("cell").applyInArrow(cluster, "gid bigint, lab bigint")
+    rows = points.select("gid", "vec").mapInArrow(spread_vectors(cells, dim, False), "cell bigint, home boolean, gid bigint, vec binary")
+    # By number, so that cells of few bytes but many comparisons are not packed into few tasks.
+    tasks = max(shuffle_width(points.sparkSession), int(cells.blocks.sum()) // 4)
+    return rows.repartition(tasks, "cell").groupBy("cell").applyInArrow(cluster, "gid bigint, lab bigint")
 
 
-def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, cosine: float = 0.866, leaf_rows: int = 2048, dims: int = 32, sigmas: float = 3.5, most_spill: float = 0.35, block_rows: int = 32_768) -> tuple[DataFrame, DataFrame]:
+def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, cosine: float = 0.866, leaf_rows: int = 2048, dims: int = 48, sigmas: float = 3.5, block_rows: int = 32_768) -> tuple[DataFrame, DataFrame]:
     """((id, cluster) of every usable id, (id, vec) unit vectors): groups of ids joined by chains at cosine >= ``cosine``."""
-    units = unit_vectors(df, id_col, vec_col, version_col, dim)
-    current = current_ids(units)
-    owner = current.groupBy("vhash").agg(F.min("id").alias("gid"))
-    points = units.groupBy("vhash").agg(F.first("vec").alias("vec")).join(owner, "vhash").select("gid", "vec")
-    total = df.count()
-    sample = bounded_sample(units, total, SAMPLE_ROWS, dim)
-    usable = int(total * len(sample) / max(1, min(total, SAMPLE_ROWS)))
-    chord = math.sqrt(2 - 2 * cosine)
-    tree = grow_tree(sample, max(usable, len(sample)), leaf_rows, dims, chord, sigmas, most_spill, block_rows) if len(sample) else Tree(np.eye(dim, dims, dtype=np.float32), blocks=[1])
-    clusters = merge_stars(vector_stars(points, tree, cosine, dim))
-    named = current.join(owner, "vhash").select("id", "gid")
-    return named.join(clusters, "gid", "left").select("id", F.coalesce("cluster", "gid").alias("cluster")), units
+    units = cut_lineage(unit_vectors(df, id_col, vec_col, version_col, dim))
+    current = cut_lineage(current_ids(units))
+    owner = cut_lineage(current.groupBy("vhash").agg(F.min("id").alias("gid"), F.count("*").alias("n")))
+    points = cut_lineage(distinct_vectors(units).join(owner, "vhash").select("gid", "vec"))
+    total = points.count()
+    if not total:
+        return current.select("id", F.col("id").alias("cluster")), units
+    order = F.xxhash64("gid", F.lit(11))
+    wanted = int(np.clip(32 * total // leaf_rows, SAMPLE_ROWS, MOST_SAMPLE))
+    some = points.where(F.pmod(order, F.lit(1 << 40)) < math.ceil(min(1.0, 2 * wanted / total) * (1 << 40))).orderBy(order, "gid").limit(wanted)
+    sample = fixed_rows(some.select("vec").toArrow().column("vec"), np.float32, dim)
+    cells = place_cells(sample, total, leaf_rows, dims, math.sqrt(2 - 2 * cosine), sigmas, block_rows)
+    clusters = merge_stars(vector_stars(points, cells, cosine, dim, leaf_rows))
+    if (cells.blocks > 1).any():
+
+        def similar(a: pa.Table, b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            x, y = (fixed_rows(t.column("payload"), np.float32, dim) for t in (a, b))
+            u, v = (t.column("lab").to_numpy() for t in (a, b))
+            for i in range(0, len(x), 512):
+                p, q = np.nonzero((x[i : i + 512] @ y.T >= cosine) & (u[i : i + 512, None] != v))
+                yield p + i, q
+
+        clusters = cut_lineage(clusters)
+        labelled = points.join(clusters, "gid", "left").select("gid", "vec", F.coalesce("cluster", "gid").alias("lab"))
+        members = cut_lineage(labelled.mapInArrow(spread_vectors(cells, dim, True), "cell bigint, lab bigint, gid bigint, payload binary"))
+        clusters = relabelled(labelled.select("gid", F.col("lab").alias("cluster")), rest_links(members, block_rows, similar))
+    named = skew_join(current, owner.select("vhash", "gid"), ["vhash"], ["id"], counts=owner.select("vhash", "n"))
+    return skew_join(named, clusters, ["gid"], ["id"], "left", counts=owner.select("gid", "n")).select("id", F.coalesce("cluster", "gid").alias("cluster")), units
 
 
 # --- paths ----------------------------------------------------------------------------
@@ -296,110 +380,160 @@ def gram_frequencies(points: DataFrame) -> np.ndarray:
     return out
 
 
-def path_stars(points: DataFrame, frequency: np.ndarray, least: float, cell_rows: int, hashed: int) -> DataFrame:
-    """(gid, lab) of the local clusters of the cells of points (gid, path).
+def path_cells(frequency: np.ndarray, least: float, cell_rows: int, blocked_only: bool) -> Callable:
+    """Arrow batches (gid, path[, lab]) to rows of the cells of each path's rarest substrings.
 
-    A point goes to the cells of its rarest substrings: a set x that resembles a set at least
-    as large shares one of its first |x| - ceil(2t/(1+t)|x|) + 1 substrings with the first
-    |y| - ceil(t|y|) + 1 of the other. Cells that would hold more than ``cell_rows`` points
-    are cut into blocks of rows against rows.
+    A set x that resembles a set at least as large shares one of its first
+    |x| - ceil(2t/(1+t)|x|) + 1 substrings (stored) with the first |y| - ceil(t|y|) + 1 of the
+    other (probes), in the order of ``frequency``. ``blocked_only``: cells of more than
+    ``cell_rows`` points, without blocks.
     """
-    split = np.maximum(1, np.ceil(frequency / cell_rows)).astype(np.int64)
+    blocks = np.maximum(1, np.ceil(frequency / cell_rows)).astype(np.int64)
 
-    def spread(batches):
+    def run(batches):
         for batch in batches:
             gid = batch.column(0).to_numpy()
-            cells, who, kept, sizes = [], [], [], []
+            who, cells, stored, buckets, sizes = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 g = grams_of(text)
                 b = _bucket(g)
-                order = np.lexsort((g, frequency[b]))
                 n = len(g)
-                probes = n - math.ceil(least * n) + 1
-                stored = n - math.ceil(2 * least / (1 + least) * n) + 1
-                first = order[:probes]
-                times = split[b[first]]
-                cell = g[first] * 2_654_435_761 % (1 << 61)
-                isin = np.arange(probes) < stored
-                if (times > 1).any():
-                    at = np.repeat(np.arange(probes), times)
-                    sub = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                    mine = int(gid[i] * 0x9E3779B97F4A7C1 >> 20) % times[at]
-                    cell, isin = cell[at] + sub, isin[at] & (sub == mine)
-                cells.append(cell)
-                kept.append(isin)
-                who.append(np.full(len(cell), i))
+                first = np.lexsort((g, frequency[b]))[: n - math.ceil(least * n) + 1]
+                who.append(np.full(len(first), i))
+                cells.append(g[first] * 2_654_435_761 % (1 << 61))
+                stored.append(np.arange(len(first)) < n - math.ceil(2 * least / (1 + least) * n) + 1)
+                buckets.append(b[first])
                 sizes.append(n)
-            if cells:
-                cells, who, kept, sizes = np.concatenate(cells), np.concatenate(who), np.concatenate(kept), np.array(sizes, np.int32)
-                for i in range(0, len(who), 16_384):
-                    take = pa.array(who[i : i + 16_384])
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + 16_384]), pa.array(kept[i : i + 16_384]), batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes[who[i : i + 16_384]])], names=["cell", "stored", "gid", "path", "n"])
+            if not who:
+                continue
+            who, cells, stored, buckets, sizes = np.concatenate(who), np.concatenate(cells), np.concatenate(stored), np.concatenate(buckets), np.array(sizes, np.int32)
+            if blocked_only:
+                some = blocks[buckets] > 1
+                who, cells, stored, block = who[some], cells[some], stored[some], np.zeros(int(some.sum()), np.int32)
+            else:
+                at, block = block_copies(gid[who], frequency[buckets], blocks[buckets])
+                who, cells, stored, block = who[at], cells[at], stored[at], block.astype(np.int32)
+            for i in range(0, len(who), 16_384):
+                w = who[i : i + 16_384]
+                take = pa.array(w)
+                key = [pa.array(cells[i : i + 16_384]), pa.array(block[i : i + 16_384])]
+                if blocked_only:
+                    yield pa.RecordBatch.from_arrays([key[0], batch.column(2).take(take), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "lab", "gid", "payload"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*key, pa.array(stored[i : i + 16_384]), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "block", "stored", "gid", "path"])
+
+    return run
+
+
+@dataclass
+class PathSet:
+    """Substring sets of paths as reduced vectors: hashed counts of the distinct substrings, whose
+    products are never below the size of the intersection, and bit maps, exact up to a set's own clashes."""
+
+    texts: list[str]
+    sizes: np.ndarray
+    counts: np.ndarray
+    bits: np.ndarray
+    clashes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], hashed: int) -> PathSet:
+        n = len(texts)
+        c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        rows = np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n))
+        inside = rows[:-2] == rows[2:]
+        grams = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[inside]
+        rows = rows[:-2][inside]
+        order = np.lexsort((grams, rows))
+        rows, grams = rows[order], grams[order]
+        new = np.r_[True, (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])]
+        rows, mixed = rows[new], (grams[new].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+        mixed = mixed.astype(np.int64)
+        counts = np.bincount(rows * hashed + (mixed * hashed >> 40), minlength=n * hashed).reshape(n, hashed).astype(np.float32)
+        bits = np.zeros((n, 1024), np.uint8)
+        bits[rows, (mixed >> 20) & 1023] = 1
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        sizes = np.bincount(rows, minlength=n).astype(np.float32)
+        return cls(texts, sizes, counts, bits, sizes - np.bitwise_count(bits).sum(1))
+
+    def resembles(self, i: int, other: PathSet, j: int, least: float) -> bool:
+        both = len(np.intersect1d(grams_of(self.texts[i]), grams_of(other.texts[j]), assume_unique=True))
+        return both >= least * (self.sizes[i] + other.sizes[j] - both) - 1e-9
+
+    def candidates(self, at: np.ndarray, other: PathSet, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the paths ``at`` and those of other that may resemble each other."""
+        part = least / (1 + least)
+        x, y = np.nonzero(self.counts[at] @ other.counts.T >= part * (self.sizes[at][:, None] + other.sizes[None, :]) - 1e-3)
+        x = at[x]
+        most = np.bitwise_count(self.bits[x] & other.bits[y]).sum(1) + np.minimum(self.clashes[x], other.clashes[y])
+        ok = most >= part * (self.sizes[x] + other.sizes[y]) - 1e-3
+        return x[ok], y[ok]
+
+
+def path_stars(points: DataFrame, frequency: np.ndarray, least: float, cell_rows: int, hashed: int, tasks: int) -> DataFrame:
+    """(gid, lab) of the local clusters of the cells, or blocks of cells, of points (gid, path)."""
 
     def cluster(batches):
-        forest = Forest()
-        for table in runs(batches, "cell"):
-            n = table.num_rows
+        for table in runs(batches, ("cell", "block")):
             stored = table.column("stored").to_numpy()
-            if n < 2 or not stored.any():
+            if table.num_rows < 2 or not stored.any():
                 continue
-            ids, sizes = table.column("gid").to_numpy(), table.column("n").to_numpy().astype(np.float32)
-            texts = table.column("path").to_pylist()
-            # Reduced vectors: hashed counts of distinct substrings, whose products are never below
-            # the size of the intersection; bit maps narrow the pairs further, up to a set's own clashes.
-            c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            rows = np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n))
-            inside = rows[:-2] == rows[2:]
-            flat = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            keys = np.sort((rows[:-2][inside] << 40) | (flat >> np.uint64(24)).astype(np.int64))
-            keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
-            rows, flat = keys >> 40, keys & ((1 << 40) - 1)
-            v = np.bincount(rows * hashed + (flat * hashed >> 40), minlength=n * hashed).reshape(n, hashed).astype(np.float32)
-            bits = np.zeros((n, 1024), np.uint8)
-            bits[rows, (flat >> 20) & 1023] = 1
-            bits = np.packbits(bits, axis=1).view(np.uint64)
-            clashes = sizes - np.bitwise_count(bits).sum(1)
-            part = least / (1 + least)
+            forest, ids = Forest(), table.column("gid").to_numpy()
+            paths = PathSet.of(table.column("path").to_pylist(), hashed)
             at = np.flatnonzero(stored)
             for i in range(0, len(at), 512):
                 if one_tree(forest, ids):
                     break
-                a = at[i : i + 512]
-                need = part * (sizes[a][:, None] + sizes[None, :])
-                x, y = np.nonzero(v[a] @ v.T >= need - 1e-3)
-                x = a[x]
-                most = np.bitwise_count(bits[x] & bits[y]).sum(1) + np.minimum(clashes[x], clashes[y])
-                ok = (x != y) & (most >= part * (sizes[x] + sizes[y]) - 1e-3)
-                for p, q in zip(x[ok].tolist(), y[ok].tolist()):
-                    if forest.find(int(ids[p])) == forest.find(int(ids[q])):
-                        continue
-                    both = len(np.intersect1d(grams_of(texts[p]), grams_of(texts[q]), assume_unique=True))
-                    if both >= least * (sizes[p] + sizes[q] - both) - 1e-9:
+                for p, q in zip(*(c.tolist() for c in paths.candidates(at[i : i + 512], paths, least))):
+                    if p != q and forest.find(int(ids[p])) != forest.find(int(ids[q])) and paths.resembles(p, paths, q, least):
                         forest.join(int(ids[p]), int(ids[q]))
-        yield _star_batch(forest)
+            yield _star_batch(forest)
 
-    cells = points.select("gid", "path").mapInArrow(spread, "cell bigint, stored boolean, gid bigint, path string, n int")
-    return cells.repartition(shuffle_width(points.sparkSession) * 2, "cell").sortWithinPartitions("cell").mapInArrow(cluster, "gid bigint, lab bigint")
+    rows = points.select("gid", "path").mapInArrow(path_cells(frequency, least, cell_rows, False), "cell bigint, block int, stored boolean, gid bigint, path string")
+    return rows.repartition(tasks, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(cluster, "gid bigint, lab bigint")
 
 
 def cluster_paths(df: DataFrame, id_col: str, path_col: str, version_col: str | None = None, least: float = 0.5, cell_rows: int = 16_384, hashed: int = 256) -> tuple[DataFrame, DataFrame]:
-    """((id, cluster), (gid, path)): groups of ids joined by chains of lower-cased paths whose 3-character substrings have Jaccard similarity >= ``least``."""
+    """((id, cluster), (id, path)): groups of ids joined by chains of lower-cased paths whose 3-character substrings have Jaccard similarity >= ``least``."""
     version = F.coalesce(F.col(version_col).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")) if version_col else F.lit("0001-01-01").cast("timestamp")
     rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max(F.struct(version.alias("v"), F.lower(path_col).alias("path"))).alias("m")).select("id", F.col("m.path").alias("path"))
-    rows = rows.where(F.char_length("path") >= 4)
-    points = cut_lineage(rows.groupBy("path").agg(F.min("id").alias("gid")))
-    clusters = merge_stars(path_stars(points, gram_frequencies(points), least, cell_rows, hashed))
-    named = rows.join(points, "path").select("id", "gid")
-    return named.join(clusters, "gid", "left").select("id", F.coalesce("cluster", "gid").alias("cluster")), rows
+    rows = cut_lineage(rows.where(F.char_length("path") >= 4))
+    points = cut_lineage(rows.groupBy("path").agg(F.min("id").alias("gid"), F.count("*").alias("n")))
+    frequency = gram_frequencies(points)
+    # A path goes to about half as many cells as it has characters; the width follows the table's bytes.
+    clusters = merge_stars(path_stars(points, frequency, least, cell_rows, hashed, max(2 * shuffle_width(df.sparkSession), width_for(df.select(path_col), 32))))
+    if (frequency > cell_rows).any():
+
+        def similar(a: pa.Table, b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            x, y = (PathSet.of(t.column("payload").to_pylist(), hashed) for t in (a, b))
+            u, v = (t.column("lab").to_numpy() for t in (a, b))
+            done: set[tuple[int, int]] = set()
+            for i in range(0, len(u), 512):
+                p, q = x.candidates(np.arange(i, min(i + 512, len(u))), y, least)
+                apart = u[p] != v[q]
+                pairs = []
+                for m, n in zip(p[apart].tolist(), q[apart].tolist()):
+                    if (u[m], v[n]) not in done and x.resembles(m, y, n, least):
+                        done.add((u[m], v[n]))
+                        pairs.append((m, n))
+                if pairs:
+                    yield tuple(np.array(pairs).T)
+
+        clusters = cut_lineage(clusters)
+        labelled = points.join(clusters, "gid", "left").select("gid", "path", F.coalesce("cluster", "gid").alias("lab"))
+        members = cut_lineage(labelled.mapInArrow(path_cells(frequency, least, cell_rows, True), "cell bigint, lab bigint, gid bigint, payload string"))
+        clusters = relabelled(labelled.select("gid", F.col("lab").alias("cluster")), rest_links(members, cell_rows, similar))
+    named = skew_join(rows, points.select("path", "gid"), ["path"], ["id"], counts=points.select("path", "n"))
+    return skew_join(named.select("id", "gid"), clusters, ["gid"], ["id"], "left", counts=points.select("gid", "n")).select("id", F.coalesce("cluster", "gid").alias("cluster")), rows
 
 
 # --- description ----------------------------------------------------------------------
 
 
 def sizeable(members: DataFrame, least: int = 3) -> DataFrame:
-    """The members (id, cluster) of clusters of at least ``least`` ids."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    return members.join(sizes, "cluster")
+    """The members (id, cluster, size) of clusters of at least ``least`` ids."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    return skew_join(members, sizes.where(F.col("size") >= least), ["cluster"], ["id"], counts=sizes, count="size")
 
 
 def hashed_paths(rows: DataFrame, hashed: int = 64) -> DataFrame:
@@ -430,12 +564,10 @@ def describe(members: DataFrame, vectors: DataFrame, dim: int = 64, medoids: int
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cluster"), batch.column("size"), *[pa.array(np.ascontiguousarray(x[:, i])) for i in range(dim)]], names=["id", "cluster", "size", *[f"x{i}" for i in range(dim)]])
 
     shape = "id bigint, cluster bigint, size bigint, " + ", ".join(f"x{i} double" for i in range(dim))
-    rows = members.join(vectors.groupBy("id").agg(F.first("vec").alias("vec")), "id").select("id", "cluster", "size", "vec").mapInArrow(unpack, shape)
-    sums = rows.groupBy("cluster").agg(*[F.sum(f"x{i}").alias(f"s{i}") for i in range(dim)])
+    rows = members.join(vectors.groupBy("id").agg(F.min("vec").alias("vec")), "id").select("id", "cluster", "size", "vec").mapInArrow(unpack, shape)
+    sums = rows.groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(dim)])
     score = sum((F.col(f"x{i}") * F.col(f"s{i}") for i in range(1, dim)), F.col("x0") * F.col("s0"))
-    scored = rows.join(sums, "cluster").select("cluster", "size", "id", F.round(score, 6).alias("score"))
-    from pyspark.sql import Window
-
+    scored = skew_join(rows, sums.drop("n"), ["cluster"], ["id"], counts=sums.select("cluster", "n")).select("cluster", "size", "id", F.round(score, 6).alias("score"))
     w = Window.partitionBy("cluster").orderBy(F.desc("score"), "id")
     top = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= medoids)
     return top.groupBy("cluster").agg(F.max("size").alias("size"), F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda s: s["id"]).alias("typical"))

@@ -62,16 +62,67 @@ def test_vectors_against_brute_force(spark):
     assert {r["id"]: r["cluster"] for r in members.collect()} == components(range(len(x)), zip(a.tolist(), b.tolist()))
 
 
-def test_tree_splits_and_blocks(spark):
+def test_cells_hold_every_link():
+    """Of two similar points one lies in the other's home cell."""
     rng = np.random.default_rng(6)
-    x = np.concatenate([rng.normal(size=(400, 64)) * 0.05 + c for c in np.eye(64)[:6]]).astype(np.float32)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(40, size=4000)] + 0.35 * rng.normal(size=(4000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    cells = C.place_cells(x, len(x), 200, 48, 0.5177, 3.5, 32_768)
+    assert len(cells.centres) > 10
+    who, cell, home = C._cells_of(x @ cells.axes, cells.centres, cells.margin)
+    assert home.sum() == len(x) and len(who) < 8 * len(x)
+    own = np.empty(len(x), int)
+    own[who[home]] = cell[home]
+    inside = set(zip(who.tolist(), cell.tolist()))
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.866, 1))
+    found = [(i, own[j]) in inside or (j, own[i]) in inside for i, j in zip(a.tolist(), b.tolist())]
+    assert len(found) > 1000 and np.mean(found) >= 0.999
+
+
+def test_centres_of_one_dense_region_count_once():
+    rng = np.random.default_rng(11)
+    x = np.concatenate([np.eye(64)[0] + 0.01 * rng.normal(size=(900, 64)), rng.normal(size=(100, 64))]).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    tree = C.grow_tree(x, len(x), 500, 32, 0.5177, 3.5, 0.35, 150)
-    assert len(tree.normal) >= 2 and max(tree.blocks) > 1
-    leaves = C._leaves(tree, x)
-    assert sum(h.sum() for _, _, h in leaves) == len(x) and set(np.concatenate([at for _, at, _ in leaves])) == set(range(len(x)))
-    members, _ = C.cluster_vectors(vectors(spark, x), "node_no", "e", leaf_rows=500, block_rows=150)
-    assert members.select("cluster").distinct().count() <= 6 + 200
+    cells = C.place_cells(x, 100_000, 1000, 48, 0.5177, 3.5, 20_000)
+    assert sorted(cells.blocks)[-1] >= 5 and (cells.rows.sum() < 100_000 * 60)
+    near = ((x[:900] @ cells.axes)[:, None] - cells.centres) ** 2
+    assert len(np.unique(near.sum(2).argmin(1))) == 1
+
+
+def test_partitions_in_blocks_lose_nothing(spark):
+    """A dense region of many blocks, small groups at its edge, and chains across blocks."""
+    rng = np.random.default_rng(12)
+    dense = np.eye(64)[0] + 0.04 * rng.normal(size=(700, 64))
+    edge = np.eye(64)[0] + 0.12 * rng.normal(size=(200, 64))
+    apart = np.concatenate([c + 0.05 * rng.normal(size=(40, 64)) for c in rng.normal(size=(6, 64)) * 0.3 + np.eye(64)[1]])
+    x = np.concatenate([dense, edge, apart]).astype(np.float32)
+    members, _ = C.cluster_vectors(vectors(spark, x), "node_no", "e", leaf_rows=400, block_rows=90)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.866, 1))
+    assert {r["id"]: r["cluster"] for r in members.collect()} == components(range(len(x)), zip(a.tolist(), b.tolist()))
+
+
+def test_block_copies():
+    gid = np.arange(20_000)
+    who, block = C.block_copies(gid, np.full(20_000, 20_000), np.full(20_000, 10))
+    sizes = np.bincount(block)
+    assert len(sizes) == 10 and sizes.max() < 2000 + 2 * C.PILOTS + 200
+    assert (np.bincount(who) >= 1).all() and 0 < (np.bincount(who) == 10).sum() < 3 * C.PILOTS
+    who, block = C.block_copies(gid, np.full(20_000, 20_000), np.ones(20_000, int))
+    assert len(who) == 20_000 and not block.any()
+
+
+def test_local_cells_equal_all_pairs():
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(60, size=3000)] + 0.3 * rng.normal(size=(3000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    cells = C.place_cells(x, 3000, 3000, 48, 0.5177, 3.5, 32_768)
+    a, b = C.Forest(), C.Forest()
+    C.join_similar(a, np.arange(3000), x, np.ones(3000, bool), 0.866, cells.axes, cells.margin, 100)
+    C.join_similar(b, np.arange(3000), x, np.ones(3000, bool), 0.866, cells.axes, cells.margin, 3000)
+    assert [a.find(i) for i in range(3000)] == [b.find(i) for i in range(3000)]
 
 
 def test_copies_and_dirt(spark):
@@ -114,6 +165,19 @@ def test_paths_against_brute_force(spark):
     assert {r["id"]: r["cluster"] for r in members.collect()} == components(range(len(paths)), links)
 
 
+def test_a_root_that_all_paths_share(spark):
+    """Half of each path's substrings are hot; a third of the paths make one dense group."""
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    root = "/company/archive/"
+    paths = [root + "reports/" + word(4) for _ in range(250)] + [root + word(rng.randrange(10, 24)) for _ in range(250)] + [root[:9] + word(14) for _ in range(60)]
+    paths = list(dict.fromkeys(paths))
+    members, _ = C.cluster_paths(spark.createDataFrame(list(enumerate(paths)), "plan_no bigint, path string"), "plan_no", "path", cell_rows=60)
+    sets = [grams(p) for p in paths]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])]
+    assert {r["id"]: r["cluster"] for r in members.collect()} == components(range(len(paths)), links)
+
+
 def test_short_null_and_hot_paths(spark):
     rows = [(1, None), (2, ""), (3, "abc"), (4, "ABCD"), (5, "abcd"), (6, "abcd"), (7, "абвг"), (8, "abcd"), (8, "abcd")] + [(100 + i, "same/path/for/all") for i in range(200)]
     members, paths = C.cluster_paths(spark.createDataFrame(rows, "n bigint, p string"), "n", "p")
