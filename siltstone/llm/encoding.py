@@ -5,8 +5,8 @@
    tokenizer's pattern always starts a new word; where there is none nearby the cut is
    *open*.
 2. One shuffle brings each distinct chunk and all its uses together; it is encoded once. A
-   chunk that one batch uses very often gets one of a few salts, so that no task holds all
-   uses of a hot chunk.
+   chunk that one batch uses more than once is hot: it is encoded once for every
+   ``SALT_TASKS`` tasks, whose uses alone meet, so that its uses spread as the corpus grows.
 3. A second shuffle puts the ids of each text in order. Joins at open cuts are repaired: the
    chunks on both sides are re-encoded together, widened until the ids on the outer edges
    agree with what was there.
@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.runtime import shuffle_width
+from siltstone.runtime import width_for
 
 #: Folder of the public vocabulary files; never copied.
 TOKENIZERS = os.environ.get("SILTSTONE_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the word pattern of byte_bpe_50k.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-HOT_USES, SALTS = 64, 32
+#: Uses in one batch from which a chunk is hot, and tasks that share the encoding of a hot chunk.
+HOT_USES, SALT_TASKS = 2, 64
 
 _loaded: dict = {}
 
@@ -119,14 +120,15 @@ def chunk_ends(text: str, target: int, most: int) -> tuple[list[int], list[bool]
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, target: int = 320, most: int = 4096, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """(doc_id, ids): the token ids of every row of df."""
-    width = shuffle_width(df.sparkSession)
+    # The first shuffle moves about as many bytes as the texts have, the second fewer.
+    width = width_for(df.select(id_col, text_col), 2)
     piece = pa.schema([("hash", pa.int64()), ("check", pa.int64()), ("use", pa.bool_()), ("uid", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("open", pa.bool_()), ("chunk", pa.binary())])
 
     def chunk(batches):
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 36
-        salt = np.int64(TaskContext.get().partitionId() % SALTS)
+        salt = np.int64(1 + TaskContext.get().partitionId() // SALT_TASKS)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
@@ -150,8 +152,10 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, target: int = 320,
                 distinct = list(codes)
                 m = len(distinct)
                 digest = np.frombuffer(b"".join(map(_digest, distinct)), np.int64).reshape(m, 2)
-                digest, check = digest[:, 0].copy(), digest[:, 1] & ~np.int64(SALTS - 1)
-                check[np.bincount(which, minlength=m) >= HOT_USES] += salt
+                digest, check = digest[:, 0].copy(), digest[:, 1].copy()
+                # Multiplied, so that salts change all digits of what rows are spread by.
+                with np.errstate(over="ignore"):
+                    check[np.bincount(which, minlength=m) >= HOT_USES] ^= salt * np.int64(0x1E3779B97F4A7C15)
                 yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(check), pa.array(np.zeros(m, bool)), *[pa.nulls(m, piece.field(i).type) for i in range(3, 7)], pa.array(distinct, pa.binary())], schema=piece)
                 yield pa.RecordBatch.from_arrays([pa.array(digest[which]), pa.array(check[which]), pa.array(np.ones(len(which), bool)), pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(opened, pa.bool_()), pa.nulls(len(which), pa.binary())], schema=piece)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import clusters, encoding, languages, mixing, similar_vectors, splitting
+from siltstone.llm import clusters, encoding, languages, mixing, similar_vectors, splitting, sql
 from siltstone.runtime import table
 
 
@@ -111,4 +111,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(sql.ORACLES)
