@@ -98,6 +98,12 @@ def infer_type(value: Column | str, spark_type: str) -> Column:
     return F.when(v.isNull(), "TEXT").otherwise(kind)
 
 
+def infer_kind_type(value: Column | str, kind: Column | str) -> Column:
+    """Type of a parsed value kept as text beside its kind."""
+    k = _c(kind)
+    return F.when(k == "boolean", "BOOLEAN").when(k == "integer", "INTEGER").when(k == "double", "NUMERIC").when(k == "string", infer_text_type(value)).otherwise("TEXT")
+
+
 def unified_type(kinds: Column, longest: Column) -> Column:
     """One type for a set of value types: none TEXT, several TEXT, VARCHAR with its width."""
     width = F.least((F.floor(F.coalesce(longest, F.lit(0)) / 50) + 1) * 50, F.lit(1000)).cast("int")

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import attributes as A
 from siltstone.functions import files, texts
-from siltstone.operators.loader import SYSTEM_TABLES, quoted, table_key
+from siltstone.operators.loader import SYSTEM_TABLES, number_rows, quoted, table_key
+from siltstone.runtime import cut_lineage, skew_join
 
 CATALOG = "table_name string, ordinal int, column_name string, data_type string"
 
 
 def columns_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """Catalog rows of named DataFrames, with normal form and identifier mark; schemas only, no data is read."""
-    rows = [(name, i, f.name, f.dataType.simpleString()) for name, df in sorted(tables.items()) for i, f in enumerate(df.schema.fields, 1)]
+    rows = [(name, i, f.name, f.metadata.get("comment") or f.dataType.simpleString()) for name, df in sorted(tables.items()) for i, f in enumerate(df.schema.fields, 1)]
     return spark.createDataFrame(rows, CATALOG).withColumn("norm_name", A.normalize("column_name")).withColumn("is_id", A.is_id("column_name"))
 
 
@@ -53,7 +54,7 @@ def catalog_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def table_details(spark: SparkSession, name: str) -> dict:
     df = spark.table(quoted(name))
-    return {"name": name, "columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields], "primary_key": table_key(spark, name), "row_count": df.count(), "relationships": []}
+    return {"name": name, "columns": [{"name": f.name, "type": f.metadata.get("comment") or f.dataType.simpleString()} for f in df.schema.fields], "primary_key": table_key(spark, name), "row_count": df.count(), "relationships": []}
 
 
 def state(catalog: DataFrame, collections: DataFrame, media: DataFrame) -> DataFrame:
@@ -68,15 +69,40 @@ def storage_stats(df: DataFrame, group: str, size: str) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("files"), F.sum(size).cast("bigint").alias("bytes")).withColumn("display", texts.human_size(F.coalesce("bytes", F.lit(0))))
 
 
+def totals(meta: DataFrame, tables: int | DataFrame, recent: str = "7 days") -> DataFrame:
+    """One row (total_files, total_size, tables, collections, media_directories, recent_uploads, storage_breakdown) over file metadata.
+
+    Recent are files created within ``recent`` of the last one. Grouped by modality and collection
+    first, which are few, so that only these groups are gathered.
+    """
+    groups = meta.groupBy("modality", "collection_hint").agg(F.count("*").alias("n"), F.sum("size_bytes").cast("bigint").alias("bytes"))
+    last = meta.agg(F.max("created_at").alias("last"))
+    new = meta.join(F.broadcast(last)).agg(F.count_if(F.col("created_at") >= F.expr(f"last - INTERVAL {recent}")).alias("recent_uploads"))
+    kinds = groups.groupBy("modality").agg(F.sum("n").alias("n"), F.sum("bytes").cast("bigint").alias("bytes"), F.count_if(F.col("modality") == "text").alias("collections"))
+    shown = F.sort_array(F.collect_list(F.concat(F.col("modality"), F.lit(": "), texts.human_size(F.coalesce("bytes", F.lit(0))))))
+    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_files"), texts.human_size(F.coalesce(F.sum("bytes"), F.lit(0))).alias("total_size"), F.coalesce(F.sum("collections"), F.lit(0)).alias("collections"), F.count_if(F.col("modality") != "text").alias("media_directories"), F.array_join(shown, ", ").alias("storage_breakdown"))
+    counted = F.lit(tables) if isinstance(tables, int) else F.col("tables")
+    rows = total.join(F.broadcast(new))
+    rows = rows if isinstance(tables, int) else rows.join(F.broadcast(tables))
+    return rows.select("total_files", "total_size", counted.cast("bigint").alias("tables"), "collections", "media_directories", "recent_uploads", "storage_breakdown")
+
+
 def tree_rows(docs: DataFrame, text: str, name: str, order: str, collection: str, modality: str, size: str) -> DataFrame:
     """(folder, file, size, mime_type, files): the two-level tree as rows; of equal names in a folder the last wins."""
     rows = docs.select(texts.folder_name(text, collection, modality).alias("folder"), F.col(name).alias("file"), texts.human_size(size).alias("size"), files.mime_type(name).alias("mime_type"), F.col(order).alias("_o"))
     return rows.groupBy("folder", "file").agg(F.max_by(F.struct("size", "mime_type"), "_o").alias("s")).select("folder", "file", "s.size", "s.mime_type")
 
 
-def file_tree(rows: DataFrame) -> DataFrame:
-    """One row for each folder with its files in order, for display; the folders themselves stay distributed."""
-    return rows.groupBy("folder").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.lower("file").alias("k"), "file", "size", "mime_type"))), lambda s: F.struct(s["file"].alias("name"), s["size"].alias("size"), s["mime_type"].alias("mime_type"))).alias("children"))
+def placed_tree(rows: DataFrame) -> DataFrame:
+    """rows + place: 1, 2 ... of the files of each folder, whatever their case.
+
+    Files are numbered over range partitions and each folder's numbers moved to start at 1, so
+    that a folder with a third of all files is no single task's.
+    """
+    numbered = cut_lineage(number_rows(rows.withColumn("_k", F.lower("file")), ["folder", "_k", "file"], "_n"))
+    starts = numbered.groupBy("folder").agg(F.min("_n").alias("_first"), F.count("*").alias("n"))
+    placed = skew_join(numbered, starts.select("folder", "_first"), ["folder"], ["file"], counts=starts.select("folder", "n"))
+    return placed.withColumn("place", F.col("_n") - F.col("_first") + 1).drop("_k", "_n", "_first")
 
 
 def tree_matches(rows: DataFrame, query: str, columns: tuple[str, ...] = ("folder", "file")) -> DataFrame:

@@ -62,13 +62,19 @@ def media_fallback(media: DataFrame, name_col: str = "file_name") -> DataFrame:
     return media.select(F.col(name_col).alias("original_name"), kind.alias("modality"), F.concat(texts.title_case(kind), F.lit(" file "), F.col(name_col)).alias("summary"), F.lit("media_assets").alias("collection_hint"), F.expr("cast(null as array<float>)").alias("embedding"))
 
 
-def stored_names(rows: DataFrame, folder_col: str, name_col: str, order_col: str) -> DataFrame:
-    """rows + stored_name: names that occur again in a folder get _1, _2 ... in order.
+def stored_names(rows: DataFrame, folder_col: str, name_col: str, order_col: str, taken_col: str | None = None) -> DataFrame:
+    """rows + stored_name: names that occur again in a folder get _1, _2 ... in order, after ``taken_col`` that are there already.
 
     A folder that holds a third of all files is no window: only equal names meet.
     """
     w = Window.partitionBy(folder_col, name_col).orderBy(order_col)
-    return rows.withColumn("stored_name", files.collision_name(name_col, F.row_number().over(w) - 1))
+    before = F.coalesce(taken_col, F.lit(0)) if taken_col else F.lit(0)
+    return rows.withColumn("stored_name", files.collision_name(name_col, F.row_number().over(w) - 1 + before))
+
+
+def sanitized_row(row: DataFrame) -> DataFrame:
+    """Every column as a metadata value."""
+    return row.select(*[sanitized(F.col(f"`{f.name}`"), f.dataType.simpleString()).alias(f.name) for f in row.schema.fields])
 
 
 def sanitized(value: Column, kind: str) -> Column:

@@ -15,6 +15,8 @@ from siltstone.functions import attributes as A
 
 # Cut-offs of the decision and number of candidates scored.
 LEAST_RATIO, MOST_NEW_FIELDS, CANDIDATES = 0.5, 3, 3
+#: Distinct column names of a catalog that may be sent to every task.
+MOST_NAMES = 20_000
 
 
 def exact_candidates(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -28,19 +30,29 @@ def semantic_hits(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
     """(source, table_name, norm): attributes that equal, are synonyms of or resemble some column of a table.
 
     Distinct normal forms are compared, each pair once, whatever number of sources and tables
-    hold them. Pairs are found by equi-join on a shared character or synonym group: without
-    either the name score is 0, below the 1/7 that the limit asks for.
+    hold them. Up to ``MOST_NAMES`` column names are sent to all attributes. More of them meet in
+    an equi-join on a shared character or synonym group: without either the name score is 0,
+    below the 1/7 that the limit asks for.
     """
     new = incoming.where(~A.is_id("attribute")).select("source", A.normalize("attribute").alias("norm")).distinct()
     old = catalog.where(~A.is_id("column_name")).select("table_name", A.normalize("column_name").alias("col")).distinct()
-    marks = lambda c: F.explode(F.array_compact(F.array_distinct(F.concat(F.split(c, ""), F.array(F.concat(F.lit("group "), A.synonym_group(c)))))))
-    a = new.select("norm").distinct().select("norm", marks("norm").alias("mark"))
-    b = old.select("col").distinct().select("col", marks("col").alias("mark"))
-    pairs = a.join(b, "mark").select("norm", "col").distinct()
+    names, columns = new.select("norm").distinct(), old.select("col").distinct()
+    if columns.limit(MOST_NAMES + 1).count() <= MOST_NAMES:
+        pairs = names.join(F.broadcast(columns))
+    else:
+        marks = lambda c: F.explode(F.array_compact(F.array_distinct(F.concat(F.split(c, ""), F.array(F.concat(F.lit("group "), A.synonym_group(c)))))))
+        pairs = names.select("norm", marks("norm").alias("mark")).join(columns.select("col", marks("col").alias("mark")), "mark").select("norm", "col").distinct()
     near = pairs.where(A.attribute_similarity("norm", "col") >= A.CANDIDATE_LEAST).select("norm", "col")
     return new.join(near, "norm").join(old, "col").select("source", "table_name", "norm").distinct()
 
 
+def best_scores(pairs: DataFrame, new_col: str, old_col: str, most: int) -> DataFrame:
+    """(new, place, old, similarity): the ``most`` best columns of each attribute, ties by name."""
+    scored = pairs.select(new_col, old_col, F.round(A.attribute_similarity(new_col, old_col), 6).alias("similarity"))
+    place = F.row_number().over(Window.partitionBy(new_col).orderBy(F.desc("similarity"), old_col))
+    return scored.withColumn("place", place).where(F.col("place") <= most).select(new_col, "place", old_col, "similarity")
+
+
 def candidate_tables(incoming: DataFrame, catalog: DataFrame, min_matches: int = 1) -> DataFrame:
     """(source, table_name, matches): tables by number of matched attributes."""
     return semantic_hits(incoming, catalog).groupBy("source", "table_name").agg(F.count("*").alias("matches")).where(F.col("matches") >= min_matches)

@@ -14,23 +14,45 @@ from siltstone.runtime import cut_lineage
 
 KEY_PROPERTY = "siltstone.primary_key"
 SYSTEM_TABLES = ("schema_jobs",)
-SAMPLE_VALUES, NUMBERING_SLICE = 100, 100_000
+#: Column that holds the order of incoming rows, if they have one.
+ORDER = "__order"
+SAMPLE_VALUES = 100
+#: Storage of the inferred types; whole numbers may exceed 32 bits.
+STORAGE = {"INTEGER": "bigint", "NUMERIC": "double", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp"}
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def column_types(rows: DataFrame, order: Column | str | None = None) -> dict[str, str]:
-    """Column type of each attribute from its first 100 values that are not null."""
-    out = {}
-    for f in rows.schema.fields:
-        source = rows.where(F.col(quoted(f.name)).isNotNull())
-        sample = (source.orderBy(order) if order is not None else source).limit(SAMPLE_VALUES)
-        kind = A.infer_type(F.col(quoted(f.name)), f.dataType.simpleString())
-        r = sample.select(kind.alias("k"), F.char_length(F.col(quoted(f.name)).cast("string")).alias("n")).agg(A.unified_type(F.collect_set("k"), F.max("n")).alias("t")).first()
-        out[f.name] = r["t"]
-    return out
+def first_values(values: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first 100 values (not null) of each of the keys; tasks keep only their own first ones."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return values.where("value is not null").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SAMPLE_VALUES).drop("_r")
+
+
+def column_types(rows: DataFrame, order: str | None = None) -> dict[str, str]:
+    """Column type of each attribute from its first 100 values that are not null, in one pass over the rows."""
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    fields = [f for f in rows.schema.fields if f.name != order]
+    cells = [F.struct(F.lit(f.name).alias("name"), F.col(quoted(f.name)).cast("string").alias("value"), A.infer_type(quoted(f.name), f.dataType.simpleString()).alias("kind")) for f in fields]
+    found = first_values(rows.select(at.alias("_at"), F.explode(F.array(*cells)).alias("c")).select("_at", "c.*"), ["name"], ["_at"])
+    types = {r["name"]: r["t"] for r in found.groupBy("name").agg(A.unified_type(F.collect_set("kind"), F.max(F.char_length("value"))).alias("t")).collect()}
+    return {f.name: types.get(f.name, "TEXT") for f in fields}
+
+
+def field_types(rows: DataFrame) -> DataFrame:
+    """(schema, name, type, storage): the column type of each field of each schema of rows (schema, path, ordinal, fields, kinds).
+
+    One pass for all schemas. Texts with a dash that are no times are TEXT here.
+    """
+    cells = F.arrays_zip(F.map_keys("fields").alias("name"), F.map_values("fields").alias("value"), F.col("kinds").alias("kind"))
+    values = rows.where("fields is not null").select("schema", "path", "ordinal", F.explode(cells).alias("c")).select("schema", "path", "ordinal", "c.*")
+    sample = first_values(values, ["schema", "name"], ["path", "ordinal"]).withColumn("kind", A.infer_kind_type("value", "kind"))
+    types = sample.groupBy("schema", "name").agg(A.unified_type(F.collect_set("kind"), F.max(F.char_length("value"))).alias("type"), F.bool_and(F.col("value").try_cast("timestamp").isNotNull()).alias("times"))
+    kind = F.when((F.col("type") == "TIMESTAMP") & ~F.col("times"), "TEXT").otherwise(F.col("type"))
+    stored = F.create_map(*[F.lit(x) for pair in STORAGE.items() for x in pair])
+    return types.withColumn("type", kind).select("schema", "name", "type", F.coalesce(stored[F.col("type")], F.lit("string")).alias("storage"))
 
 
 def primary_key(names: list[str]) -> str | None:
@@ -38,12 +60,23 @@ def primary_key(names: list[str]) -> str | None:
     return next((A.plain_normalize(n) for n in names if A.plain_is_id(n)), None)
 
 
-def create_table(spark: SparkSession, name: str, rows: DataFrame, key: str | None = None) -> bool:
-    """Create the table if it does not exist, with the columns of rows; True when it was created."""
+def distinct_names(names: list[str]) -> list[str]:
+    """The names that can be columns: those with a normal form, of equal ones the first."""
+    return list({A.plain_normalize(n): n for n in reversed(names) if A.plain_normalize(n)}.values())[::-1]
+
+
+def commented(types: dict[str, str], name: str) -> str:
+    """The declared type of a column as its comment, for the catalog."""
+    return f" COMMENT '{types[name]}'" if name in types else ""
+
+
+def create_table(spark: SparkSession, name: str, rows: DataFrame, key: str | None = None, types: dict[str, str] | None = None) -> bool:
+    """Create the table if it does not exist, with the columns of rows and their declared types as comments; True when it was created."""
     if spark.catalog.tableExists(name):
         return False
-    key = key or primary_key(rows.columns)
-    columns = ", ".join(f"{quoted(A.plain_normalize(f.name))} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    fields = [f for f in rows.schema.fields if f.name != ORDER]
+    key = key or primary_key([f.name for f in fields])
+    columns = ", ".join(f"{quoted(A.plain_normalize(f.name))} {f.dataType.simpleString()}{commented(types or {}, f.name)}" for f in fields)
     properties = f" TBLPROPERTIES ('{KEY_PROPERTY}'='{key}')" if key else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {quoted(name)} ({columns}) USING parquet{properties}")
     return True
@@ -67,10 +100,11 @@ def ensure_overflow(spark: SparkSession, name: str, column: str = "extra") -> No
     add_columns(spark, name, {column: "string"})
 
 
-def mapped_rows(rows: DataFrame, target: dict[str, str], mapping: dict[str, str], new_fields: list[str] = (), extra_fields: list[str] = (), overflow: str = "extra") -> DataFrame:
+def mapped_rows(rows: DataFrame, target: dict[str, str], mapping: dict[str, str], new_fields: list[str] = (), extra_fields: list[str] = (), overflow: str = "extra", keep: tuple[str, ...] = ()) -> DataFrame:
     """rows in the columns of target: mapped by name (case does not matter), missing ones null, extra fields as JSON.
 
-    ``target`` gives the columns and types; a source that no column takes is dropped.
+    ``target`` gives the columns and types; a source that no column takes is dropped. Columns
+    to ``keep`` pass as they are.
     """
     by_lower = {c.lower(): c for c in rows.columns}
     source_of = {v: k for k, v in mapping.items() if k.lower() in by_lower} | {A.plain_normalize(f): f for f in new_fields if f.lower() in by_lower}
@@ -83,7 +117,7 @@ def mapped_rows(rows: DataFrame, target: dict[str, str], mapping: dict[str, str]
             source = source_of.get(column) or column
             found = by_lower.get(source.lower())
             out.append((F.expr(f"try_cast({quoted(found)} AS {kind})") if found else F.lit(None).cast(kind)).alias(column))
-    return rows.select(*out)
+    return rows.select(*out, *keep)
 
 
 def insert_if_absent(rows: DataFrame, existing: DataFrame, key: str, order: Column | str) -> DataFrame:
@@ -117,15 +151,16 @@ def insert_rows(spark: SparkSession, name: str, rows: DataFrame, mapping: dict[s
     if extra_fields:
         ensure_overflow(spark, name)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    rows = rows if ORDER in rows.columns else rows.withColumn(ORDER, F.monotonically_increasing_id())
     add_columns(spark, name, {A.plain_normalize(f): kinds[f] for f in new_fields if f in kinds})
     table = spark.table(name)
     target = {f.name: f.dataType.simpleString() for f in table.schema.fields}
-    mapping = mapping if mapping is not None else {c: A.plain_normalize(c) for c in rows.columns if A.plain_normalize(c) in target}
-    ready = mapped_rows(rows.withColumn("_at", F.monotonically_increasing_id()), target | {"_at": "bigint"}, mapping | {"_at": "_at"}, new_fields, extra_fields)
+    mapping = mapping if mapping is not None else {c: A.plain_normalize(c) for c in rows.columns if c != ORDER and A.plain_normalize(c) in target}
+    ready = mapped_rows(rows, target, mapping, new_fields, extra_fields, keep=(ORDER,))
     key = table_key(spark, name)
     if key and key in target:
         given = any(v == key for v in mapping.values()) or key in {A.plain_normalize(f) for f in new_fields}
-        ready = insert_if_absent(ready, table, key, "_at") if given else surrogate_keys(ready.drop(key), table, key, ["_at"])
+        ready = insert_if_absent(ready, table, key, ORDER) if given else surrogate_keys(ready.drop(key), table, key, [ORDER])
     ready = cut_lineage(ready.select(*target))
     added = ready.count()
     ready.createOrReplaceTempView("_siltstone_load")

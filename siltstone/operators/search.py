@@ -157,11 +157,17 @@ def flattened(nodes: DataFrame) -> DataFrame:
 
 
 def mean_pool(vectors: DataFrame, key: str, vec_col: str) -> DataFrame:
-    """(key, embedding): the mean of each group's vectors at unit length; a zero mean stays zero."""
-    means = vectors.select(key, F.posexplode(vec_col).alias("pos", "v")).groupBy(key, "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    lists = means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("mean"))
+    """(key, embedding): the mean of each group's vectors at unit length; a zero mean stays zero.
+
+    One partial average for each position, so that no number becomes a row; null vectors and
+    positions that a shorter vector lacks don't count.
+    """
+    dim = vectors.agg(F.max(F.size(vec_col))).first()[0] or 0
+    means = vectors.groupBy(key).agg(*[F.avg(F.get(vec_col, F.lit(i)).cast("double")).alias(f"_m{i}") for i in range(dim)])
+    mean = F.array_compact(F.array(*[F.col(f"_m{i}") for i in range(dim)]).cast("array<double>"))
+    rows = means.select(key, mean.alias("mean"))
     norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x))
-    return lists.withColumn("_n", norm).select(key, F.transform("mean", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(x)).alias("embedding"))
+    return rows.withColumn("_n", norm).select(key, F.transform("mean", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(x)).alias("embedding"))
 
 
 def joined_captions(captions: DataFrame, key: str, order: str, text_col: str) -> DataFrame:

@@ -14,6 +14,7 @@ from siltstone.operators import documents as D
 from siltstone.operators import evolution as E
 from siltstone.operators import loader as L
 from siltstone.operators import search as S
+from siltstone.plans.matching import _catalog, _incoming
 from siltstone.plans.texts_files import docs, sql_content, sql_ext, sql_folder, sql_is_id, sql_list, sql_mime, sql_modality, sql_normalize, sql_sentences, sql_size, sql_topic
 from siltstone.runtime import table
 from siltstone.sources.storage import placed_files
@@ -156,15 +157,6 @@ def delimiter_sniff(spark, base):
 # --- evolution -----------------------------------------------------------------------
 
 
-def _incoming(spark: SparkSession, base: str) -> DataFrame:
-    loads = table(spark, base, "load_results").groupBy("file_no").agg(F.max(F.struct("loaded_at", F.map_keys("mapping").alias("a"), F.coalesce("new_fields", F.expr("cast(array() as array<string>)")).alias("n"))).alias("m"))
-    return loads.select(F.col("file_no").cast("string").alias("source"), F.posexplode(F.array_sort(F.concat("m.a", "m.n"))).alias("ordinal", "attribute"))
-
-
-def _catalog(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "catalog_columns").select("table_name", F.col("col_no").alias("ordinal"), "column_name", "data_type")
-
-
 _INCOMING = "SELECT DISTINCT CAST(file_no AS VARCHAR) AS source, unnest(list_concat(map_keys(mapping), coalesce(new_fields, []))) AS attribute FROM load_results"
 
 
@@ -173,24 +165,6 @@ def candidate_exact_join(spark, base):
     return E.exact_candidates(_incoming(spark, base), _catalog(spark, base))
 
 
-@query()
-def candidate_tables(spark, base):
-    return E.candidate_tables(_incoming(spark, base), _catalog(spark, base))
-
-
-@query()
-def attr_match(spark, base):
-    i, c = _incoming(spark, base), _catalog(spark, base)
-    top = E.top_candidates(E.candidate_tables(i, c))
-    return E.table_matches(i, c, top).select("source", "table_name", F.round("match_ratio", 6).alias("match_ratio"), F.to_json("mapping").alias("mapping"), F.array_join("new_fields", ",").alias("new_fields"))
-
-
-@query()
-def schema_decision(spark, base):
-    d = E.decide(_incoming(spark, base), _catalog(spark, base), None)
-    return d.select("source", "decision", "table_name", F.size("new_fields").alias("n_new"), F.round("match_ratio", 6).alias("match_ratio"))
-
-
 @query("WITH g AS (SELECT r.range / 20.0::DOUBLE AS ratio, n.range AS n_new, a.range AS n_attrs FROM range(0, 21) r, range(0, 6) n, range(1, 13) a) SELECT ratio, n_new, n_attrs, CASE WHEN ratio >= CASE WHEN n_attrs < 10 THEN 0.6 ELSE 0.8 END AND n_new = 0 THEN 'same_table' WHEN ratio >= 0.5 AND n_new <= 3 THEN 'evolved_table' WHEN ratio >= 0.5 THEN 'evolved_table_jsonb' ELSE 'new_table' END AS decision FROM g")
 def evolution_decision(spark, base):
     grid = spark.range(21).select((F.col("id") / 20.0).alias("ratio"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("n_new")).select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(12).cast("bigint"))).alias("n_attrs"))
@@ -246,56 +220,32 @@ def node_upsert(spark, base):
 # --- vectors and search --------------------------------------------------------------
 
 _DIST = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
-_KNN = f"SELECT e.vec_id, e.label, {_DIST} AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY d, e.vec_id LIMIT 12"
 #: What the labels of the vector table stand for in these queries.
 _MODALITY = "CASE label % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'image' WHEN 2 THEN 'video' ELSE 'audio' END"
 
 
-def _query_vector(spark: SparkSession, base: str) -> list[float]:
-    return list(table(spark, base, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+_KNN = f"SELECT query_id, vec_id, label, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_DIST} AS d FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND len(e.embedding) = len(q.embedding)) WHERE d IS NOT NULL) WHERE r <= 12"
 
 
 def _hits(spark: SparkSession, base: str, k: int = 12) -> DataFrame:
-    return S.nearest(table(spark, base, "embeddings"), _query_vector(spark, base), k, "vec_id")
-
-
-@query(f"SELECT vec_id, round(d, 6) AS distance FROM ({_KNN})")
-def knn_search(spark, base):
-    return _hits(spark, base).select("vec_id", F.round("distance", 6).alias("distance"))
-
-
-@query(f"SELECT vec_id, round(greatest(0, 1 - d), 6) AS similarity FROM ({_KNN})")
-def knn_similarity(spark, base):
-    return _hits(spark, base).select("vec_id", F.round("similarity", 6).alias("similarity"))
-
-
-@query(f"WITH k AS (SELECT vec_id, {_MODALITY} AS modality FROM ({_KNN})) SELECT * FROM k WHERE modality IN ('video', 'audio', 'image') OR NOT EXISTS (SELECT 1 FROM k WHERE modality IN ('video', 'audio', 'image'))")
-def knn_media_filter(spark, base):
-    return S.media_filter(_hits(spark, base).select("vec_id", F.expr("CASE label % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'image' WHEN 2 THEN 'video' ELSE 'audio' END").alias("modality")), "a short video clip")
-
-
-_KNN_EACH = f"SELECT query_id, vec_id, label, d FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_DIST} AS d FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND len(e.embedding) = len(q.embedding)) WHERE d IS NOT NULL) WHERE r <= 12"
-
-
-def _hits_each(spark: SparkSession, base: str, k: int = 12) -> DataFrame:
     """The hits of every row whose id is divisible by 100."""
     rows = table(spark, base, "embeddings")
     return S.nearest_each(rows, rows.where("vec_id % 100 = 0"), k, "vec_id", keep=("label",))
 
 
-@query(f"SELECT query_id, vec_id, round(d, 6) AS distance FROM ({_KNN_EACH})")
-def knn_search_each(spark, base):
-    return _hits_each(spark, base).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+@query(f"SELECT query_id, vec_id, round(d, 6) AS distance FROM ({_KNN})")
+def knn_search(spark, base):
+    return _hits(spark, base).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"SELECT query_id, vec_id, round(greatest(0, 1 - d), 6) AS similarity FROM ({_KNN_EACH})")
-def knn_similarity_each(spark, base):
-    return _hits_each(spark, base).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+@query(f"SELECT query_id, vec_id, round(greatest(0, 1 - d), 6) AS similarity FROM ({_KNN})")
+def knn_similarity(spark, base):
+    return _hits(spark, base).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH k AS (SELECT query_id, vec_id, {_MODALITY} AS modality FROM ({_KNN_EACH})) SELECT * FROM k WHERE modality IN ('video', 'audio', 'image') OR query_id NOT IN (SELECT query_id FROM k WHERE modality IN ('video', 'audio', 'image'))")
-def knn_media_filter_each(spark, base):
-    hits = _hits_each(spark, base).select("query_id", "vec_id", F.expr(_MODALITY).alias("modality"))
+@query(f"WITH k AS (SELECT query_id, vec_id, {_MODALITY} AS modality FROM ({_KNN})) SELECT * FROM k WHERE modality IN ('video', 'audio', 'image') OR query_id NOT IN (SELECT query_id FROM k WHERE modality IN ('video', 'audio', 'image'))")
+def knn_media_filter(spark, base):
+    hits = _hits(spark, base).select("query_id", "vec_id", F.expr(_MODALITY).alias("modality"))
     return S.media_filter(hits, "a short video clip", "query_id")
 
 
@@ -305,14 +255,8 @@ def embedding_mean_pool(spark, base):
     return pooled.select("label", F.posexplode("embedding").alias("pos", "v")).select("label", "pos", F.round("v", 6).alias("value"))
 
 
-@query("WITH c AS (SELECT file_id, node_no, text FROM (SELECT metadata.file_id AS file_id, node_no, substring(text, 1, 12) AS text, row_number() OVER (PARTITION BY node_no ORDER BY written_at) AS r FROM graph_nodes) WHERE r = 1 AND text IS NOT NULL), f AS (SELECT file_id, text, min(node_no) AS n FROM c GROUP BY ALL) SELECT file_id, string_agg(text, ' | ' ORDER BY n) AS caption FROM f GROUP BY file_id")
-def caption_join(spark, base):
-    rows = table(spark, base, "graph_nodes").select(F.col("metadata.file_id").alias("file_id"), "node_no", F.substring("text", 1, 12).alias("t")).distinct()
-    return S.joined_captions(rows, "file_id", "node_no", "t")
-
-
 @query("WITH c AS (SELECT metadata.file_id AS file_id, node_no, text FROM graph_nodes WHERE text IS NOT NULL), f AS (SELECT file_id, text, min(node_no) AS n FROM c GROUP BY ALL) SELECT file_id, string_agg(text, ' | ' ORDER BY n, text) AS caption FROM f GROUP BY file_id")
-def caption_join_whole(spark, base):
+def caption_join(spark, base):
     """The captions of every file at their full length."""
     rows = table(spark, base, "graph_nodes").select(F.col("metadata.file_id").alias("file_id"), "node_no", "text").distinct()
     return S.joined_captions(rows, "file_id", "node_no", "text")
@@ -331,12 +275,27 @@ def storage_search(spark, base):
     return S.storage_search(table(spark, base, "path_plans").select("path").distinct(), "Invoices", 25)
 
 
-@query(f"WITH m AS ({_META}), a AS (SELECT file_id AS id FROM m WHERE contains(lower(substring(summary, 1, 500)), 'zzzz-nothing') ORDER BY file_id LIMIT 10), b AS (SELECT DISTINCT path AS id FROM path_plans WHERE contains(lower(path || ' ' || list_extract(string_split(path, '/'), -1)), 'scans') ORDER BY path LIMIT 10) SELECT id, 'metadata' AS source FROM a UNION ALL SELECT id, 'storage' FROM b WHERE NOT EXISTS (SELECT 1 FROM a)")
+_PATHS = "SELECT DISTINCT path AS id FROM path_plans WHERE contains(lower(path || ' ' || list_extract(string_split(path, '/'), -1)), '{}') ORDER BY path LIMIT 10".format
+_FILES = "SELECT file_id AS id FROM m WHERE contains(lower(substring(summary, 1, 500)), '{0}') OR contains(lower(original_name), '{0}') ORDER BY file_id LIMIT 10".format
+
+
+@query(
+    f"""WITH m AS ({_META}), s AS (SELECT CAST(vec_id AS VARCHAR) AS id FROM ({_KNN}) WHERE query_id = 0 ORDER BY d, vec_id LIMIT 10), f AS ({_FILES('invoice')}), g AS ({_FILES('zzzz-nothing')}), p AS ({_PATHS('scans')})
+    SELECT 'vector' AS chain, id, 'semantic' AS source FROM s UNION ALL SELECT 'words', id, 'metadata' FROM f UNION ALL SELECT 'paths', id, 'storage' FROM p WHERE NOT EXISTS (SELECT 1 FROM g)"""
+)
 def search_fallback(spark, base):
-    semantic = table(spark, base, "embeddings").where("false").select(F.col("vec_id").cast("string").alias("id"))
-    meta = S.metadata_search(D.metadata(docs(spark, base)), "zzzz-nothing", 10).select(F.col("file_id").alias("id"))
-    stored = S.storage_search(table(spark, base, "path_plans").select("path").distinct(), "scans", 10).select(F.col("path").alias("id"))
-    return S.first_filled(("semantic", semantic), ("metadata", meta), ("storage", stored))
+    """Three chains: one that its vector answers, one whose vector fits no node, one without vector and metadata hits."""
+    vectors, meta = table(spark, base, "embeddings"), D.metadata(docs(spark, base))
+    query = list(vectors.where("vec_id = 0").select("embedding").first()[0])
+    stored = table(spark, base, "path_plans").select("path").distinct()
+
+    def chain(name: str, vector: list[float], words: str, path: str) -> DataFrame:
+        semantic = S.nearest(vectors, vector, 10, "vec_id").select(F.col("vec_id").cast("string").alias("id"))
+        found = S.metadata_search(meta, words, 10, columns=("summary_preview", "original_name")).select(F.col("file_id").alias("id"))
+        paths = S.storage_search(stored, path, 10).select(F.col("path").alias("id"))
+        return S.first_filled(("semantic", semantic), ("metadata", found), ("storage", paths)).select(F.lit(name).alias("chain"), "id", "source")
+
+    return chain("vector", query, "invoice", "scans").unionByName(chain("words", query[:3], "invoice", "scans")).unionByName(chain("paths", query[:3], "zzzz-nothing", "scans"))
 
 
 @query("SELECT DISTINCT node_id, metadata.path AS path, list_extract(string_split(metadata.path, '/'), -1) AS name, contains(node_id, ':chunk:') AS is_chunk, CASE WHEN starts_with(metadata.path, 'storage/') THEN substring(metadata.path, 9) ELSE nullif(metadata.path, '') END AS download_path FROM graph_nodes")
@@ -428,9 +387,14 @@ def file_tree(spark, base):
     return _tree(spark, base)
 
 
-@query(f"{_TREE} SELECT folder, string_agg(file_name, '|' ORDER BY lower(file_name), file_name) AS children FROM l GROUP BY folder")
-def file_tree_folders(spark, base):
-    return K.file_tree(_tree(spark, base)).select("folder", F.array_join(F.transform("children", lambda c: c["name"]), "|").alias("children"))
+@query(f"{_TREE} SELECT folder, file_name AS file, row_number() OVER (PARTITION BY folder ORDER BY lower(file_name), file_name) AS place FROM l")
+def file_tree_order(spark, base):
+    return K.placed_tree(_tree(spark, base)).select("folder", "file", "place")
+
+
+@query(f"{_TREE} SELECT folder, file_name AS file FROM l WHERE contains(lower(folder), 'pdf') OR contains(lower(file_name), 'pdf')")
+def file_tree_matches(spark, base):
+    return K.tree_matches(_tree(spark, base), "Pdf").select("folder", "file")
 
 
 @query("SELECT DISTINCT path, CASE WHEN starts_with(path, '/') THEN regexp_matches(path, '^/+archive(/|$)') ELSE true END AS inside FROM path_plans WHERE path IS NOT NULL")

@@ -122,7 +122,7 @@ SQL_NAMES = "names AS (SELECT DISTINCT name FROM (SELECT unnest(map_keys(mapping
 # --- documents -----------------------------------------------------------------------
 
 
-@query(f"{WITH_META} SELECT doc_id, i - 1 AS chunk_index, chunks[i] AS text, length(chunks[i]) AS chunk_size FROM (SELECT doc_id, {sql_chunks('content')} AS chunks FROM meta), range(1, 200) t(i) WHERE i <= len(chunks)")
+@query(f"{WITH_META} SELECT doc_id, i - 1 AS chunk_index, chunks[i] AS text, length(chunks[i]) AS chunk_size FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM (SELECT doc_id, {sql_chunks('content')} AS chunks FROM meta))")
 def doc_chunks(spark, base):
     full = docs(spark, base).withColumn("content", D.content("text", "file_name"))
     rows = full.select("doc_id", F.posexplode(texts.character_chunks("content")).alias("i", "text"))
@@ -150,7 +150,7 @@ _COLLAPSED = f"regexp_replace({sql_strip('text')}, '{WS}+', ' ', 'g')"
 @query(
     f"""WITH b AS (SELECT doc_id, coalesce({_COLLAPSED}, '') AS t FROM documents),
     s AS (SELECT doc_id, t, list_filter(string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM b),
-    c AS (SELECT *, list_transform(range(1, least(len(p), 60) + 1), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) AS BIGINT) + i - 1) AS sizes FROM s),
+    c AS (SELECT *, list_transform(range(1, len(p) + 1), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) AS BIGINT) + i - 1) AS sizes FROM s),
     k AS (SELECT *, coalesce(list_position(list_transform(sizes, lambda z: z > 200), true), 0) AS stop FROM c)
     SELECT doc_id, CASE WHEN length(t) <= 200 THEN t WHEN stop = 1 THEN regexp_replace(substring(t, 1, 200), '{WS}+$', '') || '...' ELSE array_to_string(p[1:(CASE WHEN stop = 0 THEN len(p) ELSE stop - 1 END)], ' ') END AS summary FROM k"""
 )
@@ -208,7 +208,7 @@ def chunk_file_join(spark, base):
     return sizes.join(D.metadata(d).select("file_id", "original_name"), "file_id").select("file_id", "original_name", "chunks", "chars")
 
 
-@query(f"{WITH_META}, c AS (SELECT file_id, {sql_chunks('content')} AS chunks FROM meta) SELECT file_id || ':file' AS node_id, 'file' AS node_type, -1 AS chunk_index FROM c UNION ALL SELECT file_id || ':chunk:' || (i - 1), 'chunk', CAST(i - 1 AS INTEGER) FROM c, range(1, 200) t(i) WHERE i <= len(chunks)")
+@query(f"{WITH_META}, c AS (SELECT file_id, {sql_chunks('content')} AS chunks FROM meta) SELECT file_id || ':file' AS node_id, 'file' AS node_type, -1 AS chunk_index FROM c UNION ALL SELECT file_id || ':chunk:' || (i - 1), 'chunk', CAST(i - 1 AS INTEGER) FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM c)")
 def node_build(spark, base):
     return D.nodes(docs(spark, base)).select("node_id", F.col("metadata.node_type").alias("node_type"), F.coalesce("metadata.chunk_index", F.lit(-1)).alias("chunk_index"))
 
@@ -325,28 +325,14 @@ def attr_tokens(spark, base):
 
 
 _A, _B = _TOKENS(sql_normalize("h")), _TOKENS(sql_normalize("c"))
-_PAIRS = "SELECT DISTINCT e.key AS h, e.value AS c FROM (SELECT unnest(map_entries(mapping)) AS e FROM load_results)"
-
-
-@query(f"WITH p AS ({_PAIRS}) SELECT h AS header, c AS column_name, round(CASE WHEN len({_A}) > 0 AND len({_B}) > 0 THEN len(list_intersect({_A}, {_B})) / len(list_distinct(list_concat({_A}, {_B})))::DOUBLE ELSE 0 END, 6) AS overlap, coalesce({sql_group('h')} = {sql_group('c')}, false) AS synonyms FROM p")
-def attr_token_jaccard(spark, base):
-    p = table(spark, base, "load_results").select(F.explode("mapping").alias("h", "c")).distinct()
-    return p.select(F.col("h").alias("header"), F.col("c").alias("column_name"), F.round(A.token_overlap("h", "c"), 6).alias("overlap"), A.are_synonyms("h", "c").alias("synonyms"))
-
-
 _HEADERS = "SELECT DISTINCT h, c FROM (SELECT unnest(map_keys(mapping)) AS h FROM load_results), (SELECT DISTINCT column_name AS c FROM catalog_columns WHERE column_name IS NOT NULL)"
 
 
-def _header_pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Every distinct header with every column name of the catalog, which is small."""
-    columns = table(spark, base, "catalog_columns").where("column_name is not null").select("column_name").distinct()
-    headers = table(spark, base, "load_results").select(F.explode(F.map_keys("mapping")).alias("header")).distinct()
-    return headers.crossJoin(F.broadcast(columns))
-
-
 @query(f"WITH p AS ({_HEADERS}) SELECT h AS header, c AS column_name, round(CASE WHEN len({_A}) > 0 AND len({_B}) > 0 THEN len(list_intersect({_A}, {_B})) / len(list_distinct(list_concat({_A}, {_B})))::DOUBLE ELSE 0 END, 6) AS overlap, coalesce({sql_group('h')} = {sql_group('c')}, false) AS synonyms FROM p")
-def attr_token_jaccard_all(spark, base):
-    return _header_pairs(spark, base).select("header", "column_name", F.round(A.token_overlap("header", "column_name"), 6).alias("overlap"), A.are_synonyms("header", "column_name").alias("synonyms"))
+def attr_token_jaccard(spark, base):
+    from siltstone.plans.matching import header_pairs
+
+    return header_pairs(spark, base).select("header", "column_name", F.round(A.token_overlap("header", "column_name"), 6).alias("overlap"), A.are_synonyms("header", "column_name").alias("synonyms"))
 
 
 @query(
@@ -354,17 +340,11 @@ def attr_token_jaccard_all(spark, base):
     SELECT a AS type_a, b AS type_b, CASE WHEN a = b THEN 1.0 WHEN (a IN ('INTEGER','NUMERIC','BIGINT') AND b IN ('INTEGER','NUMERIC','BIGINT')) OR (a IN ('VARCHAR','TEXT','CHAR') AND b IN ('VARCHAR','TEXT','CHAR')) OR (a IN ('TIMESTAMP','DATE','TIME') AND b IN ('TIMESTAMP','DATE','TIME')) THEN 0.8 ELSE 0.3 END::DOUBLE AS score FROM u"""
 )
 def attr_type_compat(spark, base):
-    kinds = [r[0] for r in table(spark, base, "catalog_columns").select("data_type").distinct().limit(100).collect()]
-    a = table(spark, base, "catalog_columns").select(F.col("data_type").alias("type_a")).distinct()
-    pairs = a.select("type_a", F.explode(F.array(*[F.lit(k) for k in sorted(kinds)])).alias("type_b"))
+    kinds = table(spark, base, "catalog_columns").agg(F.collect_set("data_type").alias("kinds"))
+    pairs = kinds.select("kinds", F.explode("kinds").alias("type_a")).select("type_a", F.explode("kinds").alias("type_b"))
     return pairs.select("type_a", "type_b", A.type_compatibility("type_a", "type_b").alias("score"))
 
 
-@query()
-def attr_similarity(spark, base):
-    return _header_pairs(spark, base).select("header", "column_name", F.round(A.attribute_similarity("header", "column_name"), 6).alias("similarity"))
-
-
 _VALUE_TYPE = "CASE WHEN v IS NULL THEN 'TEXT' WHEN length(v) > 10 AND (contains(v, 'T') OR contains(v, '-')) THEN 'TIMESTAMP' WHEN length(v) > 255 THEN 'TEXT' ELSE 'VARCHAR' END"
 
 

@@ -3,7 +3,8 @@
 Files are listed with Spark's ``binaryFile`` source; contents are read only for the formats a
 reader needs. Delimited, JSON and XML files use Spark's own readers where one schema is wanted
 (``read_csv``, ``read_json``, ``read_xml``); ``file_rows`` reads files of all formats at once into
-(path, ordinal, fields) with fields as a map of text, for matching against a catalog.
+(path, ordinal, schema, fields, kinds) with fields as a map of text in the order of the file and
+kinds as what each value is, for matching against a catalog and typed loads.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -23,7 +25,10 @@ from pyspark.sql import types as T
 
 from siltstone.functions import files
 
-ROWS = "path string, ordinal int, fields map<string,string>, error string"
+ROWS = "path string, ordinal bigint, schema bigint, fields map<string,string>, kinds array<string>, error string"
+#: Files above this size are no single task's: delimited ones are read by Spark's own reader, in splits.
+LARGE_FILE = 256 << 20
+INTEGER, DECIMAL = re.compile(r"[+-]?\d+\Z"), re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\Z")
 
 
 def list_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -175,6 +180,36 @@ def text_rows(text: str) -> list[dict]:
     return []
 
 
+def column_kind(values: list[str | None]) -> str:
+    """What a column of texts holds: integer (no blanks), double, boolean or string."""
+    filled = [v for v in values if v]
+    if filled and all(map(INTEGER.match, filled)):
+        return "integer" if len(filled) == len(values) else "double"
+    if filled and all(map(DECIMAL.match, filled)):
+        return "double"
+    return "boolean" if filled and all(v in ("True", "False", "TRUE", "FALSE", "true", "false") for v in filled) else "string"
+
+
+class Typed(str):
+    """A text that stands for a value of another kind."""
+
+    kind: str
+
+
+def typed_columns(rows: list[dict]) -> list[dict]:
+    """Rows of texts with each column's values marked by its kind; blanks become null."""
+    kinds = {k: column_kind([r.get(k) for r in rows]) for k in (rows[0] if rows else {})}
+
+    def one(k: str, v: str | None) -> str | None:
+        if not v or kinds.get(k, "string") == "string":
+            return v or None
+        out = Typed(v)
+        out.kind = kinds[k]
+        return out
+
+    return [{k: one(k, v) for k, v in r.items()} for r in rows]
+
+
 def excel_rows(raw: bytes) -> list[dict]:
     df = pd.read_excel(io.BytesIO(raw), dtype=str)  # needs an optional engine
     return df.where(df.notna(), None).to_dict("records")
@@ -188,7 +223,7 @@ def parse_rows(raw: bytes, ext: str) -> list[dict]:
         return excel_rows(raw)
     text = decode_text(raw)
     if ext == "csv":
-        return list(csv.DictReader(io.StringIO(text.lstrip("﻿"))))
+        return typed_columns([{k: v for k, v in r.items() if k is not None} for r in csv.DictReader(io.StringIO(text.lstrip("﻿")))])
     if ext == "json":
         return nested_rows(json.loads(text))
     if ext in ("yaml", "yml"):
@@ -208,41 +243,94 @@ def _as_text(v: object) -> str | None:
     return None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str)
 
 
+def kind_of(v: object) -> str | None:
+    """integer, double, boolean, string or json of a parsed value; null for none."""
+    if v is None:
+        return None
+    if isinstance(v, Typed):
+        return v.kind
+    return "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "double" if isinstance(v, float) else "string" if isinstance(v, str) else "json"
+
+
+def schema_id(names: list[str]) -> int:
+    """A number for a list of names in order."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest("\x00".join(names)) - (1 << 63)
+
+
 def file_rows(listed: DataFrame) -> DataFrame:
-    """(path, ordinal, fields, error): the rows of all files; a file that can't be read is one row with its error."""
+    """(path, ordinal, schema, fields, kinds, error): the rows of all files; ``schema`` numbers the names of a file's first row.
+
+    A file that can't be read is one row with its error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, raw, ext in zip(pdf["path"], pdf["content"], pdf["extension"]):
                 out = []
                 try:
-                    for i, row in enumerate(parse_rows(bytes(raw), ext)):
-                        out.append((path, i, {str(k): _as_text(v) for k, v in row.items() if k is not None}, None))
+                    rows = parse_rows(bytes(raw), ext)
+                    number = schema_id([str(k) for k in rows[0] if k is not None]) if rows else None
+                    for i, row in enumerate(rows):
+                        named = {str(k): v for k, v in row.items() if k is not None}
+                        out.append((path, i, number, {k: _as_text(v) for k, v in named.items()}, [kind_of(v) for v in named.values()], None))
                 except Exception as e:  # noqa: BLE001
-                    out = [(path, None, None, f"{type(e).__name__}: {e}"[:500])]
+                    out = [(path, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
                 for i in range(0, len(out), 10_000):
-                    yield pd.DataFrame(out[i : i + 10_000], columns=["path", "ordinal", "fields", "error"]).astype({"ordinal": "Int32"})
+                    yield pd.DataFrame(out[i : i + 10_000], columns=["path", "ordinal", "schema", "fields", "kinds", "error"]).astype({"ordinal": "Int64", "schema": "Int64"})
 
-    return listed.where(~F.col("is_media")).select("path", "content", "extension").mapInPandas(run, ROWS)
+    return listed.where(~F.col("is_media") & (F.col("length") <= LARGE_FILE)).select("path", "content", "extension").mapInPandas(run, ROWS)
 
 
-def media_captions(listed: DataFrame) -> DataFrame:
-    """(path, modality, caption): size captions of images that can be decoded, names for other media."""
+def large_csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of one large delimited file as ``file_rows`` gives them, read in splits; records hold no line breaks."""
+    df = spark.read.csv(path, header=True, inferSchema=True, escape='"')
+    kinds = {"int": "integer", "bigint": "integer", "double": "double", "boolean": "boolean"}
+    of = [kinds.get(f.dataType.simpleString(), "double" if f.dataType.simpleString().startswith("decimal") else "string") for f in df.schema.fields]
+    texts = spark.read.csv(path, header=True, escape='"')
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in texts.columns]
+    fields = F.map_from_arrays(F.array(*[F.lit(c) for c in texts.columns]), F.array(*columns))
+    found = F.array(*[F.when(c.isNotNull(), F.lit(k)) for c, k in zip(columns, of)])
+    return texts.select(F.lit(path).alias("path"), F.monotonically_increasing_id().alias("ordinal"), F.lit(schema_id(texts.columns)).alias("schema"), fields.alias("fields"), found.alias("kinds"), F.lit(None).cast("string").alias("error"))
 
-    @F.pandas_udf("string")
-    def caption(content: pd.Series, kind: pd.Series, name: pd.Series) -> pd.Series:
-        def one(raw, k, n):
-            if k == "image":
-                try:
-                    from PIL import Image
 
-                    w, h = Image.open(io.BytesIO(raw)).convert("RGB").size
-                    return f"An image with dimensions {w}x{h} pixels"
-                except Exception:  # no decoder, or no image
-                    pass
-            return f"{k.capitalize()} file {n}"
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def header_names(content: pd.Series, extension: pd.Series) -> pd.Series:
+    """The column names of delimited and spreadsheet files, null for others and for what can't be read."""
+
+    def one(raw: bytes | None, ext: str) -> list[str] | None:
+        try:
+            if ext == "csv" and raw is not None:
+                return next(csv.reader(io.StringIO(decode_text(bytes(raw)).lstrip("﻿"))), [])
+            if ext in ("xlsx", "xls") and raw is not None:
+                return [str(c) for c in pd.read_excel(io.BytesIO(bytes(raw)), nrows=0).columns]
+        except Exception:  # broken containers, no parser
+            pass
+        return None
+
+    return pd.Series([one(c, e) for c, e in zip(content, extension)], dtype=object)
+
 
-        return pd.Series([one(c, k, n) for c, k, n in zip(content, kind, name)])
+@F.pandas_udf(T.StringType())
+def size_caption(content: pd.Series, kind: pd.Series, name: pd.Series) -> pd.Series:
+    """The size of an image that can be decoded, else kind and name of a media file."""
+
+    def one(raw, k, n):
+        if k == "image":
+            try:
+                from PIL import Image
+
+                w, h = Image.open(io.BytesIO(raw)).convert("RGB").size
+                return f"An image with dimensions {w}x{h} pixels"
+            except Exception:  # no decoder, or no image
+                pass
+        return f"{k.capitalize()} file {n}"
+
+    return pd.Series([one(c, k, n) for c, k, n in zip(content, kind, name)])
 
+
+def media_captions(listed: DataFrame) -> DataFrame:
+    """(path, modality, caption): size captions of images that can be decoded, names for other media."""
     rows = listed.where("is_media").withColumn("modality", files.media_type("path"))
-    return rows.select("path", "modality", caption("content", "modality", files.file_name("path")).alias("caption"))
+    return rows.select("path", "modality", size_caption("content", "modality", files.file_name("path")).alias("caption"))

@@ -12,10 +12,17 @@ from siltstone.functions import files
 from siltstone.operators.documents import stored_names
 
 
-def placed_files(listed: DataFrame, collection: str = "collection", modality: str = "modality") -> DataFrame:
-    """listed + (folder, stored_name, storage_path): {modality}/{collection}/name, with _1, _2 ... where names repeat."""
+def placed_files(listed: DataFrame, collection: str = "collection", modality: str = "modality", taken: DataFrame | None = None) -> DataFrame:
+    """listed + (folder, stored_name, storage_path): {modality}/{collection}/name, with _1, _2 ... where names repeat.
+
+    ``taken`` (modality, collection, original_name, taken) tells how often a name is stored already.
+    """
     rows = listed.withColumn("folder", F.concat_ws("/", F.coalesce(modality, F.lit("text")), F.coalesce(collection, F.lit("general")))).withColumn("_name", files.file_name("path"))
-    return stored_names(rows, "folder", "_name", "path").withColumn("storage_path", F.concat_ws("/", "folder", "stored_name")).drop("_name")
+    if taken is not None:
+        held = taken.select(F.concat_ws("/", F.coalesce("modality", F.lit("text")), F.coalesce("collection", F.lit("general"))).alias("folder"), F.col("original_name").alias("_name"), "taken")
+        rows = rows.join(held, ["folder", "_name"], "left")
+    named = stored_names(rows, "folder", "_name", "path", "taken" if taken is not None else None)
+    return named.withColumn("storage_path", F.concat_ws("/", "folder", "stored_name")).drop("_name", "taken")
 
 
 def store_files(placed: DataFrame, root: str) -> DataFrame:

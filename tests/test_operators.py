@@ -152,8 +152,8 @@ def test_catalog(spark):
     got = [(r["parent"], r["place"], r["name"], r["kind"]) for r in catalog.storage_entries(paths, "/s").orderBy("parent", "place").collect()]
     assert got == [("", 1, "b", "folder"), ("", 2, "a.txt", "file"), ("b", 1, "x.txt", "file")]
     files_ = spark.createDataFrame([("Report one", "a.txt", 1, "general", "text", 5), ("Report two", "a.txt", 2, "general", "text", 9)], "s string, n string, o int, c string, m string, b bigint")
-    tree = catalog.file_tree(catalog.tree_rows(files_, "s", "n", "o", "c", "m", "b")).first()
-    assert tree["folder"] == "Report" and [c["size"] for c in tree["children"]] == ["9 B"]
+    tree = catalog.placed_tree(catalog.tree_rows(files_, "s", "n", "o", "c", "m", "b")).collect()
+    assert [(r["folder"], r["size"], r["place"]) for r in tree] == [("Report", "9 B", 1)]
 
 
 def test_nearest_for_every_query(spark):
@@ -179,5 +179,5 @@ def test_captions_are_whole(spark, tmp_path):
     rows = [("f", 1, "a red house by the sea"), ("f", 0, "a red house on a hill"), ("f", 2, "a red house by the sea")]
     nodes = spark.createDataFrame(rows, "file_id string, node_no bigint, text string")
     nodes.selectExpr("named_struct('file_id', file_id) AS metadata", "node_no", "text").write.parquet(f"{tmp_path}/graph_nodes.parquet")
-    got = structures.caption_join_whole(spark, str(tmp_path)).collect()
+    got = structures.caption_join(spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [("f", "a red house on a hill | a red house by the sea")]
