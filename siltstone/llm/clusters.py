@@ -312,7 +312,7 @@ def vector_stars(points: DataFrame, cells: Cells, cosine: float, dim: int, leaf_
 
     rows = points.select("gid", "vec").mapInArrow(spread_vectors(cells, dim, False), "cell bigint, home boolean, gid bigint, vec binary")
     # By number, so that cells of few bytes but many comparisons are not packed into few tasks.
-    tasks = max(shuffle_width(points.sparkSession), int(cells.blocks.sum()) // 4)
+    tasks = max(shuffle_width(points.sparkSession), int(cells.blocks.sum()))
     return rows.repartition(tasks, "cell").groupBy("cell").applyInArrow(cluster, "gid bigint, lab bigint")
 
 

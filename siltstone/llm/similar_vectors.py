@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.blocks import binary_column, fixed_rows, kmeans, list_column, nearest, usable_matrix
-from siltstone.runtime import cut_lineage, skew_join
+from siltstone.runtime import cut_lineage, shuffle_width, skew_join
 
 #: Bounds of the training sample (rows) and of the centroids that the driver fits and sends out.
 SAMPLE_ROWS, SAMPLE_PER_LIST, MOST_LISTS = 32_768, 32, 8_192
@@ -306,7 +306,8 @@ def search(routed: DataFrame, index: Index, k: int, want: int) -> DataFrame:
         groups = pa.concat_arrays([members.cast(pa.list_(pa.int64())), pa.nulls(len(away), pa.list_(pa.int64()))])
         return pa.Table.from_arrays([pa.array(own), groups, near], schema=out)
 
-    return routed.groupBy("cell").applyInArrow(run, schema)
+    # By number, so that lists of few bytes but many comparisons are not packed into few tasks.
+    return routed.repartition(max(shuffle_width(routed.sparkSession), len(owner)), "cell").groupBy("cell").applyInArrow(run, schema)
 
 
 def knn_graph(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, k: int = 5, list_rows: int = 4096, nprobe: int | None = None, parts: int = 16, want: int = 160) -> DataFrame:
