@@ -21,20 +21,35 @@ from pyspark.sql import types as T
 WORD = re.compile(r"\w+")
 
 
-def plain_encode(text: str | None, dim: int = 64) -> list[float] | None:
-    words = WORD.findall((text or "").lower())
-    if not words:
-        return None
-    marks = words + [f"#{w[i : i + 3]}" for w in words for i in range(max(1, len(w) - 2))]
+def word_vector(word: str, dim: int) -> np.ndarray:
+    """The signed counts that one occurrence of a word adds: of itself and of its trigrams."""
+    marks = [word, *[f"#{word[i : i + 3]}" for i in range(max(1, len(word) - 2))]]
     h = np.fromiter((xxhash.xxh3_64_intdigest(m) for m in marks), np.uint64, len(marks))
-    v = np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), minlength=dim)
-    n = np.linalg.norm(v)
-    return (v / n).astype(np.float32).tolist() if n else None
+    return np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), minlength=dim)
+
+
+def encode_batch(texts: list[str | None], dim: int = 64) -> list[list[float] | None]:
+    """The vectors of a batch of texts; each distinct word is hashed once."""
+    found = [WORD.findall((t or "").lower()) for t in texts]
+    known: dict[str, int] = {}
+    codes = [np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)) for words in found]
+    table = np.stack([word_vector(w, dim) for w in known]) if known else np.zeros((0, dim))
+    out: list[list[float] | None] = []
+    for c in codes:
+        at, times = np.unique(c, return_counts=True)
+        v = times @ table[at]
+        n = np.linalg.norm(v)
+        out.append((v / n).astype(np.float32).tolist() if n else None)
+    return out
+
+
+def plain_encode(text: str | None, dim: int = 64) -> list[float] | None:
+    return encode_batch([text], dim)[0]
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[Column], Column]:
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([plain_encode(t, dim) for t in texts], dtype=object)
+        return pd.Series(encode_batch(texts.tolist(), dim), dtype=object)
 
     return lambda c: encode(c)

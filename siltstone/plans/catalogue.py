@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts_files", "matching", "structures", "quality")
+MODULES = ("texts_files", "matching", "structures", "formats", "quality")
 
 
 def queries() -> dict:
