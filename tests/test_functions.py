@@ -105,10 +105,10 @@ def test_frame_plan(spark):
 
 
 def test_headers_meet_all_column_names(spark, tmp_path):
-    from siltstone.plans import texts_files
+    from siltstone.plans import catalogue
 
     spark.sql("SELECT map('Order Date', 'order_date') AS mapping").write.parquet(f"{tmp_path}/load_results.parquet")
     spark.sql("SELECT explode(array('order_date', 'colour', null)) AS column_name").write.parquet(f"{tmp_path}/catalog_columns.parquet")
-    for name in ("attr_similarity", "attr_token_jaccard_all"):
-        got = texts_files.QUERIES[name](spark, str(tmp_path)).collect()
+    for name in ("attr_similarity", "attr_token_jaccard"):
+        got = catalogue.queries()[name](spark, str(tmp_path)).collect()
         assert sorted(r["column_name"] for r in got) == ["colour", "order_date"]
