@@ -78,6 +78,7 @@ def segment(texts: list[str], whole: bool = False, longest: int = 200) -> Segmen
     points = np.minimum(raw, 0xFFFF)
     doc = np.repeat(np.arange(len(texts)), lengths)
     kind = kinds[points]
+    kind[raw >= 0x20000] = 1  # ideographs beyond the basic plane; its other characters there are no letters here
     n = len(points)
     if whole:
         seg = doc
@@ -114,7 +115,7 @@ def segment(texts: list[str], whole: bool = False, longest: int = 200) -> Segmen
         good = (kind == 1) & (np.cumsum(flags[:-1]) == 0)
     else:
         good = kind == 1
-    c = np.where(good, lower[points], SPACE).astype(np.uint32)
+    c = np.where(good, np.where(raw > 0xFFFF, raw, lower[points]), SPACE).astype(np.uint32)
     at = np.flatnonzero(good)
     before = np.r_[np.uint32(SPACE), c[:-1]][at]
     after = np.r_[c[1:], np.uint32(SPACE)][at]

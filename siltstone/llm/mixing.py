@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.encoding import TOKENIZERS, count_tokens
-from siltstone.runtime import cut_lineage
+from siltstone.runtime import cut_lineage, shuffle_width
 
 MOST_SOURCES = 10_000
 SLOT_RUN = 4096
@@ -78,8 +78,8 @@ def plan_quotas(sized: DataFrame, targets: DataFrame) -> list[Quota]:
     wanted = targets.where(F.col("source").isNotNull()).groupBy(source_name("source").alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats")).orderBy("source").limit(MOST_SOURCES + 1).collect()
     if len(wanted) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources in the target table")
-    names = [r["source"] for r in wanted]
-    totals = {r["source"]: r for r in sized.where(F.col("source").isin(names)).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > 0).alias("texts")).collect()}
+    names = sized.sparkSession.createDataFrame([(r["source"],) for r in wanted], "source string")
+    totals = {r["source"]: r for r in sized.join(F.broadcast(names), "source").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > 0).alias("texts")).collect()}
     total = sum(int(r["tokens"]) for r in totals.values())
     out = []
     for r in wanted:
@@ -89,11 +89,6 @@ def plan_quotas(sized: DataFrame, targets: DataFrame) -> list[Quota]:
     return out
 
 
-def _lookup(values: dict[str, float | int], kind: str) -> Column:
-    pairs = [F.lit(x) for k, v in values.items() for x in (k, v)]
-    return F.create_map(*pairs)[F.col("source")].cast(kind)
-
-
 def mirrored(c: Column, bits: int) -> Column:
     """The lowest ``bits`` binary digits of a whole number in reverse order: its van der Corput point times 2^bits."""
     for step, mask in ((1, 0x5555555555555555), (2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
@@ -105,14 +100,15 @@ def slot_ranks(spark: SparkSession, blocks: dict[str, int]) -> DataFrame:
     """(source, k, slot): the slot of the k-th block of each source, for so many blocks a source."""
     count = sum(blocks.values())
     bits = max(1, (count - 1).bit_length())
-    passed, choice = 0, None
-    for source, n in list(blocks.items())[:-1]:
-        passed += n
-        inside = F.col("point") < F.lit((passed << bits) // count)
-        choice = F.when(inside, source) if choice is None else choice.when(inside, source)
-    last = list(blocks)[-1]
-    choice = F.lit(last) if choice is None else choice.otherwise(last)
-    schedule = spark.range(1 << bits).withColumn("point", mirrored(F.col("id"), bits)).select("id", choice.alias("source"), F.floor(F.col("id") / SLOT_RUN).alias("c"))
+    # A source's points are a range of whole numbers; ranges are cut into runs that spread over the tasks.
+    ends, ranges = 0, []
+    for source, n in blocks.items():
+        ranges.append((source, (ends << bits) // count, ((ends + n) << bits) // count - 1))
+        ends += n
+    starts = spark.createDataFrame(ranges, "source string, low bigint, high bigint").withColumn("low", F.explode(F.sequence("low", "high", F.lit(SLOT_RUN).cast("bigint"))))
+    runs = starts.repartition(max(shuffle_width(spark), (1 << bits) // (256 * SLOT_RUN)))
+    points = runs.select("source", F.explode(F.sequence("low", F.least(F.col("low") + SLOT_RUN - 1, F.col("high")))).alias("point"))
+    schedule = points.select("source", mirrored(F.col("point"), bits).alias("id")).withColumn("c", F.floor(F.col("id") / SLOT_RUN))
     counts = schedule.groupBy("source", "c").agg(F.count("*").alias("n"))
     offset = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("c")) - F.col("n")).drop("n")
     inner = F.row_number().over(Window.partitionBy("source", "c").orderBy("id"))
@@ -128,18 +124,17 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     empty = sized.select(F.lit(0).cast("bigint").alias("slot"), "source", "doc_id", F.lit(0).alias("repeat_no"), "tokens").where("false")
     if not giving:
         return Mix(sized, quotas, empty)
-    passes = {q.source: q.passes for q in giving}
+    plan = F.broadcast(docs.sparkSession.createDataFrame([(q.source, q.passes, q.available, q.quota) for q in giving], "source string, passes int, available bigint, quota double"))  # MOST_SOURCES rows at most
     buckets = max(16, min(65_536, sum(q.texts for q in giving) // 20_000))
 
-    texts = sized.where(F.col("source").isin(list(passes)) & (F.col("tokens") > 0))
-    uses = texts.withColumn("repeat_no", F.explode(F.sequence(F.lit(0), _lookup(passes, "int") - 1)))
+    uses = sized.where(F.col("tokens") > 0).join(plan, "source").withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     uses = uses.withColumn("h", F.xxhash64("doc_id", "repeat_no", F.lit(seed))).withColumn("b", F.pmod(F.shiftrightunsigned("h", 40), F.lit(buckets)).cast("int"))
     key = ["source", "repeat_no", "b"]
     sums = uses.groupBy(*key).agg(F.sum("tokens").alias("s"))
     before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("source", "repeat_no").orderBy("b")) - F.col("s")).drop("s")
     inner = Window.partitionBy(*key).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = uses.join(before, key).withColumn("at", F.col("before") + F.sum("tokens").over(inner) - F.col("tokens") + F.col("repeat_no") * _lookup({q.source: q.available for q in giving}, "bigint"))
-    placed = placed.where(F.col("at") < _lookup({q.source: q.quota for q in giving}, "double"))
+    placed = uses.join(before, key).withColumn("at", F.col("before") + F.sum("tokens").over(inner) - F.col("tokens") + F.col("repeat_no") * F.col("available"))
+    placed = placed.where(F.col("at") < F.col("quota"))
     placed = cut_lineage(placed.select("source", "doc_id", "repeat_no", "tokens", F.floor(F.col("at") / block_tokens).cast("bigint").alias("k")))
 
     blocks = {r["source"]: int(r["n"]) for r in placed.groupBy("source").agg((F.max("k") + 1).alias("n")).orderBy("source").collect()}

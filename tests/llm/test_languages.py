@@ -104,3 +104,10 @@ def test_held_out_labels(spark):
     rows = L.text_languages(docs.where("length(text) > 200"), model, "doc_id", "text", ["lang"]).where("not mixed").withColumn("code", L.label_code("lang")).where(L.F.col("code").isin(*L.LANGUAGES))
     n, right = rows.count(), rows.where("code = seg_lang").count()
     assert n > 300 and right / n > 0.9
+
+
+def test_characters_beyond_the_basic_plane():
+    """Ideographs there are letters of their own, pictures are none."""
+    a, b, c = L.segment(["𠀀𠀁𠀂"], whole=True), L.segment(["𠀃𠀄𠀅"], whole=True), L.segment(["🙂🔥🙂"], whole=True)
+    assert a.letters.tolist() == b.letters.tolist() == [3] and c.letters.sum() == 0
+    assert set(a.feature) != set(b.feature)
