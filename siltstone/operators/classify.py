@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions.binding import bind
 
-# Key patterns and cut-offs of the rules.
+# Key patterns and cut-offs of the rules; of the key patterns those that hold no other one, which find the same keys.
 RELATIONAL_KEYS = ["id", "key", "pk", "fk", "foreign"]
 LARGE_TEXT_KEYS = ["content", "description", "html", "text", "body", "message"]
 LARGE_TEXT, LONG_TEXT, LONG_DOCUMENT, MOSTLY = 500, 5000, 3000, 0.8

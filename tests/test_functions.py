@@ -112,3 +112,14 @@ def test_headers_meet_all_column_names(spark, tmp_path):
     for name in ("attr_similarity", "attr_token_jaccard"):
         got = catalogue.queries()[name](spark, str(tmp_path)).collect()
         assert sorted(r["column_name"] for r in got) == ["colour", "order_date"]
+
+
+def test_both_normal_forms_agree(spark):
+    """The rule as a Column and on plain strings, over names of every kind of character."""
+    import random
+
+    rng = random.Random(3)
+    names = ["", "_", "__a__", "A b", "İd", "ÄÖ_x", "a\tb\nc", "product-Name ", "日本_1", "é", "x" * 300, "1_2__3"]
+    names += ["".join(rng.choice("aZ_ -.9é日\t") for _ in range(rng.randrange(12))) for _ in range(300)]
+    got = values(spark, [(n,) for n in names], "n string", A.normalize("n"), A.is_id("n"))
+    assert got == [(A.plain_normalize(n), A.plain_is_id(n)) for n in names]
