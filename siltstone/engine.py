@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import attributes as A
 from siltstone.functions import files, texts
 from siltstone.operators import catalog, classify, documents, evolution, loader, media, search
-from siltstone.runtime import cut_lineage, written
+from siltstone.runtime import cut_lineage, skew_join, written
 from siltstone.sources import readers, storage
 
 META = "file_id string, original_name string, tenant_id string, collection_hint string, summary_preview string, summary string, extension string, modality string, size_chars bigint, storage_path string, size_bytes bigint, created_at timestamp"
@@ -75,15 +75,20 @@ class Engine:
         sizes = text.select("file_id", "length").unionByName(listed.where("is_media").select("file_id", "length"))
         meta = cut_lineage(documents.metadata(text).unionByName(media.media_metadata(encoded, self.tenant)))
         known = self.files().groupBy("modality", "collection_hint", "original_name").agg(F.count("*").alias("taken"))
-        placed = listed.select("path", "content", "file_id").join(meta.select("file_id", "modality", F.col("collection_hint").alias("collection")), "file_id")
-        placed = storage.placed_files(placed.withColumn("original_name", files.file_name("path")), taken=known.withColumnRenamed("collection_hint", "collection"))
-        copied = cut_lineage(storage.store_files(placed, self.root).select(F.sha2("path", 256).alias("file_id"), F.when(F.col("error").isNull(), F.col("storage_path")).alias("storage_path")))
+        names = listed.select("path", "file_id").join(meta.select("file_id", "modality", F.col("collection_hint").alias("collection")), "file_id")
+        placed = cut_lineage(storage.placed_files(names.withColumn("original_name", files.file_name("path")), taken=known.withColumnRenamed("collection_hint", "collection")).select("path", "file_id", "storage_path"))
+        # Contents are not moved through a shuffle: files on mounted disks are copied by path.
+        mounted = F.col("path").startswith("file:") | F.col("path").startswith("/")
+        far = placed.where(~mounted).join(listed.select("path", "content"), "path")
+        done = storage.store_files(placed.where(mounted), self.root).unionByName(storage.store_files(far, self.root))
+        copied = cut_lineage(done.select(F.sha2("path", 256).alias("file_id"), F.when(F.col("error").isNull(), F.col("storage_path")).alias("storage_path")))
         full = meta.join(copied, "file_id").join(sizes.withColumnRenamed("length", "size_bytes"), "file_id").withColumn("created_at", F.current_timestamp())
-        at = full.select(F.col("file_id").alias("_f"), "storage_path")
+        at = copied.withColumnRenamed("file_id", "_f")
         report.files = self._append("files", full, META)
         report.chunks = self._append("chunks", documents.chunks(text), CHUNKS, "collection")
         nodes = media.media_nodes(encoded) if self.encoder is None else documents.nodes(text, self.encoder).unionByName(media.media_nodes(encoded))
-        stored = nodes.where("embedding is not null").join(at, F.col("metadata.file_id") == F.col("_f")).withColumn("metadata", F.col("metadata").withField("path", F.coalesce("storage_path", "metadata.path"))).drop("_f", "storage_path")
+        counts = report.chunks.groupBy(F.col("file_id").alias("_f")).agg(F.count("*").alias("n"))
+        stored = skew_join(nodes.where("embedding is not null").withColumn("_f", F.col("metadata.file_id")), at, ["_f"], ["node_id"], counts=counts).withColumn("metadata", F.col("metadata").withField("path", F.coalesce("storage_path", "metadata.path"))).drop("_f", "storage_path")
         report.nodes = self._append("nodes", stored.withColumn("written_at", F.current_timestamp()), NODES)
 
     def _append(self, name: str, rows: DataFrame, schema: str, *partitions: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,27 +27,45 @@ def placed_files(listed: DataFrame, collection: str = "collection", modality: st
     return named.withColumn("storage_path", F.concat_ws("/", "folder", "stored_name")).drop("_name", "taken")
 
 
+def local_path(path: str) -> str | None:
+    """The path on a mounted disk that a file's URI names, null for other file systems."""
+    parts = urlparse(path)
+    return unquote(parts.path) if parts.scheme in ("", "file") else None
+
+
 def store_files(placed: DataFrame, root: str) -> DataFrame:
-    """Write each file's content below a root that all executors share; (path, storage_path, bytes, error).
+    """Copy each file below a root that all executors share; (path, storage_path, bytes, error).
 
+    Files on mounted disks are copied from their path, others written from a column ``content``.
     A file is written under a temporary name and renamed, so a task that runs again leaves no half.
     """
+    columns = [c for c in ("path", "storage_path", "content") if c in placed.columns]
+
+    def copy(path: str, target: str, content: bytes | None) -> int:
+        full = os.path.normpath(os.path.join(root, target))
+        if not full.startswith(os.path.normpath(root) + os.sep):
+            raise ValueError("outside the storage root")
+        os.makedirs(os.path.dirname(full), exist_ok=True)
+        part = f"{full}.{os.getpid()}.part"
+        source = local_path(path)
+        if content is not None:
+            with open(part, "wb") as f:
+                f.write(content)
+        elif source is not None:
+            shutil.copyfile(source, part)
+        else:
+            raise ValueError("no content")
+        os.replace(part, full)
+        return os.path.getsize(full)
 
     def run(batches):
         for pdf in batches:
             out = []
-            for path, target, content in zip(pdf["path"], pdf["storage_path"], pdf["content"]):
-                full = os.path.normpath(os.path.join(root, target))
+            for row in pdf.itertuples(index=False):
                 try:
-                    if not full.startswith(os.path.normpath(root) + os.sep):
-                        raise ValueError("outside the storage root")
-                    os.makedirs(os.path.dirname(full), exist_ok=True)
-                    with open(f"{full}.{os.getpid()}.part", "wb") as f:
-                        f.write(content)
-                    os.replace(f.name, full)
-                    out.append((path, target, len(content), None))
+                    out.append((row.path, row.storage_path, copy(row.path, row.storage_path, getattr(row, "content", None)), None))
                 except (OSError, ValueError) as e:
-                    out.append((path, target, None, str(e)))
+                    out.append((row.path, row.storage_path, None, str(e)))
             yield pd.DataFrame(out, columns=["path", "storage_path", "bytes", "error"]).astype({"bytes": "Int64"})
 
-    return placed.select("path", "storage_path", "content").mapInPandas(run, "path string, storage_path string, bytes bigint, error string")
+    return placed.select(*columns).mapInPandas(run, "path string, storage_path string, bytes bigint, error string")

@@ -211,6 +211,9 @@ def test_storage_copies(spark, folder, tmp_path):
     done = storage.store_files(storage.placed_files(listed), str(tmp_path / "store")).collect()
     assert sorted(r["storage_path"] for r in done) == ["text/orders/goods.csv", "text/orders/goods_1.csv"] and all(r["error"] is None for r in done)
     assert (tmp_path / "store" / "text" / "orders" / "goods_1.csv").read_text() in ("x", "id,price\n1,2\n2,3\n")
+    by_path = storage.store_files(storage.placed_files(listed.drop("content")), str(tmp_path / "other")).collect()
+    assert {(r["storage_path"], r["bytes"], r["error"]) for r in by_path} == {(r["storage_path"], r["bytes"], None) for r in done}
+    assert storage.local_path("file:/a%20b/c.txt") == "/a b/c.txt" and storage.local_path("hdfs://h/a") is None
     outside = listed.select("path", "content", F.lit("../../out.bin").alias("storage_path"))
     assert all("outside" in r["error"] for r in storage.store_files(outside, str(tmp_path / "store")).collect())
 
