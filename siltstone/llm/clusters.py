@@ -231,7 +231,7 @@ def _centres(reduced: np.ndarray, cells: int, margin: float) -> np.ndarray:
     return spaced(c, np.bincount(nearest(reduced, c), minlength=len(c)), SPACING * margin)
 
 
-def place_cells(sample: np.ndarray, total: int, leaf_rows: int, dims: int, chord: float, sigmas: float, block_rows: int) -> Cells:
+def place_cells(sample: np.ndarray, total: int, cell_rows: int, dims: int, chord: float, sigmas: float, block_rows: int) -> Cells:
     middle = sample - sample.mean(0)
     values, vectors = np.linalg.eigh(middle.T @ middle / max(1, len(sample)))
     values = np.maximum(values, 0)
@@ -239,7 +239,7 @@ def place_cells(sample: np.ndarray, total: int, leaf_rows: int, dims: int, chord
     margin = sigmas * chord / (2 * math.sqrt(max(spread, 1.0)))
     axes = np.ascontiguousarray(vectors[:, ::-1][:, :dims]).astype(np.float32)
     reduced = sample @ axes
-    centres = _centres(reduced, int(np.clip(round(total / leaf_rows), 1, MOST_CELLS)), margin)
+    centres = _centres(reduced, int(np.clip(round(total / cell_rows), 1, MOST_CELLS)), margin)
     _, cell, _ = _cells_of(reduced, centres, margin)
     rows = np.ceil(np.bincount(cell, minlength=len(centres)) / max(1, len(sample)) * total).astype(np.int64)
     return Cells(axes, centres, margin, rows, np.maximum(1, np.ceil(rows / block_rows)).astype(np.int64))
@@ -316,8 +316,12 @@ def vector_stars(points: DataFrame, cells: Cells, cosine: float, dim: int, leaf_
     return rows.repartition(tasks, "cell").groupBy("cell").applyInArrow(cluster, "gid bigint, lab bigint")
 
 
-def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, cosine: float = 0.866, leaf_rows: int = 2048, dims: int = 48, sigmas: float = 3.5, block_rows: int = 32_768) -> tuple[DataFrame, DataFrame]:
-    """((id, cluster) of every usable id, (id, vec) unit vectors): groups of ids joined by chains at cosine >= ``cosine``."""
+def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, cosine: float = 0.866, cell_rows: int = 8192, leaf_rows: int = 2048, dims: int = 48, sigmas: float = 3.5, block_rows: int = 65_536) -> tuple[DataFrame, DataFrame]:
+    """((id, cluster) of every usable id, (id, vec) unit vectors): groups of ids joined by chains at cosine >= ``cosine``.
+
+    Cells of about ``cell_rows`` home rows are sent to tasks, which spread them over cells of
+    ``leaf_rows`` of their own: the fewer cells are sent out, the fewer copies lie in margins.
+    """
     units = cut_lineage(unit_vectors(df, id_col, vec_col, version_col, dim))
     current = cut_lineage(current_ids(units))
     owner = cut_lineage(current.groupBy("vhash").agg(F.min("id").alias("gid"), F.count("*").alias("n")))
@@ -326,10 +330,10 @@ def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str |
     if not total:
         return current.select("id", F.col("id").alias("cluster")), units
     order = F.xxhash64("gid", F.lit(11))
-    wanted = int(np.clip(32 * total // leaf_rows, SAMPLE_ROWS, MOST_SAMPLE))
+    wanted = int(np.clip(32 * total // cell_rows, SAMPLE_ROWS, MOST_SAMPLE))
     some = points.where(F.pmod(order, F.lit(1 << 40)) < math.ceil(min(1.0, 2 * wanted / total) * (1 << 40))).orderBy(order, "gid").limit(wanted)
     sample = fixed_rows(some.select("vec").toArrow().column("vec"), np.float32, dim)
-    cells = place_cells(sample, total, leaf_rows, dims, math.sqrt(2 - 2 * cosine), sigmas, block_rows)
+    cells = place_cells(sample, total, cell_rows, dims, math.sqrt(2 - 2 * cosine), sigmas, block_rows)
     clusters = merge_stars(vector_stars(points, cells, cosine, dim, leaf_rows))
     if (cells.blocks > 1).any():
 

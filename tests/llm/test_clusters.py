@@ -56,7 +56,7 @@ def test_vectors_against_brute_force(spark):
     near = base[rng.integers(720, size=900)] + 0.25 * rng.normal(size=(900, 64))
     chain = near[rng.integers(900, size=300)] + 0.25 * rng.normal(size=(300, 64))
     x = np.concatenate([base, near, chain]).astype(np.float32)
-    members, _ = C.cluster_vectors(vectors(spark, x), "node_no", "e", leaf_rows=200)
+    members, _ = C.cluster_vectors(vectors(spark, x), "node_no", "e", cell_rows=400, leaf_rows=50)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     a, b = np.nonzero(np.triu(u @ u.T >= 0.866, 1))
     assert {r["id"]: r["cluster"] for r in members.collect()} == components(range(len(x)), zip(a.tolist(), b.tolist()))
@@ -97,7 +97,7 @@ def test_partitions_in_blocks_lose_nothing(spark):
     edge = np.eye(64)[0] + 0.12 * rng.normal(size=(200, 64))
     apart = np.concatenate([c + 0.05 * rng.normal(size=(40, 64)) for c in rng.normal(size=(6, 64)) * 0.3 + np.eye(64)[1]])
     x = np.concatenate([dense, edge, apart]).astype(np.float32)
-    members, _ = C.cluster_vectors(vectors(spark, x), "node_no", "e", leaf_rows=400, block_rows=90)
+    members, _ = C.cluster_vectors(vectors(spark, x), "node_no", "e", cell_rows=400, leaf_rows=100, block_rows=90)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     a, b = np.nonzero(np.triu(u @ u.T >= 0.866, 1))
     assert {r["id"]: r["cluster"] for r in members.collect()} == components(range(len(x)), zip(a.tolist(), b.tolist()))
