@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import attributes as A
 from siltstone.functions import files, texts
-from siltstone.functions.encoders import hashing_encoder, plain_encode
+from siltstone.functions.encoders import hashing_encoder
 from siltstone.operators import catalog as K
 from siltstone.operators import classify as C
 from siltstone.operators import documents as D
@@ -314,9 +314,11 @@ def text_embeddings(spark, base):
 
 @query()
 def semantic_search(spark, base):
-    """Encode a query, find its nearest nodes, flatten their metadata."""
-    hits = S.nearest(D.nodes(docs(spark, base), hashing_encoder()), plain_encode("the price sheet of the warehouse"), 8)
-    return S.display_rows(S.flattened(hits)).select("node_id", "name", "is_chunk", "modality", F.round("distance", 5).alias("distance"), F.round("similarity", 5).alias("similarity"))
+    """The summaries of all documents whose id is divisible by 100 as queries: the nearest nodes of each, with their metadata flattened."""
+    every = D.nodes(docs(spark, base), hashing_encoder())
+    asked = D.nodes(docs(spark, base).where("doc_id % 100 = 0"), hashing_encoder()).where("metadata.node_type = 'file'")
+    hits = S.nearest_each(every, asked, 8, keep=("metadata",))
+    return S.display_rows(S.flattened(hits)).select("query_id", "node_id", "name", "is_chunk", "modality", F.round("distance", 5).alias("distance"), F.round("similarity", 5).alias("similarity"))
 
 
 @query(f"SELECT DISTINCT file_id, original_name, {sql_ext('original_name')} IN {sql_list(files.VIDEO)} OR starts_with({sql_mime('original_name')}, 'video/') AS is_video FROM processing_results")
