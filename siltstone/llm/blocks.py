@@ -62,10 +62,8 @@ def usable_matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return good, x.astype(np.float32)
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Consecutive rows of one key from batches sorted by the key columns."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def slices(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where a key column changes."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -73,12 +71,20 @@ def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[p
         differs = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
         cuts = [0, *(np.flatnonzero(differs) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
+            yield batch.slice(a, b - a)
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Consecutive rows of one key from batches sorted by the key columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for part in slices(batches, keys):
+        key = tuple(part.column(k)[0].as_py() for k in keys)
+        if held and key != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = key
+        held.append(part)
     if held:
         yield pa.Table.from_batches(held)
 

@@ -11,9 +11,12 @@ a similar one is a core point). Both kinds of record follow the same steps:
    each local cluster by its smallest id.
 4. A point that lies in several partitions carries the name of its local cluster in each;
    the names it shares are merged by distributed connected components.
-5. A partition of more points than one task takes is clustered in blocks that share some
-   pilot points. What the blocks have not joined to the partition's largest cluster is then
-   compared with the whole partition, block by block; points of one cluster never meet again.
+5. A partition of more points than one task holds has several blocks. Each holds a part of
+   the points that must be compared with all (vectors: those at home in the cell; paths:
+   stored ones), and all points of the partition pass by. Points of one cluster never meet again.
+6. Within a partition few pairs are compared. Vectors at home are spread over small cells
+   again. Cells of paths are split by the next substrings that a pair must share, ordered by
+   their frequency within the cell.
 
 Margin of the vector cells: a pair at the similarity limit, apart in any direction alike,
 differs along one border's normal by about chord / sqrt(d). When a border runs between the
@@ -29,7 +32,7 @@ Empty tables give empty results. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,14 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.blocks import Forest, binary_column, fixed_rows, kmeans, nearest, runs
+from siltstone.llm.blocks import Forest, binary_column, fixed_rows, kmeans, nearest, runs, slices
 from siltstone.llm.similar_vectors import current_ids, distinct_vectors, unit_vectors
 from siltstone.runtime import cut_lineage, shuffle_width, skew_join, width_for
 
 #: Bounds of the sample that places the centres, and of their number.
 SAMPLE_ROWS, MOST_SAMPLE, MOST_CELLS = 16_384, 1 << 20, 8_192
-#: Margins between two centres, pilot points of a partition in blocks, buckets of counted substrings.
+#: Margins between two centres, pilot points of a dense partition, buckets of counted substrings.
 SPACING, PILOTS, BUCKETS = 3.0, 256, 1 << 16
+#: Cells of vectors up to which they keep their size, and pairs of paths from which a cell is split by further substrings, up to which cells are compared together.
+FEW_CELLS, SPLIT_PAIRS, FEW_PAIRS = 32, 8_000_000, 2048
 
 
 # --- components -----------------------------------------------------------------------
@@ -147,44 +152,20 @@ def block_copies(gid: np.ndarray, rows: np.ndarray, blocks: np.ndarray) -> tuple
     return np.concatenate([one, who[away]]), np.concatenate([mine, every[away]])
 
 
-def rest_links(members: DataFrame, block_rows: int, similar: Callable[[pa.Table, pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """(u, v): labels to be joined, from members (cell, gid, lab, payload) of the partitions that were clustered in blocks.
+def block_duties(gid: np.ndarray, stored: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, block, stored) of points in partitions of ``blocks`` blocks: a stored point is stored in one block, and every
+    point is compared with what each block stores, so no pair of a partition is missed."""
+    at = np.repeat(np.arange(len(gid)), blocks)
+    block = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    return at, block, stored[at] & (block == (scrambled(gid) % blocks)[at])
 
-    The points outside of a partition's largest cluster (probes) are compared with all of its
-    points under another label: ``similar`` gives the positions of such pairs. Both sides are
-    cut into blocks; a pair of blocks is one group.
-    """
-    counts = members.groupBy("cell", "lab").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("cell").agg(F.sum("n").alias("n"), F.max(F.struct("n", "lab")).alias("top"))
-    blocks = lambda n: F.ceil(n / block_rows).cast("int")
-    plan = sizes.select("cell", F.col("top.lab").alias("major"), blocks(F.col("n") - F.col("top.n")).alias("pb"), blocks(F.col("n")).alias("tb")).where("pb > 0")
-    rows = skew_join(members, plan, ["cell"], ["gid"], counts=sizes.select("cell", "n"))
-    mine = lambda b: F.pmod(F.xxhash64("gid"), F.col(b)).cast("int")
-    every = lambda b: F.explode(F.sequence(F.lit(0), F.col(b) - 1))
-    kept = ["cell", "gid", "lab", "payload"]
-    probes = rows.where("lab <> major").select(*kept, F.lit(True).alias("probe"), mine("pb").alias("p"), every("tb").alias("t"))
-    targets = rows.select(*kept, F.lit(False).alias("probe"), mine("tb").alias("t"), every("pb").alias("p"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        probe = table.column("probe").to_numpy()
-        a, b = table.filter(pa.array(probe)), table.filter(pa.array(~probe))
-        forest = Forest()
-        if a.num_rows and b.num_rows:
-            u, v = a.column("lab").to_numpy(), b.column("lab").to_numpy()
-            for i, j in similar(a, b):
-                for x, y in np.unique(np.stack([u[i], v[j]]), axis=1).T.tolist():
-                    forest.join(x, y)
-        ids, roots = forest.stars()
-        return pa.table([pa.array(ids), pa.array(roots)], names=["u", "v"])
-
-    return probes.unionByName(targets).groupBy("cell", "p", "t").applyInArrow(compare, "u bigint, v bigint").where("u <> v")
-
-
-def relabelled(clusters: DataFrame, links: DataFrame) -> DataFrame:
-    """(gid, cluster) after joining the labels of links."""
-    roots = connected(links).withColumnRenamed("id", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    return skew_join(clusters, roots, ["cluster"], ["gid"], "left", counts=sizes).select("gid", F.coalesce("root", "cluster").alias("cluster"))
+
+def major_tree(forest: Forest, ids: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """(mask, root) of the ids of the tree that holds more than half of them; none if there is no such tree."""
+    roots = np.fromiter((forest.find(i) for i in ids.tolist()), np.int64, len(ids))
+    root = int(np.partition(roots, len(roots) // 2)[len(roots) // 2])
+    mask = roots == root
+    return (mask, root) if 2 * int(mask.sum()) > len(ids) else None
 
 
 # --- vectors --------------------------------------------------------------------------
@@ -192,12 +173,12 @@ def relabelled(clusters: DataFrame, links: DataFrame) -> DataFrame:
 
 @dataclass
 class Cells:
-    """Centres of cells over reduced vectors; a cell of more rows than a task takes has several blocks."""
+    """Centres of cells over reduced vectors; a cell of more home rows than a task holds has several blocks."""
 
     axes: np.ndarray  # dim x dims
     centres: np.ndarray  # cells x dims
     margin: float
-    rows: np.ndarray  # expected rows of each cell, its margin included
+    rows: np.ndarray  # expected home rows of each cell
     blocks: np.ndarray
 
 
@@ -240,13 +221,12 @@ def place_cells(sample: np.ndarray, total: int, cell_rows: int, dims: int, chord
     axes = np.ascontiguousarray(vectors[:, ::-1][:, :dims]).astype(np.float32)
     reduced = sample @ axes
     centres = _centres(reduced, int(np.clip(round(total / cell_rows), 1, MOST_CELLS)), margin)
-    _, cell, _ = _cells_of(reduced, centres, margin)
-    rows = np.ceil(np.bincount(cell, minlength=len(centres)) / max(1, len(sample)) * total).astype(np.int64)
+    rows = np.ceil(np.bincount(nearest(reduced, centres), minlength=len(centres)) / max(1, len(sample)) * total).astype(np.int64)
     return Cells(axes, centres, margin, rows, np.maximum(1, np.ceil(rows / block_rows)).astype(np.int64))
 
 
-def spread_vectors(cells: Cells, dim: int, blocked_only: bool) -> Callable:
-    """Arrow batches (gid, vec[, lab]) to rows of the cells they lie in; ``blocked_only``: of cells in blocks, without blocks."""
+def spread_vectors(cells: Cells, dim: int) -> Callable:
+    """Arrow batches (gid, vec) to rows of the blocks of the cells they lie in, at home in one block."""
     base = np.cumsum(cells.blocks) - cells.blocks
 
     def run(batches):
@@ -255,21 +235,24 @@ def spread_vectors(cells: Cells, dim: int, blocked_only: bool) -> Callable:
             if not len(gid):
                 continue
             who, cell, home = _cells_of(fixed_rows(batch.column(1), np.float32, dim) @ cells.axes, cells.centres, cells.margin)
-            if blocked_only:
-                some = cells.blocks[cell] > 1
-                who, cell = who[some], cell[some]
-            else:
-                at, block = block_copies(gid[who], cells.rows[cell], cells.blocks[cell])
-                who, cell, home = who[at], base[cell[at]] + block, home[at]
+            at, block, home = block_duties(gid[who], home, cells.blocks[cell])
+            who, slot = who[at], (base[cell[at]] + block).astype(np.int32)
             for i in range(0, len(who), 8192):
                 take = pa.array(who[i : i + 8192])
-                mark = [batch.column(2).take(take)] if blocked_only else [pa.array(home[i : i + 8192])]
-                names = ["cell", "lab", "gid", "payload"] if blocked_only else ["cell", "home", "gid", "vec"]
-                yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + 8192].astype(np.int64)), *mark, batch.column(0).take(take), batch.column(1).take(take)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(slot[i : i + 8192]), pa.array(~home[i : i + 8192]), batch.column(0).take(take), batch.column(1).take(take)], names=["slot", "away", "gid", "vec"])
 
     return run
 
 
+def join_rows(forest: Forest, ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, cosine: float) -> None:
+    """Join the rows of x and of other at ``cosine`` or above, in blocks that a processor's cache holds."""
+    for i in range(0, len(x), 512):
+        for j in range(0, len(other), 4096):
+            similar = x[i : i + 512] @ other[j : j + 4096].T >= cosine
+            if similar.any():
+                join_block(forest, ids[i : i + 512], other_ids[j : j + 4096], similar)
+
+
 def join_similar(forest: Forest, ids: np.ndarray, x: np.ndarray, home: np.ndarray, cosine: float, axes: np.ndarray, margin: float, leaf_rows: int, depth: int = 0) -> None:
     """Join all points at ``cosine`` or above of which one is at home; many points are first spread over cells of their own."""
     if len(ids) > 4 * leaf_rows and depth < 4:
@@ -287,40 +270,118 @@ def join_similar(forest: Forest, ids: np.ndarray, x: np.ndarray, home: np.ndarra
                     join_similar(forest, ids[at], x[at], own[part], cosine, axes, margin, leaf_rows, depth + 1)
                 return
     order = np.argsort(~home, kind="stable")
-    ids, x = ids[order], x[order]
-    for i in range(0, int(home.sum()), 512):
-        if one_tree(forest, ids[i:]):
-            break
-        similar = x[i : i + 512] @ x[i:].T >= cosine
-        similar[np.arange(len(similar)), np.arange(len(similar))] = False
-        join_block(forest, ids[i : i + 512], ids[i:], similar)
+    ids, x, least = ids[order], x[order], int(home.sum())
+    for i in range(0, least, 512):
+        if i and i & (i - 1) == 0 and (top := major_tree(forest, ids[i:])):
+            # Points of one tree never meet again.
+            inside, out, own = top[0], ~top[0], np.arange(len(ids) - i) < least - i
+            if not out.any():
+                return
+            ids, x = ids[i:], x[i:]
+            join_rows(forest, ids[own & inside], x[own & inside], ids[out], x[out], cosine)
+            join_rows(forest, ids[own & out], x[own & out], ids, x, cosine)
+            return
+        join_rows(forest, ids[i : min(i + 512, least)], x[i : min(i + 512, least)], ids[i:], x[i:], cosine)
+
+
+class Home:
+    """The points at home in a block, joined among themselves, to be compared with the points of its margin as these come in."""
+
+    def __init__(self, forest: Forest, ids: np.ndarray, x: np.ndarray, cosine: float, axes: np.ndarray, margin: float, leaf_rows: int) -> None:
+        self.forest, self.ids, self.x, self.cosine, self.axes, self.margin = forest, ids, x, cosine, axes, margin
+        self.all = self.own = ()
+        if not len(ids):
+            return
+        join_similar(forest, ids, x, np.ones(len(ids), bool), cosine, axes, margin, leaf_rows)
+        reduced = x @ axes
+        some = np.random.default_rng(0).permutation(len(x))[:SAMPLE_ROWS]
+        self.centres = _centres(reduced[some], len(ids) // leaf_rows, margin) if len(ids) > 4 * leaf_rows else reduced[:1]
+        who, cell, own = _cells_of(reduced, self.centres, margin)
+        self.all = [self.targets(part, leaf_rows) for part in self._by_cell(who, cell)]
+        self.own = [self.targets(part, leaf_rows) for part in self._by_cell(who[own], cell[own])]
+
+    def _by_cell(self, who: np.ndarray, cell: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(cell, kind="stable")
+        return np.split(who[order], np.cumsum(np.bincount(cell, minlength=len(self.centres)))[:-1])
+
+    def targets(self, at: np.ndarray, leaf_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(compared first, compared with those that did not join the root, root): most points of a cell may be in one tree."""
+        if len(at) > 2 * leaf_rows and (top := major_tree(self.forest, self.ids[at])):
+            inside = at[top[0]]
+            return np.concatenate([at[~top[0]], inside[:PILOTS]]), inside[PILOTS:], top[1]
+        return at, at[:0], 0
+
+    def meet(self, ids: np.ndarray, y: np.ndarray, targets: tuple[np.ndarray, np.ndarray, int]) -> None:
+        first, rest, root = targets
+        join_rows(self.forest, ids, y, self.ids[first], self.x[first], self.cosine)
+        if len(rest):
+            root = self.forest.find(root)
+            left = np.array([self.forest.find(i) != root for i in ids.tolist()], bool)
+            join_rows(self.forest, ids[left], y[left], self.ids[rest], self.x[rest], self.cosine)
+
+    def compare(self, ids: np.ndarray, y: np.ndarray) -> None:
+        """Of two similar points one lies within the margin of the other's cell: points meet all of the cell
+        that is nearest to them, and of cells in reach those whose nearest it is."""
+        if not len(self.ids):
+            return
+        who, cell, own = _cells_of(y @ self.axes, self.centres, self.margin)
+        for near, targets in ((own, self.all), (~own, self.own)):
+            for part, t in zip(self._by_cell(who[near], cell[near]), targets):
+                if len(part) and len(t[0]):
+                    self.meet(ids[part], y[part], t)
 
 
 def vector_stars(points: DataFrame, cells: Cells, cosine: float, dim: int, leaf_rows: int) -> DataFrame:
-    """(gid, lab) of the local clusters of the cells of points (gid, vec).
+    """(gid, lab) of the local clusters of the blocks of cells of points (gid, vec).
 
     When a border runs between two similar points one of them lies within the margin of the
     other's cell, so a cell compares only the points at home there with all its points.
     """
     axes, margin = cells.axes, cells.margin
 
-    def cluster(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        forest = Forest()
-        join_similar(forest, table.column("gid").to_numpy(), fixed_rows(table.column("vec"), np.float32, dim), table.column("home").to_numpy(), cosine, axes, margin, leaf_rows)
-        return pa.Table.from_batches([_star_batch(forest)])
-
-    rows = points.select("gid", "vec").mapInArrow(spread_vectors(cells, dim, False), "cell bigint, home boolean, gid bigint, vec binary")
-    # By number, so that cells of few bytes but many comparisons are not packed into few tasks.
-    tasks = max(shuffle_width(points.sparkSession), int(cells.blocks.sum()))
-    return rows.repartition(tasks, "cell").groupBy("cell").applyInArrow(cluster, "gid bigint, lab bigint")
-
+    def pull(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        if not held:
+            return np.empty(0, np.int64), np.empty((0, dim), np.float32)
+        table = pa.Table.from_batches(held)
+        held.clear()
+        return table.column("gid").to_numpy(), fixed_rows(table.column("vec"), np.float32, dim)
 
-def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, cosine: float = 0.866, cell_rows: int = 8192, leaf_rows: int = 2048, dims: int = 48, sigmas: float = 3.5, block_rows: int = 65_536) -> tuple[DataFrame, DataFrame]:
+    def cluster(batches):
+        slot, home, held, waiting = None, None, [], 0
+        for part in slices(batches, ("slot", "away")):
+            at, away = part.column("slot")[0].as_py(), part.column("away")[0].as_py()
+            if at != slot:
+                if slot is not None:
+                    yield _star_batch(finish(home, held))
+                slot, home, waiting = at, None, 0
+            if away and home is None:
+                home = Home(Forest(), *pull(held), cosine, axes, margin, leaf_rows)
+            held.append(part)
+            waiting += part.num_rows
+            if home is not None and waiting >= 32_768:
+                home.compare(*pull(held))
+                waiting = 0
+        if slot is not None:
+            yield _star_batch(finish(home, held))
+
+    def finish(home: Home | None, held: list[pa.RecordBatch]) -> Forest:
+        if home is None:
+            return Home(Forest(), *pull(held), cosine, axes, margin, leaf_rows).forest
+        if held:
+            home.compare(*pull(held))
+        return home.forest
+
+    rows = points.select("gid", "vec").mapInArrow(spread_vectors(cells, dim), "slot int, away boolean, gid bigint, vec binary")
+    # A task for each block: the home points are held, those of the margin pass by.
+    return rows.repartitionById(int(cells.blocks.sum()), "slot").sortWithinPartitions("slot", "away").mapInArrow(cluster, "gid bigint, lab bigint")
+
+
+def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str | None = None, dim: int = 64, cosine: float = 0.866, cell_rows: int = 8192, leaf_rows: int = 2048, dims: int = 48, sigmas: float = 3.5, block_rows: int = 262_144) -> tuple[DataFrame, DataFrame]:
     """((id, cluster) of every usable id, (id, vec) unit vectors): groups of ids joined by chains at cosine >= ``cosine``.
 
     Cells of about ``cell_rows`` home rows are sent to tasks, which spread them over cells of
     ``leaf_rows`` of their own: the fewer cells are sent out, the fewer copies lie in margins.
+    So beyond ``FEW_CELLS`` cells they grow up to ``block_rows`` home rows before there are more.
     """
     units = cut_lineage(unit_vectors(df, id_col, vec_col, version_col, dim))
     current = cut_lineage(current_ids(units))
@@ -330,24 +391,12 @@ def cluster_vectors(df: DataFrame, id_col: str, vec_col: str, version_col: str |
     if not total:
         return current.select("id", F.col("id").alias("cluster")), units
     order = F.xxhash64("gid", F.lit(11))
-    wanted = int(np.clip(32 * total // cell_rows, SAMPLE_ROWS, MOST_SAMPLE))
+    cell_rows = min(max(cell_rows, total // FEW_CELLS), max(cell_rows, block_rows))
+    wanted = int(np.clip(256 * total // cell_rows, SAMPLE_ROWS, MOST_SAMPLE))
     some = points.where(F.pmod(order, F.lit(1 << 40)) < math.ceil(min(1.0, 2 * wanted / total) * (1 << 40))).orderBy(order, "gid").limit(wanted)
     sample = fixed_rows(some.select("vec").toArrow().column("vec"), np.float32, dim)
     cells = place_cells(sample, total, cell_rows, dims, math.sqrt(2 - 2 * cosine), sigmas, block_rows)
     clusters = merge_stars(vector_stars(points, cells, cosine, dim, leaf_rows))
-    if (cells.blocks > 1).any():
-
-        def similar(a: pa.Table, b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            x, y = (fixed_rows(t.column("payload"), np.float32, dim) for t in (a, b))
-            u, v = (t.column("lab").to_numpy() for t in (a, b))
-            for i in range(0, len(x), 512):
-                p, q = np.nonzero((x[i : i + 512] @ y.T >= cosine) & (u[i : i + 512, None] != v))
-                yield p + i, q
-
-        clusters = cut_lineage(clusters)
-        labelled = points.join(clusters, "gid", "left").select("gid", "vec", F.coalesce("cluster", "gid").alias("lab"))
-        members = cut_lineage(labelled.mapInArrow(spread_vectors(cells, dim, True), "cell bigint, lab bigint, gid bigint, payload binary"))
-        clusters = relabelled(labelled.select("gid", F.col("lab").alias("cluster")), rest_links(members, block_rows, similar))
     named = skew_join(current, owner.select("vhash", "gid"), ["vhash"], ["id"], counts=owner.select("vhash", "n"))
     return skew_join(named, clusters, ["gid"], ["id"], "left", counts=owner.select("gid", "n")).select("id", F.coalesce("cluster", "gid").alias("cluster")), units
 
@@ -384,47 +433,41 @@ def gram_frequencies(points: DataFrame) -> np.ndarray:
     return out
 
 
-def path_cells(frequency: np.ndarray, least: float, cell_rows: int, blocked_only: bool) -> Callable:
-    """Arrow batches (gid, path[, lab]) to rows of the cells of each path's rarest substrings.
+def _unshared(n: np.ndarray, share: float) -> np.ndarray:
+    """How many of n substrings a path may have for itself if it shares at least ``share`` of them."""
+    return n - np.ceil(share * n - 1e-9).astype(np.int64)
+
+
+def path_cells(frequency: np.ndarray, least: float, cell_rows: int) -> Callable:
+    """Arrow batches (gid, path) to rows of the cells of each path's rarest substrings.
 
     A set x that resembles a set at least as large shares one of its first
     |x| - ceil(2t/(1+t)|x|) + 1 substrings (stored) with the first |y| - ceil(t|y|) + 1 of the
-    other (probes), in the order of ``frequency``. ``blocked_only``: cells of more than
-    ``cell_rows`` points, without blocks.
+    other (probes), in the order of ``frequency``. Of a cell of more than ``cell_rows`` points
+    each block stores a part and probes it with all.
     """
     blocks = np.maximum(1, np.ceil(frequency / cell_rows)).astype(np.int64)
 
     def run(batches):
         for batch in batches:
             gid = batch.column(0).to_numpy()
-            who, cells, stored, buckets, sizes = [], [], [], [], []
+            who, cells, stored, buckets = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 g = grams_of(text)
                 b = _bucket(g)
-                n = len(g)
-                first = np.lexsort((g, frequency[b]))[: n - math.ceil(least * n) + 1]
+                first = np.lexsort((g, frequency[b]))[: int(_unshared(len(g), least)) + 1]
                 who.append(np.full(len(first), i))
-                cells.append(g[first] * 2_654_435_761 % (1 << 61))
-                stored.append(np.arange(len(first)) < n - math.ceil(2 * least / (1 + least) * n) + 1)
+                cells.append(g[first])
+                stored.append(np.arange(len(first)) <= _unshared(len(g), 2 * least / (1 + least)))
                 buckets.append(b[first])
-                sizes.append(n)
             if not who:
                 continue
-            who, cells, stored, buckets, sizes = np.concatenate(who), np.concatenate(cells), np.concatenate(stored), np.concatenate(buckets), np.array(sizes, np.int32)
-            if blocked_only:
-                some = blocks[buckets] > 1
-                who, cells, stored, block = who[some], cells[some], stored[some], np.zeros(int(some.sum()), np.int32)
-            else:
-                at, block = block_copies(gid[who], frequency[buckets], blocks[buckets])
-                who, cells, stored, block = who[at], cells[at], stored[at], block.astype(np.int32)
+            who, cells, stored, buckets = np.concatenate(who), np.concatenate(cells), np.concatenate(stored), np.concatenate(buckets)
+            at, block, stored = block_duties(gid[who], stored, blocks[buckets])
+            who, cells, block = who[at], cells[at], block.astype(np.int32)
             for i in range(0, len(who), 16_384):
-                w = who[i : i + 16_384]
-                take = pa.array(w)
-                key = [pa.array(cells[i : i + 16_384]), pa.array(block[i : i + 16_384])]
-                if blocked_only:
-                    yield pa.RecordBatch.from_arrays([key[0], batch.column(2).take(take), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "lab", "gid", "payload"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*key, pa.array(stored[i : i + 16_384]), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "block", "stored", "gid", "path"])
+                take = pa.array(who[i : i + 16_384])
+                yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + 16_384]), pa.array(block[i : i + 16_384]), pa.array(stored[i : i + 16_384]), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "block", "stored", "gid", "path"])
 
     return run
 
@@ -439,40 +482,187 @@ class PathSet:
     counts: np.ndarray
     bits: np.ndarray
     clashes: np.ndarray
+    grams: np.ndarray  # the substrings of all paths, one path after the other
+    starts: np.ndarray
 
     @classmethod
     def of(cls, texts: list[str], hashed: int) -> PathSet:
+        parts = [cls._some(texts[i : i + 16_384], hashed) for i in range(0, len(texts), 16_384)]
+        sizes, counts, bits, grams = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts))
+        return cls(texts, sizes.astype(np.float32), counts, bits, sizes - np.bitwise_count(bits).sum(1).astype(np.float32), grams, np.r_[0, np.cumsum(sizes)])
+
+    @staticmethod
+    def _some(texts: list[str], hashed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(texts)
-        c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         rows = np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n))
-        inside = rows[:-2] == rows[2:]
-        grams = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[inside]
-        rows = rows[:-2][inside]
-        order = np.lexsort((grams, rows))
-        rows, grams = rows[order], grams[order]
-        new = np.r_[True, (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])]
-        rows, mixed = rows[new], (grams[new].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
-        mixed = mixed.astype(np.int64)
-        counts = np.bincount(rows * hashed + (mixed * hashed >> 40), minlength=n * hashed).reshape(n, hashed).astype(np.float32)
+        inside = np.flatnonzero(rows[:-2] == rows[2:])
+        # Characters by their number in these texts, so that path and substring fit one sortable number.
+        seen = np.bincount(c) > 0
+        chars, rank = np.flatnonzero(seen), np.cumsum(seen)[c] - 1
+        m = len(chars)
+        key = ((rows[inside] * m + rank[inside]) * m + rank[inside + 1]) * m + rank[inside + 2]
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        key, third = np.divmod(key, m)
+        key, second = np.divmod(key, m)
+        rows, first = np.divmod(key, m)
+        grams = (chars[first] << 42) | (chars[second] << 21) | chars[third]
+        mixed = ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)).astype(np.int64)
+        counts = np.bincount(rows * hashed + (mixed * hashed >> 40), minlength=n * hashed).reshape(n, hashed)
         bits = np.zeros((n, 1024), np.uint8)
         bits[rows, (mixed >> 20) & 1023] = 1
-        bits = np.packbits(bits, axis=1).view(np.uint64)
-        sizes = np.bincount(rows, minlength=n).astype(np.float32)
-        return cls(texts, sizes, counts, bits, sizes - np.bitwise_count(bits).sum(1))
+        return np.bincount(rows, minlength=n), counts.astype(np.uint16 if counts.max() < 65_536 else np.float32), np.packbits(bits, axis=1).view(np.uint64), grams
 
-    def resembles(self, i: int, other: PathSet, j: int, least: float) -> bool:
-        both = len(np.intersect1d(grams_of(self.texts[i]), grams_of(other.texts[j]), assume_unique=True))
-        return both >= least * (self.sizes[i] + other.sizes[j] - both) - 1e-9
+    def resembles(self, i: int, j: int, least: float) -> bool:
+        x, y = (self.grams[self.starts[k] : self.starts[k + 1]] for k in (i, j))
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= least * (self.sizes[i] + self.sizes[j] - both) - 1e-9
 
-    def candidates(self, at: np.ndarray, other: PathSet, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of the paths ``at`` and those of other that may resemble each other."""
+    def likely(self, x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs (x, y) that may resemble each other by their bit maps."""
         part = least / (1 + least)
-        x, y = np.nonzero(self.counts[at] @ other.counts.T >= part * (self.sizes[at][:, None] + other.sizes[None, :]) - 1e-3)
-        x = at[x]
-        most = np.bitwise_count(self.bits[x] & other.bits[y]).sum(1) + np.minimum(self.clashes[x], other.clashes[y])
-        ok = most >= part * (self.sizes[x] + other.sizes[y]) - 1e-3
+        most = np.bitwise_count(self.bits[x] & self.bits[y]).sum(1) + np.minimum(self.clashes[x], self.clashes[y])
+        ok = most >= part * (self.sizes[x] + self.sizes[y]) - 1e-3
         return x[ok], y[ok]
 
+    def reduced(self, at: np.ndarray, least: float, stored: bool) -> np.ndarray:
+        """Counts with two more places, so that a stored one's product with a probe's is the shared substrings less those that a similar pair shares."""
+        size = least / (1 + least) * self.sizes[at][:, None]
+        one = np.ones_like(size)
+        return np.concatenate([self.counts[at].astype(np.float32), *((-size, one) if stored else (one, -size))], axis=1)
+
+    def candidates(self, at: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the paths ``at`` and ``other`` that may resemble each other; x, y: their reduced vectors."""
+        p, q = np.divmod(np.flatnonzero(x @ y.T >= -1e-3), len(other))
+        return self.likely(at[p], other[q], least)
+
+
+class PathJoin:
+    """Joins the paths of a cell of which one is stored and that resemble each other.
+
+    A cell of many pairs is split again. Let the cell's substring be the first that a pair shares:
+    the substrings before it are unshared, which leaves few of the others that may be. In any order
+    of these, then, the pair's next shared one is among the first of both, as many as may be unshared
+    and one more. The order is by frequency within the cell, so that what goes along with the
+    cell's own substring comes last.
+    """
+
+    def __init__(self, forest: Forest, ids: np.ndarray, paths: PathSet, least: float) -> None:
+        self.forest, self.ids, self.paths, self.least = forest, ids, paths, least
+
+    def run(self, stored: np.ndarray, cell: int, frequency: np.ndarray) -> None:
+        n = len(self.ids)
+        at = np.flatnonzero(stored)
+        if len(at) * n <= SPLIT_PAIRS:
+            self.block(at, np.arange(n))
+            return
+        grams, starts = self.paths.grams, self.paths.starts
+        rows = np.repeat(np.arange(n), np.diff(starts))
+        often, mine = frequency[_bucket(grams)], frequency[_bucket(np.array([cell]))][0]
+        after = (often > mine) | ((often == mine) & (grams > cell))
+        sizes = self.paths.sizes.astype(np.int64)
+        behind = np.bincount(rows[after], minlength=n)
+        before = sizes - behind - 1
+        codes = np.unique(grams[after], return_inverse=True)[1].astype(np.int64)
+        end = np.cumsum(behind)
+        probe = _unshared(sizes, self.least) - before
+        store = np.where(stored, _unshared(sizes, 2 * self.least / (1 + self.least)) - before, -1)
+        for i in range(0, n, 65_536):
+            some = np.flatnonzero(stored | ((np.arange(n) >= i) & (np.arange(n) < i + 65_536)))
+            asks = (some >= i) & (some < i + 65_536)
+            self.split(codes, some, end[some] - behind[some], end[some], np.where(asks, probe[some], -1), store[some], 1)
+
+    def split(self, codes: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray, probe: np.ndarray, store: np.ndarray, depth: int) -> None:
+        """Join rows with ``store`` >= 0 to rows with ``probe`` >= 0: how many of a row's substrings codes[start:end] may be unshared."""
+        s, q = np.flatnonzero(store >= 0), np.flatnonzero(probe >= 0)
+        if len(s) * len(q) <= SPLIT_PAIRS or depth > 4:
+            self.block(rows[s], rows[q])
+            return
+        self.block(rows[s[:: max(32, len(s) // 64)]], rows[q])
+        if top := major_tree(self.forest, self.ids[rows]):
+            # Paths of one tree never meet again.
+            out = ~top[0]
+            for a, b in ((out, top[0] | out), (top[0], out)):
+                some = (a & (store >= 0)) | (b & (probe >= 0))
+                if (a & (store >= 0)).any() and (b & (probe >= 0)).any():
+                    self.parts(codes, rows[some], start[some], end[some], np.where(b, probe, -1)[some], np.where(a, store, -1)[some], depth)
+            return
+        self.parts(codes, rows, start, end, probe, store, depth)
+
+    def parts(self, codes: np.ndarray, rows: np.ndarray, start: np.ndarray, end: np.ndarray, probe: np.ndarray, store: np.ndarray, depth: int) -> None:
+        n, left = len(rows), end - start
+        # Sets so small that nothing more need be shared.
+        few = left <= np.maximum(probe, store)
+        if few.any():
+            self.block(rows[few & (store >= 0)], rows[probe >= 0])
+            self.block(rows[store >= 0], rows[few & (probe >= 0)])
+            rows, start, end, probe, store, left = (v[~few] for v in (rows, start, end, probe, store, left))
+            n = len(rows)
+            if not n:
+                return
+        who = np.repeat(np.arange(n), left)
+        mine = codes[np.arange(len(who)) - np.repeat(np.cumsum(left) - left - start, left)]
+        often = np.bincount(mine)
+        order = np.argsort(often, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        key = who * len(order) + rank[mine]
+        key.sort()
+        new = order[key % len(order)]
+        first, last = np.cumsum(left) - left, np.cumsum(left)
+        at = np.arange(len(who)) - first[who]
+        some = np.flatnonzero(at <= np.maximum(probe, store)[who])
+        some = some[np.argsort(new[some], kind="stable")]
+        r, p = who[some], at[some]
+        asks, keeps = probe[r] - p, store[r] - p
+        cuts = np.r_[0, np.flatnonzero(np.diff(new[some])) + 1, len(some)]
+        held, asked = (np.add.reduceat((v >= 0).astype(np.int64), cuts[:-1]) for v in (keeps, asks))
+        size = held * asked
+        self.small([(k, rows[r[cuts[k] : cuts[k + 1]]], keeps[cuts[k] : cuts[k + 1]], asks[cuts[k] : cuts[k + 1]]) for k in np.flatnonzero((size > 0) & (size <= FEW_PAIRS)).tolist()])
+        for k in np.flatnonzero(size > FEW_PAIRS).tolist():
+            a = slice(cuts[k], cuts[k + 1])
+            self.split(new, rows[r[a]], some[a] + 1, last[r[a]], asks[a], keeps[a], depth + 1)
+
+    def small(self, cells: list) -> None:
+        """All pairs of cells of few pairs, together."""
+        x, y, pairs = [], [], 0
+        for k, (_, rows, keeps, asks) in enumerate(cells):
+            s, q = rows[keeps >= 0], rows[asks >= 0]
+            x.append(np.repeat(s, len(q)))
+            y.append(np.tile(q, len(s)))
+            pairs += len(s) * len(q)
+            if pairs > 100_000 or k == len(cells) - 1:
+                self.pairs(*self.paths.likely(np.concatenate(x), np.concatenate(y), self.least))
+                x, y, pairs = [], [], 0
+
+    def block(self, at: np.ndarray, other: np.ndarray) -> None:
+        if not len(at) or not len(other):
+            return
+        for i in range(0, len(at), 256):
+            a = at[i : i + 256]
+            if i and i & (i - 1) == 0 and one_tree(self.forest, self.ids[np.concatenate([at[i:], other])]):
+                break
+            x = self.paths.reduced(a, self.least, True)
+            for j in range(0, len(other), 2048):
+                b = other[j : j + 2048]
+                self.pairs(*self.paths.candidates(a, x, b, self.paths.reduced(b, self.least, False), self.least))
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Join the pairs that do resemble each other; in a dense cell most of them are joined before their turn."""
+        ids, find = self.ids, self.forest.find
+        step = 4096
+        while len(x):
+            for p, q in zip(x[:step].tolist(), y[:step].tolist()):
+                if p != q and find(int(ids[p])) != find(int(ids[q])) and self.paths.resembles(p, q, self.least):
+                    self.forest.join(int(ids[p]), int(ids[q]))
+            x, y = x[step:], y[step:]
+            if len(x):
+                seen, back = np.unique(np.concatenate([x, y]), return_inverse=True)
+                root = np.fromiter((find(i) for i in ids[seen].tolist()), np.int64, len(seen))[back]
+                apart = root[: len(x)] != root[len(x) :]
+                x, y = x[apart], y[apart]
+
 
 def path_stars(points: DataFrame, frequency: np.ndarray, least: float, cell_rows: int, hashed: int, tasks: int) -> DataFrame:
     """(gid, lab) of the local clusters of the cells, or blocks of cells, of points (gid, path)."""
@@ -484,20 +674,14 @@ def path_stars(points: DataFrame, frequency: np.ndarray, least: float, cell_rows
                 continue
             forest, ids = Forest(), table.column("gid").to_numpy()
             paths = PathSet.of(table.column("path").to_pylist(), hashed)
-            at = np.flatnonzero(stored)
-            for i in range(0, len(at), 512):
-                if one_tree(forest, ids):
-                    break
-                for p, q in zip(*(c.tolist() for c in paths.candidates(at[i : i + 512], paths, least))):
-                    if p != q and forest.find(int(ids[p])) != forest.find(int(ids[q])) and paths.resembles(p, paths, q, least):
-                        forest.join(int(ids[p]), int(ids[q]))
+            PathJoin(forest, ids, paths, least).run(stored, table.column("cell")[0].as_py(), frequency)
             yield _star_batch(forest)
 
-    rows = points.select("gid", "path").mapInArrow(path_cells(frequency, least, cell_rows, False), "cell bigint, block int, stored boolean, gid bigint, path string")
+    rows = points.select("gid", "path").mapInArrow(path_cells(frequency, least, cell_rows), "cell bigint, block int, stored boolean, gid bigint, path string")
     return rows.repartition(tasks, "cell", "block").sortWithinPartitions("cell", "block").mapInArrow(cluster, "gid bigint, lab bigint")
 
 
-def cluster_paths(df: DataFrame, id_col: str, path_col: str, version_col: str | None = None, least: float = 0.5, cell_rows: int = 16_384, hashed: int = 256) -> tuple[DataFrame, DataFrame]:
+def cluster_paths(df: DataFrame, id_col: str, path_col: str, version_col: str | None = None, least: float = 0.5, cell_rows: int = 262_144, hashed: int = 256) -> tuple[DataFrame, DataFrame]:
     """((id, cluster), (id, path)): groups of ids joined by chains of lower-cased paths whose 3-character substrings have Jaccard similarity >= ``least``."""
     version = F.coalesce(F.col(version_col).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")) if version_col else F.lit("0001-01-01").cast("timestamp")
     rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max(F.struct(version.alias("v"), F.lower(path_col).alias("path"))).alias("m")).select("id", F.col("m.path").alias("path"))
@@ -506,27 +690,6 @@ def cluster_paths(df: DataFrame, id_col: str, path_col: str, version_col: str |
     frequency = gram_frequencies(points)
     # A path goes to about half as many cells as it has characters; the width follows the table's bytes.
     clusters = merge_stars(path_stars(points, frequency, least, cell_rows, hashed, max(2 * shuffle_width(df.sparkSession), width_for(df.select(path_col), 32))))
-    if (frequency > cell_rows).any():
-
-        def similar(a: pa.Table, b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            x, y = (PathSet.of(t.column("payload").to_pylist(), hashed) for t in (a, b))
-            u, v = (t.column("lab").to_numpy() for t in (a, b))
-            done: set[tuple[int, int]] = set()
-            for i in range(0, len(u), 512):
-                p, q = x.candidates(np.arange(i, min(i + 512, len(u))), y, least)
-                apart = u[p] != v[q]
-                pairs = []
-                for m, n in zip(p[apart].tolist(), q[apart].tolist()):
-                    if (u[m], v[n]) not in done and x.resembles(m, y, n, least):
-                        done.add((u[m], v[n]))
-                        pairs.append((m, n))
-                if pairs:
-                    yield tuple(np.array(pairs).T)
-
-        clusters = cut_lineage(clusters)
-        labelled = points.join(clusters, "gid", "left").select("gid", "path", F.coalesce("cluster", "gid").alias("lab"))
-        members = cut_lineage(labelled.mapInArrow(path_cells(frequency, least, cell_rows, True), "cell bigint, lab bigint, gid bigint, payload string"))
-        clusters = relabelled(labelled.select("gid", F.col("lab").alias("cluster")), rest_links(members, cell_rows, similar))
     named = skew_join(rows, points.select("path", "gid"), ["path"], ["id"], counts=points.select("path", "n"))
     return skew_join(named.select("id", "gid"), clusters, ["gid"], ["id"], "left", counts=points.select("gid", "n")).select("id", F.coalesce("cluster", "gid").alias("cluster")), rows
 

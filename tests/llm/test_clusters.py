@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.llm import clusters as C
@@ -201,3 +202,68 @@ def test_groups_by_size(spark):
     for r in C.sizeable(m).collect():
         sizes[r["cluster"]] += 1
     assert sizes == {1: 3}
+
+
+def test_large_path_cells_are_split(monkeypatch):
+    """Cells of many pairs compare few of them and join what all pairs do."""
+    paths = list(dict.fromkeys(p.lower() for p in some_paths(500, 21) if len(p) >= 4)) + ["aaaa", "aaab", "abab", "ababa"]
+    frequency = np.zeros(C.BUCKETS, np.int64)
+    for p in paths:
+        np.add.at(frequency, C._bucket(C.grams_of(p)), 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(paths))), pa.array(paths)], names=["gid", "path"])
+    links = [(i, j) for i in range(len(paths)) for j in range(i) if 2 * len(grams(paths[i]) & grams(paths[j])) >= len(grams(paths[i]) | grams(paths[j]))]
+    compared = []
+    candidates, likely = C.PathSet.candidates, C.PathSet.likely
+    monkeypatch.setattr(C.PathSet, "candidates", lambda self, at, x, other, y, least: (compared.append(len(at) * len(other)), candidates(self, at, x, other, y, least))[1])
+    monkeypatch.setattr(C.PathSet, "likely", lambda self, x, y, least: (compared.append(len(x)), likely(self, x, y, least))[1])
+    monkeypatch.setattr(C, "FEW_PAIRS", 50)
+    pairs = {}
+    for split, block_rows in ((10**9, 10**6), (1000, 10**6), (1000, 100)):
+        monkeypatch.setattr(C, "SPLIT_PAIRS", split)
+        compared.clear()
+        table = pa.Table.from_batches(C.path_cells(frequency, 0.5, block_rows)([batch])).to_pylist()
+        cells = defaultdict(list)
+        for r in table:
+            cells[r["cell"], r["block"]].append(r)
+        forest = C.Forest()
+        for (cell, _), rows in cells.items():
+            stored = np.array([r["stored"] for r in rows])
+            if len(rows) > 1 and stored.any():
+                C.PathJoin(forest, np.array([r["gid"] for r in rows]), C.PathSet.of([r["path"] for r in rows], 256), 0.5).run(stored, cell, frequency)
+        assert {i: forest.find(i) for i in range(len(paths))} == components(range(len(paths)), links)
+        pairs[split, block_rows] = sum(compared)
+    assert pairs[1000, 10**6] < 0.7 * pairs[10**9, 10**6]
+
+
+def test_margin_passes_by_the_points_at_home():
+    """A block joins all similar pairs of which one is at home and no pair of its margin, in a dense region too."""
+    rng = np.random.default_rng(22)
+    centres = rng.normal(size=(50, 64))
+    x = np.concatenate([centres[rng.integers(50, size=1500)] + 0.3 * rng.normal(size=(1500, 64)), 5 * np.eye(64)[0] + 0.2 * rng.normal(size=(1500, 64))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)[rng.permutation(3000)]
+    cells = C.place_cells(x, 3000, 3000, 48, 0.5177, 3.5, 32_768)
+    ids = np.arange(3000)
+    home = C.Home(C.Forest(), ids[:1200], x[:1200], 0.866, cells.axes, cells.margin, 60)
+    for i in range(1200, 3000, 700):
+        home.compare(ids[i : i + 700], x[i : i + 700])
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.866, 1))
+    assert len(home.centres) > 1
+    assert {i: home.forest.find(i) for i in range(3000)} == components(range(3000), [(i, j) for i, j in zip(a.tolist(), b.tolist()) if i < 1200])
+
+
+def test_vector_cells_grow_before_they_multiply(monkeypatch, spark):
+    """Many small cells would copy each point to more and more of them."""
+    asked = []
+    place = C.place_cells
+    monkeypatch.setattr(C, "place_cells", lambda sample, total, cell_rows, *rest: (asked.append(total / cell_rows), place(sample, total, cell_rows, *rest))[1])
+    x = np.random.default_rng(23).normal(size=(2000, 64)).astype(np.float32)
+    C.cluster_vectors(vectors(spark, x), "node_no", "e", cell_rows=10, leaf_rows=50)
+    assert asked and max(asked) <= C.FEW_CELLS + 1
+
+
+def test_each_block_meets_all_points():
+    gid = np.arange(500)
+    stored = gid % 3 == 0
+    at, block, keeps = C.block_duties(gid, stored, np.full(500, 4))
+    assert len(at) == 2000 and len(set(zip(at.tolist(), block.tolist()))) == 2000
+    assert (np.bincount(at[keeps], minlength=500) == stored).all() and len(np.unique(block[keeps])) == 4
